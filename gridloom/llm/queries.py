@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gridloom.llm import langid
 from gridloom.llm.exact_dedup import exact_dedup
+from gridloom.llm.mixing import mix_sources
 from gridloom.llm.url_filter import judge_urls
 
 
@@ -53,5 +56,59 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
-QUERIES = {"op7_url_filter": op7_url_filter, "op8_exact_dedup": op8_exact_dedup}
-ORACLES = {"op7_url_filter": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+MIX_WEIGHTS = [5, 2, 1]
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, targets, pieces = mix_sources(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+    taken = pieces.groupBy("doc_id").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
+    src = targets.select(F.col("source").alias("s"), "source_size", "target")
+    return (
+        docs.join(src, docs["source"].eqNullSafe(src["s"]))
+        .join(taken, "doc_id", "left")
+        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    )
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5(doc_id::VARCHAR) AS k FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source
+), w AS (SELECT *, [5, 2, 1][(place % 3 + 1)::INT] AS weight, source_size * 3 AS cap FROM s
+), r AS (SELECT *, cap::DOUBLE / weight AS ratio FROM w
+), q AS (
+  SELECT *, sum(source_size) OVER () AS all_size, sum(weight) OVER () AS all_weight,
+         coalesce(sum(cap) OVER o, 0) AS done, coalesce(sum(weight) OVER o, 0) AS done_weight
+  FROM r WINDOW o AS (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), l AS (SELECT *, (all_size - done)::DOUBLE / (all_weight - done_weight)::DOUBLE AS lv FROM q
+), t AS (
+  SELECT source, source_size, cap, least(cap::DOUBLE, weight * (SELECT lv FROM l WHERE lv <= ratio ORDER BY ratio, place LIMIT 1)) AS target FROM l
+), u AS (SELECT *, least(cap, floor(target + 0.5)::BIGINT) AS quota FROM t
+), p AS (
+  SELECT d.doc_id, d.size, u.source_size, u.target, u.quota,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source
+)
+SELECT doc_id, size, source_size, target,
+       CASE WHEN source_size = 0 THEN 0 ELSE (quota // source_size) * size
+            + greatest(0, least(pos + size, quota % source_size) - pos) END::BIGINT AS taken
+FROM p
+"""
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    model = langid.train(docs.where(~held_out))
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+QUERIES = {
+    "op5_mixing": op5_mixing,
+    "op7_url_filter": op7_url_filter,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op10_language_id": op10_language_id,
+}
+ORACLES = {"op5_mixing": OP5_SQL, "op7_url_filter": OP7_SQL, "op8_exact_dedup": OP8_SQL}
