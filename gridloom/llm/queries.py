@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import langid
+from gridloom.llm import langid, packing, token_store
+from gridloom.llm.common import shared_dir
 from gridloom.llm.exact_dedup import exact_dedup
 from gridloom.llm.mixing import mix_sources
 from gridloom.llm.url_filter import judge_urls
@@ -105,7 +106,28 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_store.write_store(
+        table(spark, sf_dir, "documents"), shared_dir(spark), vocabulary("word_bpe_49k.json"), end_id=1, vocabulary_size=49408
+    )
+    # Ids are stored as 2 bytes; the digest is of 4-byte integers.
+    return token_store.with_crc32(token_store.read_store(spark, path), 2)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, _ = packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048, vocabulary_size=50257)
+    return placed
+
+
 QUERIES = {
+    "op2_token_store": op2_token_store,
+    "op4_packing": op4_packing,
     "op5_mixing": op5_mixing,
     "op7_url_filter": op7_url_filter,
     "op8_exact_dedup": op8_exact_dedup,
