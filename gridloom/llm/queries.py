@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import langid, packing, token_store
 from gridloom.llm.common import shared_dir
 from gridloom.llm.exact_dedup import exact_dedup
+from gridloom.llm.minhash_dedup import near_duplicates
 from gridloom.llm.mixing import mix_sources
 from gridloom.llm.url_filter import judge_urls
 
@@ -125,8 +126,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.75, k=5)
+
+
 QUERIES = {
     "op2_token_store": op2_token_store,
+    "op3_minhash_dedup": op3_minhash_dedup,
     "op4_packing": op4_packing,
     "op5_mixing": op5_mixing,
     "op7_url_filter": op7_url_filter,
