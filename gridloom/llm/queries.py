@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import langid, packing, token_store
 from gridloom.llm.common import shared_dir
+from gridloom.llm.embedding_dedup import near_vectors
 from gridloom.llm.exact_dedup import exact_dedup
 from gridloom.llm.minhash_dedup import near_duplicates
 from gridloom.llm.mixing import mix_sources
@@ -130,6 +131,10 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.75, k=5)
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 QUERIES = {
     "op2_token_store": op2_token_store,
     "op3_minhash_dedup": op3_minhash_dedup,
@@ -137,6 +142,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op7_url_filter": op7_url_filter,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_language_id": op10_language_id,
 }
 ORACLES = {"op5_mixing": OP5_SQL, "op7_url_filter": OP7_SQL, "op8_exact_dedup": OP8_SQL}
