@@ -5,10 +5,68 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from gridloom.llm import langid, packing
+from gridloom.llm.common import WORD, shared_dir, stored
+from gridloom.llm.exact_dedup import exact_dedup
+from gridloom.llm.minhash_dedup import near_duplicates
+from gridloom.llm.mixing import mix_sources
+from gridloom.llm.queries import MIX_WEIGHTS, vocabulary
+
+
+def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose number is among ``ids``."""
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; those that the nearest centroid rejects go."""
+    model = langid.train(docs)
+    return _kept(docs, langid.identify(docs, model).where("not rejected"))
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document of the smallest number."""
+    return _kept(docs, exact_dedup(docs, keep="smallest").where("kept"))
+
+
+def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, that of the smallest number."""
+    return _kept(docs, near_duplicates(docs, threshold=0.75, k=5).where("kept"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix takes them; one that a source's target cuts keeps the words that are taken."""
+    _, _, pieces = mix_sources(docs, MIX_WEIGHTS)
+    turns = pieces.groupBy("doc_id", "run").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
+    rows = docs.withColumn("size", F.regexp_count("text", F.lit(WORD))).join(turns, "doc_id")
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    cut = F.col("taken") < F.col("size")
+    text = F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("taken").cast("int")), " ")).otherwise(F.col("text"))
+    rows = rows.withColumn("text", text).withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return rows.select(docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in sequences of 2048 ids."""
+    placed, _ = packing.pack(docs, vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048, vocabulary_size=50257)
+    return placed
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", language_id),
+    ("exact dedup", exact_duplicates),
+    ("MinHash near-dedup", near_duplicate_groups),
+    ("mixing sources to target weights", source_mix),
+    ("best-fit packing", best_fit_packing),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = shared_dir(spark)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stored(stage(spark, docs, sf_dir), f"{path}/stage{k}")
+    return docs

@@ -150,3 +150,24 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(buf[1], np.int64)[arr.offset : arr.offset + len(arr) + 1]
     data = np.frombuffer(buf[2], np.uint8) if buf[2] is not None and buf[2].size else np.empty(0, np.uint8)
     return data, offsets
+
+
+def chunks(offsets: np.ndarray, size: int = 1 << 20) -> list[tuple[int, int]]:
+    """Ranges of rows whose texts make about ``size`` bytes; a longer text is a range of its own."""
+    out, lo, n = [], 0, len(offsets) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, side="right")) - 1)
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
+def document_words(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of rows ``lo`` to ``hi``, one row after another, and the place of each row's first word."""
+    begin = offsets[lo:hi] - offsets[lo] + np.arange(hi - lo)
+    apart = np.full(int(offsets[hi] - offsets[lo]) + hi - lo, 32, np.uint8)
+    for i in range(lo, hi):
+        at = begin[i - lo]
+        apart[at : at + offsets[i + 1] - offsets[i]] = data[offsets[i] : offsets[i + 1]]
+    words, start, _ = word_hashes(apart)
+    return words, np.searchsorted(start, begin)

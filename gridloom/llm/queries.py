@@ -9,8 +9,10 @@ from gridloom.llm import langid, packing, token_store
 from gridloom.llm.common import shared_dir
 from gridloom.llm.embedding_dedup import near_vectors
 from gridloom.llm.exact_dedup import exact_dedup
+from gridloom.llm.line_dedup import remove_boilerplate
 from gridloom.llm.minhash_dedup import near_duplicates
 from gridloom.llm.mixing import mix_sources
+from gridloom.llm.substring_dedup import repeated_passages
 from gridloom.llm.url_filter import judge_urls
 
 
@@ -135,14 +137,39 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = remove_boilerplate(table(spark, sf_dir, "documents"), min_sites=10)
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("clean_text").cast("binary"), 256).alias("clean_sha256"))
+
+
+OP1_SQL = """
+WITH l AS (
+  SELECT trim(unnest(string_split(text, chr(10))), ' ') AS line, coalesce('+' || source, '-') AS site FROM documents
+), b AS (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 10
+), d AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts,
+         (SELECT list(line) FROM b) AS gone FROM documents
+), k AS (SELECT doc_id, parts, list_filter(parts, x -> NOT coalesce(list_contains(gone, trim(x, ' ')), false)) AS rest FROM d
+)
+SELECT doc_id, len(list_filter(parts, x -> trim(x, ' ') <> ''))::BIGINT AS n_lines, (len(parts) - len(rest))::BIGINT AS n_removed,
+       sha256(array_to_string(rest, chr(10))) AS clean_sha256 FROM k
+"""
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"), threshold=0.75, words=50)
+
+
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_token_store": op2_token_store,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_packing": op4_packing,
     "op5_mixing": op5_mixing,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_language_id": op10_language_id,
 }
-ORACLES = {"op5_mixing": OP5_SQL, "op7_url_filter": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op5_mixing": OP5_SQL, "op7_url_filter": OP7_SQL, "op8_exact_dedup": OP8_SQL}
