@@ -1,0 +1,5 @@
+"""Registered queries of the engine's own operators, by area; each module has ``QUERIES`` and ``ORACLES``."""
+
+from gridloom.plans import datasets, evaluation, geometry, zones
+
+PLANS = [geometry, evaluation, zones, datasets]
