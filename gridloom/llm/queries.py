@@ -120,8 +120,7 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_store.write_store(
         table(spark, sf_dir, "documents"), shared_dir(spark), vocabulary("word_bpe_49k.json"), end_id=1, vocabulary_size=49408
     )
-    # Ids are stored as 2 bytes; the digest is of 4-byte integers.
-    return token_store.with_crc32(token_store.read_store(spark, path), 2)
+    return token_store.read_store(spark, path, digest=True)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,9 +148,9 @@ WITH l AS (
 ), d AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts,
          (SELECT list(line) FROM b) AS gone FROM documents
-), k AS (SELECT doc_id, parts, list_filter(parts, x -> NOT coalesce(list_contains(gone, trim(x, ' ')), false)) AS rest FROM d
+), k AS (SELECT doc_id, parts, list_filter(parts, lambda x: NOT coalesce(list_contains(gone, trim(x, ' ')), false)) AS rest FROM d
 )
-SELECT doc_id, len(list_filter(parts, x -> trim(x, ' ') <> ''))::BIGINT AS n_lines, (len(parts) - len(rest))::BIGINT AS n_removed,
+SELECT doc_id, len(list_filter(parts, lambda x: trim(x, ' ') <> ''))::BIGINT AS n_lines, (len(parts) - len(rest))::BIGINT AS n_removed,
        sha256(array_to_string(rest, chr(10))) AS clean_sha256 FROM k
 """
 

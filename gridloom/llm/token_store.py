@@ -160,10 +160,14 @@ def block_starts(spark: SparkSession, path: str) -> DataFrame:
     return blocks.withColumn("in", inside).join(files, "shard").select("shard", "block", (F.col("base") + F.col("in")).alias("start"))
 
 
-def read_store(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids)`` from the files alone; with ``doc_ids``, only these documents' frames are opened."""
+def read_store(spark: SparkSession, path: str, doc_ids: list[int] | None = None, digest: bool = False) -> DataFrame:
+    """``(doc_id, start, n_tokens, ids)`` from the files alone; with ``doc_ids``, only these documents' frames are opened.
+
+    With ``digest`` the ids' crc32 (of little-endian unsigned 32-bit integers) takes their place as ``ids_crc32``.
+    """
     head = spark.read.parquet(f"{path}/dictionary").first()
     words, sha, width = bytes(head["dictionary"]), head["dict_sha256"], head["width"]
+    last = "ids_crc32" if digest else "ids"
     wanted = None if doc_ids is None else np.asarray(sorted(doc_ids), np.int64)
 
     def unpack(batches: Iterator) -> Iterator:
@@ -181,30 +185,19 @@ def read_store(spark: SparkSession, path: str, doc_ids: list[int] | None = None)
                 payload = memoryview(row["payload"])
                 ids = [open_.decompress(payload[at[i] : at[i + 1]], max_output_size=int(n[i]) * width) for i in pick]
                 pick = np.fromiter(pick, np.int64)
+                if digest:
+                    ids = [zlib.crc32(np.frombuffer(b, f"<u{width}").astype("<u4")) for b in ids]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(names[pick], mask=names[pick] == NO_ID),
                         pa.array(start[pick]),
                         pa.array(n[pick]),
-                        pa.array(ids, pa.binary()),
+                        pa.array(ids, pa.int64() if digest else pa.binary()),
                     ],
-                    ["doc_id", "start", "n_tokens", "ids"],
+                    ["doc_id", "start", "n_tokens", last],
                 )
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     blocks = spark.read.parquet(f"{path}/blocks").join(block_starts(spark, path), ["shard", "block"])
     cols = ["dict_sha256", "doc_ids", "offsets", "n_tokens", "payload", "start"]
-    return blocks.select(*cols).mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids binary")
-
-
-def with_crc32(docs: DataFrame, width: int) -> DataFrame:
-    """``ids_crc32`` (of the ids as little-endian unsigned 32-bit integers) in place of ``ids``."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            crc = [zlib.crc32(np.frombuffer(x.as_buffer(), f"<u{width}").astype("<u4").tobytes()) for x in batch.column(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return docs.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return blocks.select(*cols).mapInArrow(unpack, f"doc_id long, start long, n_tokens long, {last} {'long' if digest else 'binary'}")

@@ -5,8 +5,8 @@ from __future__ import annotations
 import functools
 import os
 import re
-
-import numpy as np
+import sys
+from array import array
 
 #: Places where the public byte-level vocabularies always part a text: before a lone space or line feed, after a lone
 #: line feed, and between a letter or digit and a full stop or comma.
@@ -17,6 +17,14 @@ _BESIDE = (",,", ",.", ".,", "..", "\n,", "\n.", "\x01")
 _PLAIN = re.compile(r"(?: ?\S*[^\W_]|[.,\n])\Z")
 
 
+def _u4(ids: list[int]) -> bytes:
+    """The ids as little-endian unsigned 32-bit integers."""
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
 class StretchEncoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
@@ -35,10 +43,10 @@ class StretchEncoder:
 
     def _ids(self, stretches: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in got]
+        return [_u4(e.ids) for e in got]
 
-    def _know(self, wanted: set[str]) -> None:
-        missing = wanted.difference(self.young)
+    def _know(self, wanted: set[str], missing: set[str]) -> None:
+        """Have the ids of ``wanted`` in ``young``, where ``missing`` are not yet."""
         if len(self.young) + len(missing) > self.keep:
             self.old, self.young = self.young, {}
             missing = wanted
@@ -60,14 +68,19 @@ class StretchEncoder:
                     t = t.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").replace(",", "\x01,").replace(".", "\x01.")
                     cut.append(t.split("\x01"))
             wanted = set().union(*cut)
-            odd = self._odd(wanted)
+            missing = wanted.difference(self.young)
+            odd = self._odd(missing)
             if odd:  # only plain stretches are ever in young and old, so none of these is missed
                 careful += [i for i, c in enumerate(cut) if not odd.isdisjoint(c)]
                 wanted -= odd
             rest = {i: _CUT.split(texts[at + i]) for i in careful}
             more = set().union(*rest.values())
-            odd = self._odd(more)
-            self._know(wanted | (more - odd))
+            odd = set()
+            if more:
+                odd = self._odd(more.difference(self.young))
+                wanted |= more - odd
+                missing = wanted.difference(self.young)
+            self._know(wanted, missing)
             ids = self.young.__getitem__
             if odd:
                 if len(self.rare) > self.keep:
@@ -80,7 +93,7 @@ class StretchEncoder:
         return out
 
     def _odd(self, stretches: set[str]) -> set[str]:
-        return {s for s in stretches.difference(self.young).difference(self.old) if not _PLAIN.match(s)}
+        return {s for s in stretches.difference(self.old) if not _PLAIN.match(s)}
 
 
 @functools.lru_cache(maxsize=4)

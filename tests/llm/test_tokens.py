@@ -44,7 +44,7 @@ def test_store_round_trip(spark):
     assert len(got) == len(data)
     some = token_store.read_store(spark, path, [3, 5]).collect()
     assert sorted(r["doc_id"] for r in some) == [3, 5]
-    crc = {r["doc_id"]: r["ids_crc32"] for r in token_store.with_crc32(token_store.read_store(spark, path), 2).collect()}
+    crc = {r["doc_id"]: r["ids_crc32"] for r in token_store.read_store(spark, path, digest=True).collect()}
     assert crc[1] == zlib.crc32(np.asarray([*tok.encode("same").ids, 1], "<u4").tobytes())
     empty = token_store.write_store(docs.limit(0), shared_dir(spark), public_tokenizers.path("word_bpe_49k.json"), 1, 49408)
     assert token_store.read_store(spark, empty).count() == 0
