@@ -59,14 +59,13 @@ class CentroidModel:
             seen[at] += 1
         self.idf = np.log((1 + len(rows)) / (1 + seen)) + 1
         self.langs = sorted(set(langs))
-        x = np.zeros((len(rows), DIMS), np.float32)
-        for i, (at, n) in enumerate(rows):
-            x[i, at] = (1 + np.log(n)) * self.idf[at]
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        who = np.asarray(langs)
         centroids, self.owner, self.least = [], [], []
-        for k, lang in enumerate(self.langs):
-            own = x[who == lang]
+        for k, lang in enumerate(self.langs):  # one language's vectors in memory at a time
+            mine = [r for r, who in zip(rows, langs) if who == lang]
+            own = np.zeros((len(mine), DIMS), np.float32)
+            for i, (at, n) in enumerate(mine):
+                own[i, at] = (1 + np.log(n)) * self.idf[at]
+                own[i] /= max(float(np.linalg.norm(own[i])), 1e-12)
             found = _spherical_kmeans(own, clusters)
             best = (own @ found.T).max(axis=1)
             centroids.append(found)
