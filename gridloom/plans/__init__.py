@@ -1,5 +1,5 @@
 """Registered queries of the engine's own operators, by area; each module has ``QUERIES`` and ``ORACLES``."""
 
-from gridloom.plans import datasets, evaluation, export, geometry, search, shapes, tracking, zones
+from gridloom.plans import datasets, evaluation, export, extras, geometry, search, shapes, tracking, zones
 
-PLANS = [geometry, evaluation, zones, datasets, search, export, tracking, shapes]
+PLANS = [geometry, evaluation, zones, datasets, search, export, tracking, shapes, extras]
