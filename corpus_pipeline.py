@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages that each call one operator, written and read again between them."""
+"""The corpus pipeline: stages that each call one operator, written and read again between them.
+
+Documents need a number: one whose doc_id is null goes at the first stage. A null text is rejected by language ID. A
+number that repeats stays or goes as one document. Extra columns are carried to the last stage, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -39,11 +43,11 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them; one that a source's target cuts keeps the words that are taken."""
     _, _, pieces = mix_sources(docs, MIX_WEIGHTS)
-    turns = pieces.groupBy("doc_id", "run").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
-    rows = docs.withColumn("size", F.regexp_count("text", F.lit(WORD))).join(turns, "doc_id")
+    turns = pieces.groupBy("doc_id", "run").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("_taken")).drop("run")
+    rows = docs.withColumn("_size", F.regexp_count("text", F.lit(WORD))).join(turns, "doc_id")
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    cut = F.col("taken") < F.col("size")
-    text = F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("taken").cast("int")), " ")).otherwise(F.col("text"))
+    cut = F.col("_taken") < F.col("_size")
+    text = F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("_taken").cast("int")), " ")).otherwise(F.col("text"))
     rows = rows.withColumn("text", text).withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return rows.select(docs.columns)
 
