@@ -7,10 +7,12 @@ are candidates. The share of equal registers, corrected for registers that agree
 similarity and sheds candidates far below the threshold; the rest are verified on their full sets of shingle hashes.
 
 Equal sets are one class, represented by its smallest id, so copies are never paired. Only links between different
-classes that are still in different components are tested: first every member of a band against the band's smallest
-member (at most one such pair a document, then at most one a band), until whole groups of near copies have merged;
-then, in what is left of each band, small bands at once and large ones leader by leader, a leader leaving the band
-after it has met all members. No pair of a band that is not yet connected stays untested, whatever the band's size.
+classes that are still in different components are tested: first every document against the smallest leader of its
+bands and then against one drawn by hash, which merges groups of near copies; then small bands pair by pair. The members of large bands that still hold
+several components are joined on their sets: two sets that similar share one of the rarest quarter of either's
+shingles, so each document is listed under these, and pairs of one list are tested unless both belong to the list's
+largest component. Frequent shingles come last in that order, so a line that a third of all documents hold lists
+nothing. No pair of a band that is not yet connected stays untested, whatever the band's size.
 
 Defined cases: null, empty and blank texts have no shingle, link with nothing and keep themselves; fewer than five
 words make one shingle of the whole sequence; rows that repeat an id are one document of that id (equal texts) or
@@ -22,7 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import components, mixed, shared_dir, shingle_hashes, stored, text_bytes, word_hashes
@@ -33,8 +35,8 @@ MANTISSA = 10
 BANDS, ROWS = 42, 6
 #: Candidates whose estimate lies this far below the threshold are shed (five standard errors of 256 registers).
 MARGIN = 0.14
-#: A band of at most AT_ONCE members is compared at once; a larger one by LEADERS leaders a round.
-AT_ONCE, LEADERS = 12, 4
+#: A band of at most so many members is compared pair by pair.
+AT_ONCE = 12
 
 _RNG = np.random.default_rng(31)
 #: The bucket that an empty bucket asks at each attempt.
@@ -216,20 +218,34 @@ def near_duplicates(
     tested = stored(first, f"{path}/tested0")
     links = stored(_verified(tested, sets, reps, threshold), f"{path}/links0")
     labels = stored(components(links, f"{path}/components0"), f"{path}/labels0")
-    bands = bands.select("key", "doc_id")
-    k_round = 0
-    while True:
-        k_round += 1
-        bands = stored(_open_bands(bands, labels), f"{path}/open{k_round}")
-        if bands.isEmpty():
-            break
-        pairs, bands = _next_pairs(bands, first_time=k_round == 1, path=f"{path}/next{k_round}")
-        fresh = stored(pairs.join(tested, ["a", "b"], "left_anti"), f"{path}/tested{k_round}")
-        tested = tested.union(fresh)
-        found = stored(_verified(fresh, sets, reps, threshold), f"{path}/links{k_round}")
-        links = links.union(found)
+    # Second round: in bands that are not yet one component, a leader drawn by hash.
+    open_ = stored(_open_bands(bands, labels), f"{path}/open0")
+    drawn = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "comp")).alias("l"))
+    other = open_.join(drawn, "key").where("comp <> l.comp").groupBy("doc_id").agg(F.min("l").alias("l"))
+    pairs = other.select(F.least("doc_id", "l.doc_id").alias("a"), F.greatest("doc_id", "l.doc_id").alias("b")).distinct()
+    fresh = stored(pairs.join(tested, ["a", "b"], "left_anti"), f"{path}/tested01")
+    tested = tested.unionByName(fresh)
+    found = stored(_verified(fresh, sets, reps, threshold), f"{path}/links01")
+    if not found.isEmpty():
+        links = links.unionByName(found)
+        labels = stored(components(links, f"{path}/components01"), f"{path}/labels01")
+    open_ = stored(_open_bands(open_, labels), f"{path}/open")
+    left = open_.where(F.col("n") <= AT_ONCE).select("key", F.col("doc_id").alias("a"), F.col("comp").alias("ca"))
+    right = left.select("key", F.col("a").alias("b"), F.col("ca").alias("cb"))
+    pairs = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct()
+    fresh = stored(pairs.join(tested, ["a", "b"], "left_anti"), f"{path}/tested1")
+    tested = tested.unionByName(fresh)
+    found = stored(_verified(fresh, sets, reps, threshold), f"{path}/links1")
+    if not found.isEmpty():
+        links = links.unionByName(found)
+        labels = stored(components(links, f"{path}/components1"), f"{path}/labels1")
+    members = stored(_open_bands(open_.where(F.col("n") > AT_ONCE), labels).select("doc_id", "comp").distinct(), f"{path}/members")
+    if not members.isEmpty():
+        pairs = _prefix_pairs(members, sets, threshold, path)
+        fresh = stored(pairs.join(tested, ["a", "b"], "left_anti"), f"{path}/tested2")
+        found = stored(_verified(fresh, sets, reps, threshold), f"{path}/links2")
         if not found.isEmpty():
-            labels = stored(components(links, f"{path}/components{k_round}"), f"{path}/labels{k_round}")
+            labels = stored(components(links.unionByName(found), f"{path}/components2"), f"{path}/labels2")
     label = labels.select(F.col("node").alias("rep"), "component")
     out = member.join(label, "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")
@@ -245,33 +261,42 @@ def _open_bands(bands: DataFrame, labels: DataFrame) -> DataFrame:
     return now.join(open_.select("key", "n"), "key")
 
 
-def _next_pairs(bands: DataFrame, first_time: bool, path: str) -> tuple[DataFrame, DataFrame]:
-    """Pairs to test now, and the bands that stay.
+def _prefix_pairs(members: DataFrame, sets: DataFrame, threshold: float, path: str) -> DataFrame:
+    """``(a, b)``: pairs of different components that may reach the threshold, by the prefix of their rarest shingles.
 
-    Small bands: every pair across components, and the band is done. Large bands: first the smallest member of each,
-    then LEADERS leaders a round (members of the smallest components go first), each against all members; a leader
-    that has met all members leaves its band.
+    Of n shingles, any set of that similarity shares one of the first n - ceil(threshold * n) + 1 in a common order. The
+    first that two sets share leaves room for no more than the shingles after it, so its places must let the overlap
+    reach threshold / (1 + threshold) of both sizes; a set with many shingles of its own is not listed against others.
     """
-    small, large = bands.where(F.col("n") <= AT_ONCE), bands.where(F.col("n") > AT_ONCE)
-    left = small.select("key", F.col("doc_id").alias("a"), F.col("comp").alias("ca"))
-    right = small.select("key", F.col("doc_id").alias("b"), F.col("comp").alias("cb"))
-    pairs = left.join(right, "key").where("a < b and ca <> cb").select("a", "b")
-    sizes = large.groupBy("key", "comp").agg(F.count("*").alias("size"))
-    ranked = large.join(sizes, ["key", "comp"]).select("key", F.struct("size", "doc_id", "comp").alias("m"))
-    leaders = _lowest(ranked, 1 if first_time else LEADERS)
-    lead = leaders.select("key", F.col("m.doc_id").alias("l"), F.col("m.comp").alias("cl"))
-    lead = stored(lead, path)
-    met = large.join(lead, "key").where("comp <> cl").select(F.least("doc_id", "l").alias("a"), F.greatest("doc_id", "l").alias("b"))
-    stay = large.select("key", "doc_id").join(lead.select("key", F.col("l").alias("doc_id")), ["key", "doc_id"], "left_anti")
-    return pairs.union(met).distinct(), stay
-
-
-def _lowest(ranked: DataFrame, n: int) -> DataFrame:
-    """The ``n`` lowest ``m`` of each key, one partial minimum after another."""
-    out = None
-    left = ranked
-    for _ in range(n):
-        low = left.groupBy("key").agg(F.min("m").alias("m"))
-        out = low if out is None else out.unionByName(low)
-        left = left.join(low.withColumnRenamed("m", "gone"), "key").where("m <> gone").drop("gone")
-    return out
+    percent = round(threshold * 100)
+
+    def spread(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for doc, comp, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                t = np.frombuffer(raw, "<u8").astype(np.int64)
+                n = len(t)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, doc)), pa.array(np.full(n, comp)), pa.array(np.full(n, n, np.int32)), pa.array(t)], ["doc_id", "comp", "n", "shingle"])
+
+    rows = members.join(sets, "doc_id").select("doc_id", "comp", "shingles")
+    tokens = stored(rows.mapInArrow(spread, "doc_id long, comp long, n int, shingle long"), f"{path}/tokens")
+    # Shingles of one document come first and list nothing; of the others the rarest.
+    often = tokens.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    shared = tokens.join(often, "shingle")
+    mine = Window.partitionBy("doc_id")
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    alone = F.col("n") - F.count("*").over(mine)
+    place = F.row_number().over(mine.orderBy("df", "shingle"))
+    listed = shared.withColumn("place", place).withColumn("alone", alone).withColumn("place", F.col("place") + F.col("alone"))
+    listed = listed.where(F.col("place") <= prefix).select("shingle", "doc_id", "comp", "n", (F.col("n") - F.col("place") + 1).alias("rest"))
+    listed = stored(listed, f"{path}/listed")
+    parts = listed.groupBy("shingle", "comp").agg(F.count("*").alias("size"))
+    top = parts.groupBy("shingle").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+    top = top.select("shingle", F.col("top.comp").alias("largest"))
+    several = stored(listed.join(top, "shingle"), f"{path}/several")
+    left = several.where("comp <> largest").select("shingle", F.col("doc_id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("rest").alias("rx"))
+    right = several.select("shingle", F.col("doc_id").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("rest").alias("ry"))
+    alike = (F.col("cx") != F.col("cy")) & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)
+    alike = alike & (F.least("rx", "ry") * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent)
+    return left.join(right, "shingle").where(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
