@@ -1,15 +1,13 @@
-"""Near-duplicate vectors by spherical-cap filters.
+"""Near-duplicate vectors by exact comparison in blocks.
 
-A random rotation splits each unit vector into two halves; each half has a code of random unit directions, and a filter
-is a pair of codewords. A vector is list-decoded to all filters whose direction it exceeds ``alpha`` with: only
-codewords that can still reach the bound are combined, so the product code is never enumerated. Vectors of one label
-that share a filter are compared by cosine in double precision.
+All pairs of one label are compared by cosine in double precision, so no link is lost, whatever the vectors. A label's
+vectors are dealt over chunks of about ``CHUNK`` by a hash of their id; each pair of chunks is a task's work of its own,
+multiplied strip by strip (``STRIP`` rows against a chunk), so memory does not grow with a label. Every pair lies in one
+pair of chunks. The comparisons, and past one chunk the rows sent, grow with the square of a label's distinct vectors:
+filters by caps or codes are cheaper on large labels, but lose links between vectors that share no filter.
 
-The code's size follows the number of vectors (about ``BUCKET`` vectors a filter), and ``alpha`` is set so that a
-vector has ``LISTED`` filters on average; a pair of cosine 0.93 then shares about nine. Equal vectors are one class and
-are compared once. A filter with more than ``CHUNK`` vectors is compared chunk by chunk, each pair of chunks a task's
-work of its own, so no vector is left out of a full filter. A linked pair is counted at the smallest filter that it
-shares; a comparison yields counts and a spanning forest of its links, not the pairs themselves.
+Equal vectors are one class and are compared once. A comparison yields counts and a spanning forest of its links, not
+the pairs themselves.
 
 Defined cases: a vector that is null, empty, zero or holds a null, NaN or infinity, and one without a label, links with
 nothing; vectors of different lengths never link; a repeated id takes the counts of its vector; extra columns are
@@ -26,44 +24,10 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import components, shared_dir, stored
 
-LISTED = 24
-BUCKET = 16
-CHUNK = 1024
-_SEED = 77
-
-
-class CapCode:
-    """Filters for vectors of ``dims`` dimensions: codewords of two halves and the bound ``alpha``."""
-
-    def __init__(self, dims: int, n: int):
-        rng = np.random.default_rng(_SEED)
-        self.cut = max(1, dims // 2)
-        self.words = int(np.clip(np.ceil(np.sqrt(max(n, 1) * LISTED / BUCKET)), 24, 1 << 15))
-        self.turn = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
-        self.halves = []
-        for size in (self.cut, dims - self.cut):
-            c = rng.standard_normal((self.words, size))
-            self.halves.append(c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12) if size else np.zeros((self.words, 0)))
-        probe = rng.standard_normal((256, dims))
-        probe /= np.linalg.norm(probe, axis=1, keepdims=True)
-        a, b = self._scores(probe)
-        # The bound that lists LISTED filters on average, from the largest sums of each probe.
-        sums = np.concatenate([np.sort(np.add.outer(np.sort(x)[-200:], np.sort(y)[-200:]).ravel())[-4000:] for x, y in zip(a, b)])
-        self.alpha = float(np.sort(sums)[-min(len(sums), LISTED * len(probe))])
-
-    def _scores(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        y = x @ self.turn
-        return y[:, : self.cut] @ self.halves[0].T, y[:, self.cut :] @ self.halves[1].T
-
-    def decode(self, x: np.ndarray) -> list[np.ndarray]:
-        """The sorted filters of each row of ``x``; the best filter, if none exceeds the bound."""
-        out = []
-        for a, b in zip(*self._scores(x)):
-            bound = min(self.alpha, a.max() + b.max())
-            i, j = np.flatnonzero(a >= bound - b.max()), np.flatnonzero(b >= bound - a.max())
-            p, q = np.nonzero(np.add.outer(a[i], b[j]) >= bound)
-            out.append(np.sort(i[p].astype(np.int64) * self.words + j[q]))
-        return out
+#: Vectors of a label that are compared in one task (with as many of another chunk).
+CHUNK = 1 << 15
+#: Rows of a chunk that are multiplied at once.
+STRIP = 256
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -71,103 +35,63 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _listed(classes: DataFrame, code: CapCode, kind: str) -> DataFrame:
-    shared = classes.sparkSession.sparkContext.broadcast(code)
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            if batch.num_rows:
-                x = np.stack([v.values.to_numpy(zero_copy_only=False) for v in batch.column(1)])
-                filters = shared.value.decode(_unit(x))
-                raw = [f.astype("<i8").tobytes() for f in filters]
-                vectors = [v.astype(kind).tobytes() for v in x]
-                cols = [batch.column(0), batch.column(2), batch.column(3), pa.array(filters, pa.list_(pa.int64())), pa.array(raw, pa.binary()), pa.array(vectors, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["rep", "label", "copies", "filters", "listed", "raw"])
-
-    label = classes.schema["label"].dataType.simpleString()
-    return classes.select("rep", "vector", "label", "copies").mapInArrow(
-        run, f"rep long, label {label}, copies long, filters array<long>, listed binary, raw binary"
-    )
-
-
-def _forest(linked: np.ndarray) -> np.ndarray:
-    """For each row of a symmetric link matrix, the first row of its component."""
-    n = len(linked)
-    near = linked | np.eye(n, dtype=bool)
-    label = np.arange(n)
-    while True:
-        low = np.where(near, label[None, :], n).min(axis=1)
-        low = low[low]
-        if (low == label).all():
-            return label
-        label = low
-
-
-def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest value that each row of ``a`` shares with the same row of ``b`` (rows padded with -1 and -2)."""
-    same = a[:, :, None] == b[:, None, :]
-    return np.where(same.any(axis=2), a, np.iinfo(np.int64).max).min(axis=1)
-
-
-def _compare(rows: list[tuple], filter_: int, crossed: bool, threshold: float, kind: str) -> list[tuple[int, int, int]]:
-    """``(rep, links, root)`` of the vectors of one filter (or pair of chunks) that have links."""
-    reps = np.asarray([r[0] for r in rows])
-    x = _unit(np.stack([np.frombuffer(r[1], kind) for r in rows]))
-    linked = x @ x.T >= threshold
-    np.fill_diagonal(linked, False)
-    if crossed:
-        side = np.asarray([r[4] for r in rows])
-        linked &= side[:, None] != side[None, :]
-    if not linked.any():
-        return []
-    i, j = np.nonzero(np.triu(linked, 1))
-    lists = [np.frombuffer(r[3], "<i8") for r in rows]
-    most = max(map(len, lists))
-    pad = np.full((len(rows), most), -1, np.int64)
-    for k, v in enumerate(lists):
-        pad[k, : len(v)] = v
-    copies = np.asarray([r[2] for r in rows], np.int64)
-    links = np.zeros(len(rows), np.int64)
-    step = max(1, (8 << 20) // (most * most))
-    for lo in range(0, len(i), step):
-        p, q = i[lo : lo + step], j[lo : lo + step]
-        here = _first_shared(pad[p], np.where(pad[q] < 0, -2, pad[q])) == filter_
-        np.add.at(links, p[here], copies[q[here]])
-        np.add.at(links, q[here], copies[p[here]])
-    root = _forest(linked)
-    some = linked.any(axis=1)
-    return [(int(reps[k]), int(links[k]), int(reps[root[k]])) for k in np.flatnonzero(some)]
-
-
-def _blocks(members: DataFrame, threshold: float, kind: str) -> DataFrame:
+def _compare(reps: np.ndarray, vectors: np.ndarray, copies: np.ndarray, side: np.ndarray, crossed: bool, threshold: float) -> np.ndarray:
+    """``(rep, links, root)`` of the vectors of one chunk (or across a pair of chunks) that have links."""
+    order = np.argsort(side, kind="stable")
+    reps, x, copies = reps[order], _unit(vectors[order]), copies[order].astype(np.float64)
+    # Rows of the first chunk against those of the second; of a chunk with itself, all against all.
+    cut = int((side == side.min()).sum()) if crossed else len(reps)
+    base = cut if crossed else 0
+    if base == len(reps):  # only one of the two chunks has rows
+        return np.empty((0, 3), np.int64)
+    links, root = np.zeros(len(reps)), np.arange(len(reps))
+    for lo in range(0, cut, STRIP):
+        hi = min(lo + STRIP, cut)
+        linked = x[lo:hi] @ x[base:].T >= threshold
+        if not crossed:
+            linked[np.arange(hi - lo), np.arange(lo, hi)] = False
+        some = np.flatnonzero(linked.any(axis=1))
+        links[lo + some] += linked[some] @ copies[base:]
+        if crossed:
+            to = np.flatnonzero(linked.any(axis=0))
+            links[base + to] += copies[lo:hi] @ linked[:, to]
+        for i in some:
+            near = np.unique(np.append(root[base + np.flatnonzero(linked[i])], root[lo + i]))
+            if len(near) > 1:
+                root[np.isin(root, near)] = near[0]
+    some = np.flatnonzero(links)
+    return np.stack([reps[some], links[some].astype(np.int64), reps[root[some]]], axis=1)
+
+
+def _blocks(members: DataFrame, dims: int, threshold: float) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        key, rows, out = None, [], []
-        schema = pa.schema([("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
-
-        def flush(to: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*to) if to else ([], [], []))], schema=schema)
+        def flush(rows: list[tuple], crossed: bool) -> pa.RecordBatch:
+            found = _compare(*(np.concatenate(c) for c in zip(*rows)), crossed, threshold)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in found.T], ["rep", "links", "root"])
 
+        key, rows = None, []
         for batch in batches:
-            for rep, label, filter_, lo, hi, chunk, vector, copies, listed in zip(*(c.to_pylist() for c in batch.columns)):
-                if (label, filter_, lo, hi) != key:
-                    if len(rows) > 1:
-                        out += _compare(rows, key[1], key[2] != key[3], threshold, kind)
-                        if len(out) > 20_000:
-                            yield flush(out)
-                            out = []
-                    key, rows = (label, filter_, lo, hi), []
-                rows.append((rep, vector, copies, listed, chunk))
-        if len(rows) > 1:
-            out += _compare(rows, key[1], key[2] != key[3], threshold, kind)
-        yield flush(out)
-
-    cols = ["rep", "label", "filter", "lo", "hi", "chunk", "raw", "copies", "listed"]
+            if not batch.num_rows:
+                continue
+            label, lo, hi = (batch.column(i).to_pylist() for i in range(3))
+            reps, copies, side = (batch.column(i).to_numpy() for i in (3, 4, 5))
+            vectors = batch.column(6).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+            keys = list(zip(label, lo, hi))
+            starts = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
+            for a, b in zip(starts, [*starts[1:], len(keys)]):
+                if keys[a] != key:
+                    if rows:
+                        yield flush(rows, key[1] != key[2])
+                    key, rows = keys[a], []
+                rows.append((reps[a:b], vectors[a:b], copies[a:b], side[a:b]))
+        if rows:
+            yield flush(rows, key[1] != key[2])
+
+    cols = ["label", "lo", "hi", "rep", "copies", "chunk", "vector"]
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["label", "filter", "lo", "hi"]
+    keys = ["label", "lo", "hi"]
     return members.select(*cols).repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, "rep long, links long, root long")
 
 
@@ -183,7 +107,6 @@ def near_vectors(
     spark = vectors.sparkSession
     path = path or shared_dir(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    kind = "<f4" if vectors.schema[vector_col].dataType.elementType.simpleString() == "float" else "<f8"
     v = F.col(vector_col)
     sound = (
         F.col(label_col).isNotNull() & v.isNotNull() & (F.size(v) > 0)
@@ -193,11 +116,10 @@ def near_vectors(
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vector"), F.col(label_col).alias("label"), F.coalesce(sound, F.lit(False)).alias("sound"))
     good = rows.where("sound and vec_id is not null").withColumn("h", F.xxhash64("vector", "label"))
     classes = stored(good.groupBy("h", "label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), f"{path}/classes")
-    per = classes.groupBy(F.size("vector").alias("dims"), "label").agg(F.count("*").alias("n"))
-    kinds = {r["dims"]: r["n"] for r in per.groupBy("dims").agg(F.max("n").alias("n")).collect()}  # lengths that occur: few
+    lengths = [r["dims"] for r in classes.select(F.size("vector").alias("dims")).distinct().orderBy("dims").collect()]  # few
     found = None
-    for dims, n in sorted(kinds.items()):
-        part = _links(classes.where(F.size("vector") == dims), CapCode(dims, n), threshold, kind, f"{path}/d{dims}")
+    for dims in lengths:
+        part = _links(classes.where(F.size("vector") == dims), dims, threshold, f"{path}/d{dims}")
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "rep long, links long, root long")
@@ -212,16 +134,12 @@ def near_vectors(
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _links(classes: DataFrame, code: CapCode, threshold: float, kind: str, path: str) -> DataFrame:
+def _links(classes: DataFrame, dims: int, threshold: float, path: str) -> DataFrame:
     """``(rep, links, root)`` rows; links are to be summed, and roots to be joined, by representative."""
-    listed = stored(_listed(classes, code, kind), f"{path}/listed")
-    member = listed.select("rep", "label", F.explode("filters").alias("filter"))
-    full = member.groupBy("label", "filter").agg(F.count("*").alias("n")).where("n > 1")
+    full = classes.groupBy("label").agg(F.count("*").alias("n")).where("n > 1")
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    member = member.join(full, ["label", "filter"]).withColumn("chunk", F.pmod(F.xxhash64("rep"), chunks).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), chunks - 1))
-    member = member.select("rep", "label", "filter", "chunk", other.alias("other")).select(
-        "rep", "label", "filter", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi")
-    )
-    rows = member.join(listed.select("rep", "copies", "listed", "raw"), "rep")
-    return stored(_blocks(rows, threshold, kind), f"{path}/links")
+    member = classes.join(full, "label").withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    member = member.select("rep", "label", "copies", "vector", "chunk", other.alias("other"))
+    rows = member.withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other"))
+    return stored(_blocks(rows, dims, threshold), f"{path}/links")

@@ -1,4 +1,5 @@
 import numpy as np
+from gridloom.llm import embedding_dedup
 from gridloom.llm import minhash_dedup as near
 from gridloom.llm.embedding_dedup import near_vectors
 from gridloom.llm.exact_dedup import exact_dedup
@@ -74,6 +75,35 @@ def test_near_vectors_match_brute_force(spark):
     assert right >= 0.95 * len(rows)
 
 
+def test_near_vectors_lose_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((700, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    x, label = [], []
+    for i, b in enumerate(base):  # pairs of cosine 0.93 to 0.94
+        other = rng.standard_normal(64)
+        other -= (other @ b) * b
+        c = 0.93 + 0.01 * rng.random()
+        x += [b, c * b + np.sqrt(1 - c * c) * other / np.linalg.norm(other)]
+        label += [i % 2, i % 2]
+    for i in range(300):  # a dense cloud, partly linked by way of others
+        x.append(base[0] + rng.standard_normal(64) * 0.035)
+        label.append(0)
+    x, label = np.asarray(x, np.float32), np.asarray(label)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(linked, False)
+    want = np.arange(len(x))
+    while (low := np.where(linked | np.eye(len(x), dtype=bool), want[None, :], len(x)).min(axis=1)).tolist() != want.tolist():
+        want = low
+    assert linked.sum() > 1400 + 300
+    frame = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label))], "vec_id long, embedding array<float>, label int").repartition(5)
+    for chunk in (1 << 15, 300):  # a label in one chunk, and pairs of chunks
+        monkeypatch.setattr(embedding_dedup, "CHUNK", chunk, raising=False)
+        got = sorted(near_vectors(frame).collect())
+        assert [(r["n_links"], r["component_id"]) for r in got] == list(zip(linked.sum(axis=1).tolist(), want.tolist()))
+
+
 def test_exact_dedup(spark):
     data = [(1, "a", "x"), (2, "b", "x"), (3, "a", "y"), (4, None, "z"), (5, "", "z"), (6, "a ", "z"), (3, "a", "y"), (None, "b", "q"), (9, "c" * 100_000, "q")]
     docs = spark.createDataFrame(data, "doc_id long, text string, digest string").repartition(3)
