@@ -75,6 +75,32 @@ def test_small_groups_pair_by_pair_and_large_ones_by_leaders_agree(spark, corpus
     assert a == b
 
 
+def spans_of(spark, texts, **how):
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    return {(r["doc_id"], r["first_word"], r["n_words"], r["n_passages"], r["other_id"]) for r in repeated_passages(frame, **how).collect()}
+
+
+def test_short_exact_passages_in_other_surroundings_are_found_whole(spark):
+    rng = np.random.default_rng(11)
+    texts, want = {}, set()
+    for k in range(60):
+        n = 50 + k % 4
+        hot = words(rng, n)
+        a, b = int(rng.integers(0, 60)), int(rng.integers(0, 60))
+        texts[2 * k] = " ".join([*words(rng, a), *hot, *words(rng, 60)])
+        texts[2 * k + 1] = " ".join([*words(rng, b), *hot, *words(rng, 60)])
+        want.add((2 * k + 1, b, n, 2 * k))
+    by_force = passages_by_force({k: v for k, v in texts.items() if k < 20}, 50, 0.75)
+    got = spans_of(spark, texts)
+    assert {(d, o) for d, _, _, _, o in got} == {(d, o) for d, _, _, o in want}
+    for d, at, n, _, _ in got:  # the whole passage; up to 6 strange words at an end stay alike
+        first, size = next((w[1], w[2]) for w in want if w[0] == d)
+        assert at <= first and at + n >= first + size
+        if d < 20:
+            near = sorted(i for e, i in by_force if e == d)
+            assert (at, n) == (near[0], near[-1] - near[0] + 50)
+
+
 def test_line_dedup(spark):
     data = [(i, f"unique {i}\n  shared line \nnear {i % 3}\n\n", f"s{i % 9}" if i % 9 else None, "z") for i in range(40)]
     data += [(100, None, "s1", "z"), (101, "", "s1", "z"), (102, "shared line", "s1", "z"), (102, "shared line", "s1", "z"), (None, "kept\nshared line", "q", "z")]
