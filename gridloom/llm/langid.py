@@ -1,8 +1,8 @@
 """Language identification by the nearest of several centroids a language.
 
 Training: a bounded sample of labelled documents becomes TF-IDF vectors of hashed byte 1- to 3-grams, scaled to
-length one; each language's vectors are clustered by spherical k-means into a few centroids, and the distances of the
-sample set the distance beyond which a text is rejected. Prediction: cosine with all centroids; the nearest decides.
+length one; each language's vectors are clustered by spherical k-means into a few centroids, and the distances of texts held
+out from that clustering set, by length, the distance beyond which a text is rejected. Prediction: cosine with all centroids; the nearest decides.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and rejected; very long texts are read
 whole; rows repeat as they come; with no labelled text every text is ``und``; extra columns are ignored.
@@ -23,8 +23,13 @@ DIMS = 1 << 14
 #: At most so many labelled documents a language are learned from, those of smallest id hash.
 SAMPLE_PER_LANGUAGE = 500
 CENTROIDS = 4
-#: A text is rejected if its cosine lies this many standard deviations below the mean of its language's sample.
-REJECT_SIGMAS = 8.0
+#: Bytes at which the length classes of the bounds part.
+LENGTHS = (60, 200, 1000)
+#: A text is rejected if its cosine is below this part of a low quantile of its language's held-out texts, by length class.
+REJECT_PART = (0.4, 0.6, 0.6, 0.6)
+REJECT_QUANTILE = 0.01
+#: Languages of fewer texts, which cannot hold out any, have the lowest bound.
+LEAST_TEXTS, LEAST_COSINE = 20, 0.05
 _LETTER = r"\p{L}"
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -50,10 +55,11 @@ def grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class CentroidModel:
-    """Languages, IDF, centroids (a row each) and the least cosine of each language."""
+    """Languages, IDF, centroids (a row each) and the least cosine of each language and length class."""
 
-    def __init__(self, texts: list[bytes], langs: list[str], clusters: int = CENTROIDS, sigmas: float = REJECT_SIGMAS):
+    def __init__(self, texts: list[bytes], langs: list[str], clusters: int = CENTROIDS):
         rows = [grams(np.frombuffer(t, np.uint8)) for t in texts]
+        classes = np.searchsorted(LENGTHS, [len(t) for t in texts], side="right")
         seen = np.zeros(DIMS)
         for at, _ in rows:
             seen[at] += 1
@@ -67,10 +73,9 @@ class CentroidModel:
                 own[i, at] = (1 + np.log(n)) * self.idf[at]
                 own[i] /= max(float(np.linalg.norm(own[i])), 1e-12)
             found = _spherical_kmeans(own, clusters)
-            best = (own @ found.T).max(axis=1)
             centroids.append(found)
             self.owner += [k] * len(found)
-            self.least.append(float(max(0.05, min(best.mean() - sigmas * best.std(), 0.5 * best.mean()))))
+            self.least.append(_bounds(own, classes[[who == lang for who in langs]], clusters))
         self.table = np.ascontiguousarray(np.concatenate(centroids).T) if centroids else np.zeros((DIMS, 0), np.float32)
         self.owner = np.asarray(self.owner)
 
@@ -83,7 +88,21 @@ class CentroidModel:
         k = int(cos.argmax())
         score = float(min(1.0, max(0.0, cos[k])))
         lang = self.owner[k]
-        return self.langs[lang], score, score < self.least[lang]
+        return self.langs[lang], score, bool(score < self.least[lang][np.searchsorted(LENGTHS, len(data), side="right")])
+
+
+def _bounds(own: np.ndarray, classes: np.ndarray, clusters: int) -> np.ndarray:
+    """The least cosine of a language by length class, from every fifth text against centroids of the others."""
+    out = np.full(len(LENGTHS) + 1, LEAST_COSINE)
+    if len(own) < LEAST_TEXTS:
+        return out
+    held = np.arange(len(own)) % 5 == 0
+    best = (own[held] @ _spherical_kmeans(own[~held], clusters).T).max(axis=1)
+    for k, part in enumerate(REJECT_PART):
+        alike = best[classes[held] == k]
+        low = np.quantile(alike if len(alike) >= LEAST_TEXTS else best, REJECT_QUANTILE)
+        out[k] = max(LEAST_COSINE, part * low)
+    return out
 
 
 def _spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:

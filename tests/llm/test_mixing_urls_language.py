@@ -1,3 +1,5 @@
+import base64
+import random
 import re
 
 import corpus_pipeline
@@ -92,6 +94,22 @@ def test_language_odd_texts(spark):
     assert langid.identify(docs.limit(0), nothing).count() == 0
 
 
+def test_language_rejects_junk_and_keeps_clean_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    model = langid.train(docs.where(~held))
+    kept = langid.identify(docs.where(held), model).agg(F.avg((~F.col("rejected")).cast("int"))).first()[0]
+    assert kept >= 0.98
+    rng = random.Random(1)
+    junk = [
+        " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(60)),
+        base64.b64encode(bytes(rng.randrange(256) for _ in range(600))).decode(),
+        "Suomen kieli kuuluu uralilaisten kielten ryhmään ja sitä puhuu suurin osa maan väestöstä. Kesällä järvien rannoilla on mökkejä.",
+    ]
+    got = langid.identify(spark.createDataFrame(list(enumerate(junk)), "doc_id long, text string"), model).collect()
+    assert all(r["rejected"] for r in got), got
+
+
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
     assert (out.groupby("sequence_id")["length"].sum() <= 2048).all()
