@@ -75,33 +75,50 @@ def test_near_vectors_match_brute_force(spark):
     assert right >= 0.95 * len(rows)
 
 
-def test_near_vectors_lose_no_link(spark, monkeypatch):
-    rng = np.random.default_rng(8)
-    base = rng.standard_normal((700, 64))
-    base /= np.linalg.norm(base, axis=1, keepdims=True)
-    x, label = [], []
-    for i, b in enumerate(base):  # pairs of cosine 0.93 to 0.94
-        other = rng.standard_normal(64)
-        other -= (other @ b) * b
-        c = 0.93 + 0.01 * rng.random()
-        x += [b, c * b + np.sqrt(1 - c * c) * other / np.linalg.norm(other)]
-        label += [i % 2, i % 2]
-    for i in range(300):  # a dense cloud, partly linked by way of others
-        x.append(base[0] + rng.standard_normal(64) * 0.035)
-        label.append(0)
-    x, label = np.asarray(x, np.float32), np.asarray(label)
+def linked_by_force(x, label):
     unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     linked = (unit @ unit.T >= 0.93) & (label[:, None] == label[None, :])
     np.fill_diagonal(linked, False)
     want = np.arange(len(x))
     while (low := np.where(linked | np.eye(len(x), dtype=bool), want[None, :], len(x)).min(axis=1)).tolist() != want.tolist():
         want = low
+    return linked, want
+
+
+def hard_pairs(rng, n, dims=64):
+    """Pairs of cosine 0.93 to 0.94, one after another."""
+    base = rng.standard_normal((n, dims))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.standard_normal((n, dims))
+    other -= (other * base).sum(axis=1, keepdims=True) * base
+    c = 0.93 + 0.01 * rng.random((n, 1))
+    return np.stack([base, c * base + np.sqrt(1 - c * c) * other / np.linalg.norm(other, axis=1, keepdims=True)], axis=1).reshape(-1, dims)
+
+
+def test_near_vectors_lose_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = hard_pairs(rng, 700)
+    x = np.concatenate([x, x[0] + rng.standard_normal((300, 64)) * 0.035]).astype(np.float32)  # and a dense cloud, partly linked by way of others
+    label = np.asarray([i // 2 % 2 for i in range(1400)] + [0] * 300)
+    linked, want = linked_by_force(x, label)
     assert linked.sum() > 1400 + 300
     frame = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label))], "vec_id long, embedding array<float>, label int").repartition(5)
-    for chunk in (1 << 15, 300):  # a label in one chunk, and pairs of chunks
-        monkeypatch.setattr(embedding_dedup, "CHUNK", chunk, raising=False)
+    for chunk in (4096, 300):  # a label in one chunk, and pairs of chunks
+        monkeypatch.setattr(embedding_dedup, "CHUNK", chunk)
         got = sorted(near_vectors(frame).collect())
         assert [(r["n_links"], r["component_id"]) for r in got] == list(zip(linked.sum(axis=1).tolist(), want.tolist()))
+        many = sorted(near_vectors(frame, bucket=100).collect())  # several rotations and many filters
+        assert all(r["n_links"] <= n for r, n in zip(many, linked.sum(axis=1)))
+        assert sum(r["n_links"] for r in many) >= 0.99 * linked.sum()
+        assert np.mean([r["component_id"] == c for r, c in zip(many, want)]) >= 0.99
+
+
+def test_filters_find_pairs_in_large_labels():
+    x = hard_pairs(np.random.default_rng(9), 1500)
+    for n in (20_000, 200_000):
+        lists = embedding_dedup.CapCodes(64, n).decode(x, n)
+        both = [np.intersect1d(a, b).size > 0 for a, b in zip(lists[::2], lists[1::2])]
+        assert np.mean(both) >= 0.98 and np.mean([len(f) for f in lists]) < 14
 
 
 def test_exact_dedup(spark):
