@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from gridloom.llm import substring_dedup as sub
 from gridloom.llm.line_dedup import remove_boilerplate
 from gridloom.llm.substring_dedup import compact_windows, repeated_passages
 
@@ -67,12 +66,45 @@ def test_repeated_passages(spark, corpus):
     assert repeated_passages(docs.limit(0)).count() == 0
 
 
-def test_small_groups_pair_by_pair_and_large_ones_by_leaders_agree(spark, corpus, monkeypatch):
-    docs = spark.createDataFrame(list(corpus.items()), "doc_id long, text string")
-    a = {(r["doc_id"], r["first_word"], r["n_words"]) for r in repeated_passages(docs).collect()}
-    monkeypatch.setattr(sub, "AT_ONCE", 1000)
-    b = {(r["doc_id"], r["first_word"], r["n_words"]) for r in repeated_passages(docs).collect()}
-    assert a == b
+def test_passages_that_repeat_words_and_odd_rows(spark):
+    rng = np.random.default_rng(21)
+    loop = words(rng, 7) * 30  # few distinct shingles
+    texts = {1: " ".join(loop), 2: " ".join([*words(rng, 30), *loop[3:]]), 3: " ".join(words(rng, 300)), 4: "word " * 400, 5: "word " * 90 + "x", 6: None, 7: " \n"}
+    by_force = passages_by_force(texts, 50, 0.75)
+    rows = [(k, v, 1) for k, v in texts.items()] + [(3, "zz", 1), (None, texts[1], 1)]  # a number of two texts, and none
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string, at int").repartition(3)).collect()
+    assert {r["doc_id"] for r in got} == {d for d, _ in by_force} == {2, 5}
+    for r in got:
+        near = {i for d, i in by_force if d == r["doc_id"]}
+        assert min(near) <= r["first_word"] and r["first_word"] + r["n_words"] <= max(near) + 50
+
+
+def test_chains_in_a_large_key(spark):
+    """Documents that share a passage too short to count, and of which pairs share the words beside it too."""
+    rng = np.random.default_rng(17)
+    hot, texts, want = words(rng, 30), {}, set()
+    for k in range(40):
+        side = words(rng, 40)
+        for d in (2 * k, 2 * k + 1):
+            texts[d] = " ".join([*words(rng, 20), *hot, *side, *words(rng, 30)])
+        want.add((2 * k + 1, 2 * k))
+    got = {(d, o) for d, _, _, _, o in spans_of(spark, texts)}
+    assert got == want
+
+
+def test_similar_passages_are_found(spark):
+    """Passages of 60 words with words changed: nine of ten of those that have a similar passage are found."""
+    rng = np.random.default_rng(23)
+    texts = {}
+    for k in range(150):
+        one = words(rng, 60)
+        two = list(one)
+        for p in rng.integers(0, 60, 1 + k % 2):
+            two[p] = f"z{p}"
+        texts[2 * k], texts[2 * k + 1] = " ".join([*words(rng, 40), *one, *words(rng, 40)]), " ".join([*words(rng, 25), *two, *words(rng, 25)])
+    by_force = {d for k in range(0, 300, 2) for d, _ in passages_by_force({k: texts[k], k + 1: texts[k + 1]}, 50, 0.75)}
+    got = {d for d, *_ in spans_of(spark, texts)}
+    assert got <= by_force and len(got) >= 0.95 * len(by_force) > 50
 
 
 def spans_of(spark, texts, **how):
