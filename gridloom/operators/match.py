@@ -21,24 +21,32 @@ def candidate_pairs(dets: DataFrame, gts: DataFrame, least: float, same_class: b
     return pairs.select("image_id", "det_id", "conf", "cls", "gt_id", "gt_cls", "iou")
 
 
-def match_evaluation(dets: DataFrame, gts: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
-    """``det_id, thr, gt_id``: the evaluator's matches within a class at each threshold.
+def matched_thresholds(dets: DataFrame, gts: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
+    """``det_id, cls, gt_id, thrs``: the evaluator's matches within a class, with the thresholds at which each stands.
 
-    Each detection keeps its best truth; of the detections that claim a truth, the most confident one gets it.
+    Each detection keeps its best truth, whatever the threshold; of the detections that claim a truth, the most
+    confident one that reaches a threshold gets it there. So a detection holds the thresholds up to its own overlap
+    that no more confident claim reaches. Both windows keep the join's partitioning by image and class.
     """
     pairs = candidate_pairs(dets, gts, thresholds[0], same_class=True)
-    at = pairs.select("*", F.explode(F.array(*map(F.lit, thresholds))).alias("thr")).where(F.col("iou") >= F.col("thr"))
-    own = Window.partitionBy("thr", "image_id", "det_id").orderBy(F.desc("iou"), "gt_id")
-    claim = Window.partitionBy("thr", "image_id", "gt_id").orderBy(F.desc("conf"), "det_id")
-    first = at.withColumn("rk", F.row_number().over(own)).where("rk = 1")
-    return first.withColumn("rk", F.row_number().over(claim)).where("rk = 1").select("det_id", "thr", "gt_id")
+    own = Window.partitionBy("image_id", "cls", "det_id").orderBy(F.desc("iou"), "gt_id")
+    claim = Window.partitionBy("image_id", "cls", "gt_id").orderBy(F.desc("conf"), "det_id").rowsBetween(Window.unboundedPreceding, -1)
+    best = pairs.withColumn("rk", F.row_number().over(own)).where("rk = 1").withColumn("held", F.coalesce(F.max("iou").over(claim), F.lit(0.0)))
+    won = F.filter(F.array(*map(F.lit, thresholds)), lambda t: (F.col("iou") >= t) & (F.col("held") < t))
+    return best.select("det_id", "cls", "gt_id", won.alias("thrs")).where(F.size("thrs") > 0)
+
+
+def match_evaluation(dets: DataFrame, gts: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
+    """``det_id, thr, gt_id``: the matches of :func:`matched_thresholds`, a row for each threshold."""
+    return matched_thresholds(dets, gts, thresholds).select("det_id", F.explode("thrs").alias("thr"), "gt_id")
 
 
 def true_positives(dets: DataFrame, gts: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
     """``det_id, image_id, cls, conf, thr, tp`` for every detection and threshold."""
-    grid = dets.select("det_id", "image_id", "cls", "conf", F.explode(F.array(*map(F.lit, thresholds))).alias("thr"))
-    hit = match_evaluation(dets, gts, thresholds).select("det_id", "thr", F.lit(True).alias("tp"))
-    return grid.join(hit, ["det_id", "thr"], "left").withColumn("tp", F.coalesce("tp", F.lit(False)))
+    hit = matched_thresholds(dets, gts, thresholds).select("det_id", "thrs")
+    rows = dets.select("det_id", "image_id", "cls", "conf").join(hit, "det_id", "left")
+    grid = rows.select("*", F.explode(F.array(*map(F.lit, thresholds))).alias("thr"))
+    return grid.withColumn("tp", F.coalesce(F.array_contains("thrs", F.col("thr")), F.lit(False))).drop("thrs")
 
 
 def match_confusion(dets: DataFrame, gts: DataFrame, conf: float = 0.25, iou: float = 0.45) -> DataFrame:

@@ -9,56 +9,80 @@ from pyspark.sql import functions as F
 GRID, CURVE = 100, 1000
 
 
-def cumulative(tp: DataFrame, truths: DataFrame) -> DataFrame:
-    """``cls, thr, conf, det_id, ctp, n, n_truth, recall, precision`` by falling confidence.
+def _running(rows: DataFrame, keys: list[str], bucket: Column, order: list, **values: Column) -> DataFrame:
+    """``rows`` with the running sum of each of ``values`` (the row itself included), by ``keys`` and in ``order``.
 
-    One shuffle by class and threshold; a hot class is one ordered group by nature of the metric.
+    ``bucket`` must not fall along ``order``. Sums of buckets come first and then those inside a bucket, so a key that
+    holds a third of all rows is still many tasks' work.
     """
-    w = Window.partitionBy("cls", "thr").orderBy(F.desc("conf"), "det_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"_b": bucket, **{f"_{k}": v for k, v in values.items()}})
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys, "_b").agg(*[F.sum(f"_{k}").alias(f"_s{k}") for k in values])
+    sums = sums.select(*keys, "_b", *[F.coalesce(F.sum(f"_s{k}").over(before), F.lit(0)).alias(f"_t{k}") for k in values])
+    inside = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumns({f"_i{k}": F.sum(f"_{k}").over(inside) for k in values}).join(sums, [*keys, "_b"])
+    return out.withColumns({k: F.col(f"_i{k}") + F.col(f"_t{k}") for k in values}).drop("_b", *[f"_{p}{k}" for k in values for p in ("", "i", "t")])
+
+
+def by_confidence(rows: DataFrame, keys: list[str], **values: Column) -> DataFrame:
+    """Running sums by falling confidence, ties by ``det_id``."""
+    return _running(rows, keys, F.floor((1 - F.col("conf")) * 4096), [F.desc("conf"), "det_id"], **values)
+
+
+def cumulative(tp: DataFrame, truths: DataFrame) -> DataFrame:
+    """``cls, thr, conf, det_id, ctp, n, n_truth, recall, precision`` by falling confidence."""
     per = truths.groupBy("cls").agg(F.count("*").alias("n_truth"))
-    rows = tp.withColumn("ctp", F.sum(F.col("tp").cast("int")).over(w)).withColumn("n", F.count("*").over(w))
+    rows = by_confidence(tp, ["cls", "thr"], ctp=F.col("tp").cast("int"), n=F.lit(1))
     return rows.join(F.broadcast(per), "cls").select(  # one row a class
         "cls", "thr", "conf", "det_id", "tp", "ctp", "n", "n_truth",
         (F.col("ctp") / (F.col("n_truth") + 1e-16)).alias("recall"), (F.col("ctp") / F.col("n")).alias("precision"),
     )
 
 
-def envelope(curve: DataFrame) -> DataFrame:
-    """``cls, thr, recall, lo, hi``: at each distinct recall the least and greatest precision envelope.
+def average_precision(hits: DataFrame, truths: DataFrame) -> DataFrame:
+    """``cls, thr, ap``: the precision envelope at 101 recalls by linear interpolation, then the trapezoid rule.
 
-    Sentinels: precision one at recall zero, and zero after the last recall.
+    ``hits`` are the true positives of each class and threshold: ``cls, thr, n, total`` with the detections of the class
+    down to this one and in all. Precision between two of them only falls, so they tell the whole curve. Those of one
+    hundredth of recall become one row (its first and last recall, its best precision) before the curve is put in order,
+    so what is ordered has at most 101 rows a class and threshold. Sentinels: precision one at recall zero, and zero
+    after the last recall.
     """
-    per = curve.groupBy("cls", "thr", "recall").agg(F.max("precision").alias("top"), F.min(F.struct("n", "precision")).alias("a"), F.max(F.struct("n", "precision")).alias("z"))
-    later = Window.partitionBy("cls", "thr").orderBy(F.desc("recall")).rowsBetween(Window.unboundedPreceding, -1)
-    return per.select(
-        "cls", "thr", "recall", F.greatest("top", F.coalesce(F.max("top").over(later), F.lit(0.0))).alias("hi"),
-        F.greatest(F.col("z.precision"), F.coalesce(F.max("top").over(later), F.lit(0.0))).alias("lo"),
-    )
-
-
-def average_precision(curve: DataFrame) -> DataFrame:
-    """``cls, thr, ap``: the precision envelope at 101 recalls by linear interpolation, then the trapezoid rule."""
-    env = envelope(curve)
-    keys = env.select("cls", "thr").distinct()
-    first = keys.select("cls", "thr", F.lit(0.0).alias("recall"), F.lit(1.0).alias("hi"), F.lit(1.0).alias("lo"))
-    last = env.groupBy("cls", "thr").agg(F.max("recall").alias("recall")).select("cls", "thr", F.lit(1.0).alias("recall"), F.lit(0.0).alias("hi"), F.lit(0.0).alias("lo"))
-    end = env.groupBy("cls", "thr").agg(F.max("recall").alias("recall")).select("cls", "thr", "recall", F.lit(None).cast("double").alias("hi"), F.lit(0.0).alias("lo"))
-    # One row a recall: the value that a segment ends with on its left (hi), and that the next begins with (lo).
-    knots = env.unionByName(first).unionByName(last).unionByName(end).groupBy("cls", "thr", "recall").agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"))
-    w = Window.partitionBy("cls", "thr").orderBy("recall")
-    seg = knots.withColumn("r1", F.lead("recall").over(w)).withColumn("p1", F.lead("hi").over(w))
-    seg = seg.withColumn("from", F.ceil(F.round(F.col("recall") * GRID, 9))).withColumn("to", F.when(F.col("r1").isNull(), GRID).otherwise(F.ceil(F.round(F.col("r1") * GRID, 9)) - 1))
-    points = seg.where("to >= from").select("cls", "thr", "recall", "lo", "r1", "p1", F.explode(F.sequence("from", "to")).alias("k"))
+    per = truths.groupBy("cls").agg(F.count("*").alias("n_truth"))
+    rows = _running(hits, ["cls", "thr"], F.floor(F.col("n") / 65536), ["n"], ctp=F.lit(1)).join(F.broadcast(per), "cls")  # one row a class
+    rows = rows.withColumn("recall", F.col("ctp") / (F.col("n_truth") + 1e-16)).withColumn("cell", F.ceil(F.round(F.col("recall") * GRID, 9)))
+    cells = rows.groupBy("cls", "thr", "cell").agg(
+        F.min("recall").alias("r0"), F.max("recall").alias("r1"), F.max("ctp").alias("ctp"), F.min("n").alias("n0"), F.max("total").alias("total"), F.max(F.col("ctp") / F.col("n")).alias("top")
+    )
+    order = Window.partitionBy("cls", "thr").orderBy("cell")
+    later = order.rowsBetween(1, Window.unboundedFollowing)
+    cells = cells.withColumns({"after": F.max("top").over(later), "next_n": F.lead("n0").over(order), "first": F.row_number().over(order)})
+    # What a segment ends with at its first recall (hi), and what the next one begins with at its last (lo).
+    hi = F.greatest("top", F.coalesce("after", F.lit(0.0)))
+    lo = F.when(F.col("after").isNull(), 0.0).otherwise(F.greatest(F.col("ctp") / (F.col("next_n") - 1), F.col("after")))
+    start = cells.where("first = 1").select(
+        "cls", "thr", F.lit(0).cast("long").alias("cell"), F.lit(0.0).alias("r0"), F.lit(0.0).alias("r1"), F.lit(1.0).alias("hi"), F.when(F.col("n0") > 1, hi).otherwise(1.0).alias("lo")
+    )
+    knots = start.unionByName(cells.select("cls", "thr", "cell", "r0", "r1", hi.alias("hi"), lo.alias("lo")))
+    order = Window.partitionBy("cls", "thr").orderBy("cell")
+    ahead = {"to": F.coalesce(F.lead("cell").over(order) - 1, F.lit(GRID)), "x1": F.coalesce(F.lead("r0").over(order), F.lit(1.0)), "y1": F.coalesce(F.lead("hi").over(order), F.lit(0.0))}
+    points = knots.withColumns(ahead).select("cls", "thr", "r1", "lo", "x1", "y1", F.explode(F.sequence("cell", "to")).alias("k"))
     x = F.col("k") / F.lit(float(GRID))
-    y = F.when(F.col("r1").isNull(), F.col("lo")).otherwise(F.col("lo") + (F.col("p1") - F.col("lo")) * (x - F.col("recall")) / (F.col("r1") - F.col("recall")))
+    y = F.when(F.col("x1") > F.col("r1"), F.col("lo") + (F.col("y1") - F.col("lo")) * (x - F.col("r1")) / (F.col("x1") - F.col("r1"))).otherwise(F.col("lo"))
     weight = F.when(F.col("k").isin(0, GRID), 0.5).otherwise(1.0)
     return points.groupBy("cls", "thr").agg((F.sum(y * weight) / GRID).alias("ap"))
 
 
-def class_ap(tp: DataFrame, truths: DataFrame) -> DataFrame:
-    """``cls, thr, ap`` over the classes of the truths; a class without detections has zero."""
-    got = average_precision(cumulative(tp, truths))
-    grid = truths.select("cls").distinct().join(tp.select("thr").distinct(), F.lit(True))
+def class_ap(dets: DataFrame, matched: DataFrame, truths: DataFrame, thresholds: list[float]) -> DataFrame:
+    """``cls, thr, ap`` over the classes of the truths; a class without detections has zero.
+
+    ``matched`` has ``det_id`` and the thresholds ``thrs`` at which it is a true positive.
+    """
+    ranked = by_confidence(dets.select("det_id", "cls", "conf"), ["cls"], n=F.lit(1))
+    totals = dets.groupBy("cls").agg(F.count("*").alias("total"))
+    hits = ranked.join(matched.select("det_id", "thrs"), "det_id").join(F.broadcast(totals), "cls")  # one row a class
+    got = average_precision(hits.select("cls", "n", "total", F.explode("thrs").alias("thr")), truths)
+    grid = truths.select("cls").distinct().select("cls", F.explode(F.array(*map(F.lit, thresholds))).alias("thr"))
     return grid.join(got, ["cls", "thr"], "left").select("cls", "thr", F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 

@@ -239,14 +239,19 @@ def _tp(spark, d, thresholds=match.THRESHOLDS) -> DataFrame:
     return match.true_positives(detections(spark, d), ground_truth(spark, d), thresholds)
 
 
+def _class_ap(spark, d, thresholds=match.THRESHOLDS) -> DataFrame:
+    dets, gt = detections(spark, d), ground_truth(spark, d)
+    return metrics.class_ap(dets, match.matched_thresholds(dets, gt, thresholds), gt, thresholds)
+
+
 @query("a1_average_precision", ctes(_AP, "SELECT cls, thr, round(ap,6) ap FROM apc"))
 def a1(spark, d):
-    return metrics.class_ap(_tp(spark, d), ground_truth(spark, d)).select("cls", "thr", F.round("ap", 6).alias("ap"))
+    return _class_ap(spark, d).select("cls", "thr", F.round("ap", 6).alias("ap"))
 
 
 @query("a3_interpolated_ap50", ctes(_AP, "SELECT cls, round(ap,6) ap50 FROM apc WHERE thr=5e-1"))
 def a3(spark, d):
-    return metrics.class_ap(_tp(spark, d, [0.5]), ground_truth(spark, d)).select("cls", F.round("ap", 6).alias("ap50"))
+    return _class_ap(spark, d, [0.5]).select("cls", F.round("ap", 6).alias("ap50"))
 
 
 _MEANS = "SELECT round(avg(ap) FILTER (thr=5e-1),6) map50, round(avg(ap) FILTER (abs(thr-75e-2)<1e-9),6) map75, round(avg(ap),6) map FROM apc"
@@ -254,12 +259,12 @@ _MEANS = "SELECT round(avg(ap) FILTER (thr=5e-1),6) map50, round(avg(ap) FILTER
 
 @query("a4_metric_means", ctes(_AP, _MEANS))
 def a4(spark, d):
-    return metrics.metric_means(metrics.class_ap(_tp(spark, d), ground_truth(spark, d))).select(*[F.round(c, 6).alias(c) for c in ("map50", "map75", "map")])
+    return metrics.metric_means(_class_ap(spark, d)).select(*[F.round(c, 6).alias(c) for c in ("map50", "map75", "map")])
 
 
 @query("a5_class_map_vector", ctes(_AP, "SELECT CAST(k AS INT) cls, round(coalesce(m,(SELECT avg(ap) FROM apc)),6) map FROM (SELECT unnest(range(7)) k) LEFT JOIN (SELECT cls, avg(ap) m FROM apc GROUP BY cls) ON cls=k"))
 def a5(spark, d):
-    ap = metrics.class_ap(_tp(spark, d), ground_truth(spark, d))
+    ap = _class_ap(spark, d)
     per = ap.groupBy("cls").agg(F.avg("ap").alias("m")).select("cls", "m", F.avg("m").over(Window.partitionBy()).alias("all"))
     grid = spark.range(7).select(F.col("id").cast("int").alias("cls"))
     every = F.max("all").over(Window.partitionBy())
@@ -268,7 +273,7 @@ def a5(spark, d):
 
 @query("a6_fitness", ctes(_AP, "SELECT round(avg(ap),6) fitness FROM apc"))
 def a6(spark, d):
-    m = metrics.metric_means(metrics.class_ap(_tp(spark, d), ground_truth(spark, d)))
+    m = metrics.metric_means(_class_ap(spark, d))
     return m.select(F.round(metrics.fitness(F.col("map"), F.col("map50"), F.lit(0.0), F.lit(0.0)), 6).alias("fitness"))
 
 
@@ -308,9 +313,8 @@ def w3(spark, d):
 def a19(spark, d):
     """Class, images, instances, P, R, F1 at the best global confidence, mAP50 and mAP50-95."""
     gt = ground_truth(spark, d)
-    tp = _tp(spark, d)
-    point = metrics.best_operating_point(metrics.curves(tp, gt))
-    ap = metrics.class_ap(tp, gt).groupBy("cls").agg(F.avg(F.when(F.abs(F.col("thr") - 0.5) < 1e-9, F.col("ap"))).alias("map50"), F.avg("ap").alias("map"))
+    point = metrics.best_operating_point(metrics.curves(_tp(spark, d, [0.5]), gt))
+    ap = _class_ap(spark, d).groupBy("cls").agg(F.avg(F.when(F.abs(F.col("thr") - 0.5) < 1e-9, F.col("ap"))).alias("map50"), F.avg("ap").alias("map"))
     per = gt.groupBy("cls").agg(F.count("*").alias("instances"), F.countDistinct("image_id").alias("images"))
     return per.join(ap, "cls").join(point, "cls", "left").select("cls", "images", "instances", *[F.round(c, 5).alias(c) for c in ("precision", "recall", "f1", "map50", "map")])
 
