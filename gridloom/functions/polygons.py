@@ -135,18 +135,7 @@ def with_visible_box(df: DataFrame, poly: str, w: float, h: float) -> DataFrame:
 
 def with_resampled(df: DataFrame, poly: str, n: int, out: str) -> DataFrame:
     """``df`` with ``out``: ``n`` points at equal steps along the closed polygon (vertices stay if there is room)."""
-    df = df.withColumn("_closed", F.concat(F.col(poly), F.slice(poly, 1, 1)))
-    closed = F.col("_closed")
-    m = F.size(closed)
-    last = (m - 1).cast("double")
-    steps = F.when(m < n, F.greatest(F.lit(n) - m, F.lit(1))).otherwise(F.lit(n))
-    grid = F.transform(F.sequence(F.lit(0), steps - 1), lambda i: F.when(steps > 1, i * last / (steps - 1)).otherwise(0.0))
-    whole = F.transform(F.sequence(F.lit(0), m - 1), lambda i: i.cast("double"))
-    df = df.withColumn("_at", F.when(m < n, F.array_sort(F.concat(grid, whole))).otherwise(grid))
-
-    def lerp(t: Column) -> Column:
-        k = F.least(F.floor(t), last - 1).cast("int")
-        a, b, f = F.element_at(closed, k + 1), F.element_at(closed, k + 2), t - k
-        return F.struct((a["x"] + (b["x"] - a["x"]) * f).alias("x"), (a["y"] + (b["y"] - a["y"]) * f).alias("y"))
-
-    return df.withColumn(out, F.when(F.size(poly) == n, F.col(poly)).otherwise(F.transform("_at", lerp))).drop("_closed", "_at")
+    from gridloom.functions.shapes import resampled
+
+    df = df.withColumn("_path", resampled(n)(F.transform(poly, lambda p: p["x"]), F.transform(poly, lambda p: p["y"])))
+    return df.withColumn(out, F.zip_with("_path.x", "_path.y", lambda x, y: F.struct(x.alias("x"), y.alias("y")))).drop("_path")

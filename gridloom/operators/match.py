@@ -21,14 +21,14 @@ def candidate_pairs(dets: DataFrame, gts: DataFrame, least: float, same_class: b
     return pairs.select("image_id", "det_id", "conf", "cls", "gt_id", "gt_cls", "iou")
 
 
-def matched_thresholds(dets: DataFrame, gts: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
-    """``det_id, cls, gt_id, thrs``: the evaluator's matches within a class, with the thresholds at which each stands.
+def claims(pairs: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
+    """``det_id, cls, gt_id, thrs`` of ``image_id, det_id, conf, cls, gt_id, iou``: the evaluator's matches within a
+    class, with the thresholds at which each stands; ``iou`` may be any similarity.
 
     Each detection keeps its best truth, whatever the threshold; of the detections that claim a truth, the most
     confident one that reaches a threshold gets it there. So a detection holds the thresholds up to its own overlap
     that no more confident claim reaches. Both windows keep the join's partitioning by image and class.
     """
-    pairs = candidate_pairs(dets, gts, thresholds[0], same_class=True)
     own = Window.partitionBy("image_id", "cls", "det_id").orderBy(F.desc("iou"), "gt_id")
     claim = Window.partitionBy("image_id", "cls", "gt_id").orderBy(F.desc("conf"), "det_id").rowsBetween(Window.unboundedPreceding, -1)
     best = pairs.withColumn("rk", F.row_number().over(own)).where("rk = 1").withColumn("held", F.coalesce(F.max("iou").over(claim), F.lit(0.0)))
@@ -36,6 +36,11 @@ def matched_thresholds(dets: DataFrame, gts: DataFrame, thresholds: list[float]
     return best.select("det_id", "cls", "gt_id", won.alias("thrs")).where(F.size("thrs") > 0)
 
 
+def matched_thresholds(dets: DataFrame, gts: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
+    """:func:`claims` over the boxes of an image and class that overlap enough."""
+    return claims(candidate_pairs(dets, gts, thresholds[0], same_class=True), thresholds)
+
+
 def match_evaluation(dets: DataFrame, gts: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
     """``det_id, thr, gt_id``: the matches of :func:`matched_thresholds`, a row for each threshold."""
     return matched_thresholds(dets, gts, thresholds).select("det_id", F.explode("thrs").alias("thr"), "gt_id")

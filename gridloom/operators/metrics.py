@@ -123,12 +123,13 @@ def curves(tp: DataFrame, truths: DataFrame) -> DataFrame:
     x = F.col("k") / F.lit(float(last))
     inner = seg.where("c1 is not null").select("*", F.explode(F.sequence(lo, F.greatest(hi, lo))).alias("k")).where(x < F.col("c1"))
     part = F.when(F.col("c1") > F.col("conf"), (x - F.col("conf")) / (F.col("c1") - F.col("conf")))
-    mid = inner.select("cls", "k", (F.col("r0") + (F.col("nx.recall") - F.col("r0")) * part).alias("recall"), (F.col("p0") + (F.col("nx.precision") - F.col("p0")) * part).alias("precision"))
+    between = lambda low, own, next_: F.when(x == F.col("conf"), F.col(own)).otherwise(F.col(low) + (F.col(next_) - F.col(low)) * part)
+    mid = inner.select("cls", "k", between("r0", "rz", "nx.recall").alias("recall"), between("p0", "pz", "nx.precision").alias("precision"))
     below = seg.where("c0 is null").select("cls", "rz", "pz", F.explode(F.sequence(F.lit(0), F.greatest(lo - 1, F.lit(0)))).alias("k"), "conf")
     below = below.where(x < F.col("conf")).select("cls", "k", F.col("rz").alias("recall"), F.col("pz").alias("precision"))
-    above = seg.where("c1 is null").select("cls", "r0", "p0", "conf", F.explode(F.sequence(F.least(lo, F.lit(last)), F.lit(last))).alias("k"))
+    above = seg.where("c1 is null").select("cls", "rz", "pz", "conf", F.explode(F.sequence(F.least(lo, F.lit(last)), F.lit(last))).alias("k"))
     above = above.where(x >= F.col("conf")).select(
-        "cls", "k", F.when(x > F.col("conf"), 0.0).otherwise(F.col("r0")).alias("recall"), F.when(x > F.col("conf"), 1.0).otherwise(F.col("p0")).alias("precision")
+        "cls", "k", F.when(x > F.col("conf"), 0.0).otherwise(F.col("rz")).alias("recall"), F.when(x > F.col("conf"), 1.0).otherwise(F.col("pz")).alias("precision")
     )
     f1 = F.col("precision") * 2 * F.col("recall") / (F.col("precision") + F.col("recall") + 1e-16)
     return mid.unionByName(below).unionByName(above).withColumn("f1", f1)

@@ -130,21 +130,38 @@ def n8(spark, d):
     return suppress.merge_tiles(rows).select("det_id", "cls", "conf", "image_id")
 
 
-@query("n5_rotated_nms")
+_ROTATED = """rb AS (SELECT *, (x1+x2)/2 ox, (y1+y2)/2 oy, x2-x1 w, y2-y1 h, conf*3-5e-1 r, row_number() OVER (PARTITION BY image_id, cls ORDER BY conf DESC, det_id) rk FROM detections WHERE conf>25e-2),
+  rc AS (SELECT *, w*w/12*cos(r)*cos(r)+h*h/12*sin(r)*sin(r) a, w*w/12*sin(r)*sin(r)+h*h/12*cos(r)*cos(r) b, (w*w/12-h*h/12)*cos(r)*sin(r) c FROM rb),
+  rp AS (SELECT p.det_id, p.a+q.a a, p.b+q.b b, p.c+q.c c, p.ox-q.ox dx, p.oy-q.oy dy, greatest(p.a*p.b-p.c*p.c,0e0)*greatest(q.a*q.b-q.c*q.c,0e0) own
+    FROM rc p JOIN rc q ON p.image_id=q.image_id AND p.cls=q.cls AND q.rk<p.rk)"""
+_UNTURNED = """SELECT det_id, image_id, cls, conf FROM rb WHERE det_id NOT IN (SELECT det_id FROM (SELECT det_id, (a*dy*dy+b*dx*dx)/(a*b-c*c+1e-7)*25e-2+c*(-dx)*dy/(a*b-c*c+1e-7)*5e-1
+  +ln((a*b-c*c)/(sqrt(own)*4+1e-7)+1e-7)*5e-1 bd FROM rp) WHERE 1e0-sqrt(1e0-exp(-least(greatest(bd,1e-7),1e2))+1e-7)>=45e-2)"""
+
+
+@query("n5_rotated_nms", ctes(DETECTIONS, _ROTATED, _UNTURNED))
 def n5(spark, d):
-    """Fast suppression by the oriented similarity; boxes farther apart than their reach are not compared."""
+    """Fast suppression by the oriented similarity; boxes whose enclosing circles are apart (0.3 at most) are not compared."""
     rows = detections(spark, d).where("conf > 25e-2")
     obb = lambda p: O.Obb((F.col(f"{p}x1") + F.col(f"{p}x2")) / 2, (F.col(f"{p}y1") + F.col(f"{p}y2")) / 2, F.col(f"{p}x2") - F.col(f"{p}x1"), F.col(f"{p}y2") - F.col(f"{p}y1"), F.col(f"{p}conf") * 3 - 0.5)
-    kept = suppress.fast_nms(rows, 0.45, similarity=lambda p, q: O.probiou(obb(p), obb(q)), near=lambda p, q: F.lit(True))
+    reach = lambda o: F.sqrt(o.w * o.w + o.h * o.h) / 2
+    near = lambda a, b: (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= (reach(a) + reach(b)) * (reach(a) + reach(b))
+    kept = suppress.fast_nms(rows, 0.45, similarity=lambda p, q: O.probiou(obb(p), obb(q)), near=lambda p, q: near(obb(p), obb(q)))
     return kept.select("det_id", "image_id", "cls", "conf")
 
 
-@query("m11_deleted_box_recovery")
+_named = lambda name, iou: _GREEDY.replace("g0 ", f"g0{name} ").replace("FROM g0)", f"FROM g0{name})").replace("g1 AS", f"g1{name} AS").replace("FROM g1)", f"FROM g1{name})").replace("nms AS", f"{name} AS").replace("45e-2", iou)
+_top = lambda name: f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, det_id) rk FROM {name}) WHERE rk<=300)"
+
+
+@query("m11_deleted_box_recovery", ctes(DETECTIONS, _named("strict", "1e-1"), _named("loose", "7e-1"),
+    f"SELECT det_id, image_id, cls, conf FROM {_top('loose')} a WHERE NOT EXISTS (SELECT 1 FROM {_top('strict')} b WHERE a.image_id=b.image_id AND {_touch} AND {_iou}>=6e-1)"))
 def m11(spark, d):
     return suppress.recovered(detections(spark, d), 0.25, 0.1, 0.7, 0.6).select("det_id", "image_id", "cls", "conf")
 
 
-@query("n9_track_aware_nms")
+@query("n9_track_aware_nms", ctes(DETECTIONS.replace("detections AS (", "dets AS (", 1), GT,
+    f"detections AS (SELECT * FROM dets a WHERE conf>25e-2 AND NOT EXISTS (SELECT 1 FROM gt b WHERE gt_id%5=0 AND a.image_id=b.image_id AND {_touch} AND {_iou}>4e-1))",
+    _GREEDY, "SELECT det_id, image_id, cls, conf FROM nms"))
 def n9(spark, d):
     """Candidates that overlap a track (here: a truth box) go; the rest are suppressed greedily."""
     t = ground_truth(spark, d).where("gt_id % 5 = 0").select(F.col("image_id").alias("o_image_id"), *[F.col(c).alias(f"o_{c}") for c in ("x1", "y1", "x2", "y2")])
@@ -291,25 +308,47 @@ def a9(spark, d):
     return ground_truth(spark, d).groupBy("cls").agg(F.count("*").alias("instances"), F.countDistinct("image_id").alias("images"))
 
 
-@query("e7_curves")
+_CURVE = f"""{_AP}, c5 AS (SELECT cls, conf, n, recall r, prec p FROM cv WHERE thr=5e-1),
+  hn AS (SELECT g.cls, k, x, count(c.n) hn FROM (SELECT cls, k, k/999e0 x FROM (SELECT DISTINCT cls FROM c5), (SELECT unnest(range(1000)) k)) g LEFT JOIN c5 c ON c.cls=g.cls AND c.conf>=x GROUP BY ALL),
+  rp AS (SELECT h.cls, k, CASE WHEN hn=0 THEN 0 WHEN b.n IS NULL OR a.conf=x THEN a.r ELSE a.r+(b.r-a.r)*(a.conf-x)/(a.conf-b.conf) END recall,
+    CASE WHEN hn=0 THEN 1 WHEN b.n IS NULL OR a.conf=x THEN a.p ELSE a.p+(b.p-a.p)*(a.conf-x)/(a.conf-b.conf) END "precision"
+    FROM hn h LEFT JOIN c5 a ON a.cls=h.cls AND a.n=hn LEFT JOIN c5 b ON b.cls=h.cls AND b.n=hn+1),
+  crv AS (SELECT *, "precision"*2*recall/("precision"+recall+1e-16) f1 FROM rp),
+  sm AS (SELECT k, (sum(f1) OVER (ORDER BY k ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING)+greatest(50-k,0)*first(f1) OVER o+greatest(k-949,0)*last(f1) OVER o)/101 smoothed
+    FROM (SELECT k, avg(f1) f1 FROM crv GROUP BY k) WINDOW o AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+_rounded = lambda digits, *names: ", ".join(f'round("{n}",{digits}) "{n}"' for n in names)
+
+
+@query("e7_curves", ctes(_CURVE, f"SELECT cls, k, {_rounded(6, 'recall', 'precision', 'f1')} FROM crv"))
 def e7(spark, d):
     c = metrics.curves(_tp(spark, d, [0.5]), ground_truth(spark, d))
     return c.select("cls", "k", *[F.round(x, 6).alias(x) for x in ("recall", "precision", "f1")])
 
 
-@query("e8_mean_curves")
+@query("e8_mean_curves", ctes(_CURVE, f"SELECT k, {_rounded(6, 'recall', 'precision', 'f1')} FROM (SELECT k, avg(recall) recall, avg(\"precision\") \"precision\", avg(f1) f1 FROM crv GROUP BY k)"))
 def e8(spark, d):
     c = metrics.curves(_tp(spark, d, [0.5]), ground_truth(spark, d))
     return c.groupBy("k").agg(*[F.round(F.avg(x), 6).alias(x) for x in ("recall", "precision", "f1")])
 
 
-@query("w3_smoothed_f1")
+@query("w3_smoothed_f1", ctes(_CURVE, "SELECT k, round(smoothed,6) smoothed FROM sm"))
 def w3(spark, d):
     mean = metrics.curves(_tp(spark, d, [0.5]), ground_truth(spark, d)).groupBy("k").agg(F.avg("f1").alias("f1"))
     return metrics.smooth(mean, "f1").select("k", F.round("smoothed", 6).alias("smoothed"))
 
 
-@query("a19_metrics_summary")
+_POINT = f"{_CURVE}, pt1 AS (SELECT * FROM crv WHERE k=(SELECT k FROM sm ORDER BY smoothed DESC, k LIMIT 1))"
+
+
+@query("a4_mean_precision_recall", ctes(_POINT, 'SELECT round(avg("precision"),6) mp, round(avg(recall),6) mr FROM pt1'))
+def a4_means(spark, d):
+    """Mean precision and recall of the classes at the confidence of the best smoothed mean F1."""
+    point = metrics.best_operating_point(metrics.curves(_tp(spark, d, [0.5]), ground_truth(spark, d)))
+    return point.agg(F.round(F.avg("precision"), 6).alias("mp"), F.round(F.avg("recall"), 6).alias("mr"))
+
+
+@query("a19_metrics_summary", ctes(_POINT, f"""SELECT cls, images, instances, {_rounded(5, 'precision', 'recall', 'f1', 'map50', 'map')}
+  FROM (SELECT cls, count(*) instances, count(DISTINCT image_id) images FROM gt GROUP BY cls) JOIN (SELECT cls, avg(ap) FILTER (thr=5e-1) map50, avg(ap) map FROM apc GROUP BY cls) USING (cls) LEFT JOIN pt1 USING (cls)"""))
 def a19(spark, d):
     """Class, images, instances, P, R, F1 at the best global confidence, mAP50 and mAP50-95."""
     gt = ground_truth(spark, d)
@@ -391,7 +430,9 @@ def a34(spark, d):
     return kept.agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
 
 
-@query("j20_near_duplicate_tracks")
+@query("j20_near_duplicate_tracks", ctes(DETECTIONS, "ag AS (SELECT *, CAST(trunc(conf*100) AS INT) age FROM detections)",
+    f"cl AS (SELECT a.det_id ta, b.det_id tb, a.age>b.age older FROM (SELECT * FROM ag WHERE cls=0) a JOIN (SELECT * FROM ag WHERE cls=1) b ON a.image_id=b.image_id AND {_touch} AND 1-{_iou}<5e-1)",
+    "SELECT det_id track_id, 'a' side FROM detections WHERE cls=0 AND det_id NOT IN (SELECT ta FROM cl WHERE NOT older) UNION ALL SELECT det_id, 'b' FROM detections WHERE cls=1 AND det_id NOT IN (SELECT tb FROM cl WHERE older)"))
 def j20(spark, d):
     rows = detections(spark, d).withColumn("age", (F.col("conf") * 100).cast("int"))
     cols = [F.col("det_id").alias("track_id"), "image_id", "age", "x1", "y1", "x2", "y2"]

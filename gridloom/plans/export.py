@@ -40,7 +40,11 @@ for _n in ("k1_rows_out", "e5_slice_rows"):
     QUERIES[_n], ORACLES[_n] = e1, ORACLES["e1_detection_rows"]
 
 
-@query("e4_normalized_views", ctes(DETECTIONS, f"SELECT det_id, {_N} name, round(x1/640,5) x1, round(y1/600,5) y1 FROM detections"))
+#: Five digits of a value's decimal text, half up, as Spark's round has it.
+_half_up = lambda v: f"CAST(round(CAST(CAST({v} AS VARCHAR) AS DECIMAL(20,12)),5) AS DOUBLE)"
+
+
+@query("e4_normalized_views", ctes(DETECTIONS, f"SELECT det_id, {_N} name, {_half_up('x1/640')} x1, {_half_up('y1/600')} y1 FROM detections"))
 def e4(spark, d):
     return E.detection_rows(detections(spark, d), names(spark), 640.0, 600.0).select("det_id", "name", "box.x1", "box.y1")
 

@@ -81,6 +81,28 @@ def _f16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["f16_segment2box"] = _f16
+
+
+def _visible_sql() -> str:
+    """Points of the quadrilaterals inside 320 x 300, crossings of its borders, and its corners inside the quadrilateral."""
+    rows = [f"SELECT det_id, px{i} x, py{i} y FROM oc WHERE px{i} BETWEEN 0 AND 320 AND py{i} BETWEEN 0 AND 300" for i in range(1, 5)]
+    for i in range(1, 5):
+        k = i % 4 + 1
+        for bound, limit in ((0, 300), (320, 300)):
+            rows.append(f"SELECT det_id, {bound}e0, y FROM (SELECT det_id, t, py{i}+t*(py{k}-py{i}) y FROM (SELECT *, ({bound}-px{i})/nullif(px{k}-px{i},0) t FROM oc)) WHERE t BETWEEN 0 AND 1 AND y BETWEEN 0 AND {limit}")
+        for bound, limit in ((0, 320), (300, 320)):
+            rows.append(f"SELECT det_id, x, {bound}e0 FROM (SELECT det_id, t, px{i}+t*(px{k}-px{i}) x FROM (SELECT *, ({bound}-py{i})/nullif(py{k}-py{i},0) t FROM oc)) WHERE t BETWEEN 0 AND 1 AND x BETWEEN 0 AND {limit}")
+    for x, y in ((0, 0), (320, 0), (0, 300), (320, 300)):
+        turns = [f"sign(({x}-px{i})*(py{i % 4 + 1}-py{i})-({y}-py{i})*(px{i % 4 + 1}-px{i}))" for i in range(1, 5)]
+        rows.append(f"SELECT det_id, {x}e0, {y}e0 FROM oc WHERE greatest({','.join(turns)})<=0 OR least({','.join(turns)})>=0")
+    return " UNION ALL ".join(rows)
+
+
+_whole = lambda f, a: f"{f}({','.join(f'p{a}{i}' for i in range(1, 5))})"
+ORACLES["f16_segment2box"] = ctes(_obb_view, f"seen AS ({_visible_sql()})", "sb AS (SELECT det_id, min(x) x1, min(y) y1, max(x) x2, max(y) y2 FROM seen GROUP BY det_id)",
+    f"SELECT oc.det_id, round(CASE WHEN i THEN {_whole('least', 'x')} ELSE coalesce(x1,0) END,3) x1, round(CASE WHEN i THEN {_whole('least', 'y')} ELSE coalesce(y1,0) END,3) y1, "
+    f"round(CASE WHEN i THEN {_whole('greatest', 'x')} ELSE coalesce(x2,0) END,3) x2, round(CASE WHEN i THEN {_whole('greatest', 'y')} ELSE coalesce(y2,0) END,3) y2 "
+    f"FROM (SELECT *, {_whole('least', 'x')}>=0 AND {_whole('least', 'y')}>=0 AND {_whole('greatest', 'x')}<=320 AND {_whole('greatest', 'y')}<=300 i FROM oc) oc LEFT JOIN sb USING (det_id)")
 _add("f17_segments2boxes", lambda: [F.round(v, 4).alias(n) for v, n in zip(B.xyxy2xywh(P.polygon_box(_quad())), C)],
      "round((least(px1,px2,px3,px4)+greatest(px1,px2,px3,px4))/2,4) cx, round((least(py1,py2,py3,py4)+greatest(py1,py2,py3,py4))/2,4) cy, round(greatest(px1,px2,px3,px4)-least(px1,px2,px3,px4),4) w, round(greatest(py1,py2,py3,py4)-least(py1,py2,py3,py4),4) h",
      view=_obb_view, table="oc")
@@ -89,12 +111,15 @@ _add("f17_segments2boxes", lambda: [F.round(v, 4).alias(n) for v, n in zip(B.xyx
 def _f18(spark: SparkSession, sf_dir: str) -> DataFrame:
     quads = detections(spark, sf_dir).select("det_id", _quad().alias("poly"))
     points = P.with_resampled(quads, "poly", 16, "path").select("det_id", F.posexplode("path").alias("k", "p"))
-    return points.select("det_id", "k", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"))
+    return points.select("det_id", "k", (F.round("p.x", 3) + 0.0).alias("x"), (F.round("p.y", 3) + 0.0).alias("y"))  # no minus zero
 
 
 QUERIES["f18_resample_segments"] = _f18
+_lerp = lambda a: "CASE s WHEN 0 THEN p{0}1+(p{0}2-p{0}1)*f WHEN 1 THEN p{0}2+(p{0}3-p{0}2)*f WHEN 2 THEN p{0}3+(p{0}4-p{0}3)*f ELSE p{0}4+(p{0}1-p{0}4)*f END".format(a)
+ORACLES["f18_resample_segments"] = ctes(_obb_view, """steps AS (SELECT CAST(row_number() OVER (ORDER BY t)-1 AS INT) k, CAST(least(floor(t),3) AS INT) s, t-least(floor(t),3) f FROM
+  (SELECT unnest(range(11))*4e-1 t UNION ALL SELECT unnest(range(5))*1e0))""", f"SELECT det_id, k, round({_lerp('x')},3)+0e0 x, round({_lerp('y')},3)+0e0 y FROM oc CROSS JOIN steps")
 _add("f19_make_divisible", lambda: [B.make_divisible(F.col("x2"), 32).alias("w32"), B.make_divisible(F.col("y2"), 32).alias("h32")], "CAST(ceil(x2/32)*32 AS BIGINT) w32, CAST(ceil(y2/32)*32 AS BIGINT) h32")
-_add("f20_clean_str", lambda: [B.clean_str(F.substring("text", 1, 200)).alias("clean")], "regexp_replace(substr(text,1,200), '" + B.SPECIAL + "', '_', 'g') clean",
+_add("f20_clean_str", lambda: [B.clean_str(F.col("text")).alias("clean")], "regexp_replace(text, '" + B.SPECIAL + "', '_', 'g') clean",
      frame=lambda s, d: read(s, d, "documents"), keys=("doc_id",), view="one AS (SELECT 1)", table="documents")
 _add("f21_box_area", lambda: [B.area(B.box()).alias("area")], "(x2-x1)*(y2-y1) area")
 _add("f22_format_convert", lambda: [*B.convert(B.convert(B.box(), "xyxy", "ltwh"), "ltwh", "xywh").named(*C)], "(x1+(x1+(x2-x1)))/2 cx, (y1+(y1+(y2-y1)))/2 cy, x1+(x2-x1)-x1 w, y1+(y2-y1)-y1 h")

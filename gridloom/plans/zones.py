@@ -37,7 +37,14 @@ def p7(spark, d):
     return tracks(spark, d).select("event_id", *[Z.P.contains(p, F.col("cx"), F.col("cy"), True).alias(n.lower()) for n, p in REGIONS.items()])
 
 
-@query("p8_segment_crosses_line", ctes(TRACKS, _PREV, "SELECT event_id, (px IS NOT NULL AND least(py,cy)<=200 AND greatest(py,cy)>=200 AND (CASE WHEN py=cy THEN least(px,cx)<=490 AND greatest(px,cx)>=0 ELSE px+(cx-px)*(200-py)/(cy-py) BETWEEN 0 AND 490 END)) h FROM pv"))
+_CROSS = """SELECT event_id, coalesce((d1*d2<0 AND d3*d4<0) OR (d1=0 AND px BETWEEN 0 AND 490 AND py=200) OR (d2=0 AND cx BETWEEN 0 AND 490 AND cy=200)
+  OR (d3=0 AND 0 BETWEEN least(px,cx) AND greatest(px,cx) AND 200 BETWEEN least(py,cy) AND greatest(py,cy))
+  OR (d4=0 AND 490 BETWEEN least(px,cx) AND greatest(px,cx) AND 200 BETWEEN least(py,cy) AND greatest(py,cy)), false) h FROM (
+  SELECT event_id, px, py, cx, cy, sign(49e1*(py-2e2)-0*(px-0)) d1, sign(49e1*(cy-2e2)-0*(cx-0)) d2,
+    sign((cx-px)*(2e2-py)-(cy-py)*(0-px)) d3, sign((cx-px)*(2e2-py)-(cy-py)*(49e1-px)) d4 FROM pv)"""
+
+
+@query("p8_segment_crosses_line", ctes(TRACKS, _PREV, _CROSS))
 def p8(spark, d):
     rows = Z.with_previous(tracks(spark, d))
     hit = Z.P.crosses((F.col("px"), F.col("py")), (F.col("cx"), F.col("cy")), LINE_H)
