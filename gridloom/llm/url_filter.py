@@ -34,7 +34,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), path
 
 
-def _block(key: Column, blocks: int) -> Column:
+def block_of(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(17), key), F.lit(blocks)).cast("int")
 
 
@@ -44,7 +44,7 @@ def _probes(key: Column) -> list[Column]:
     return [F.shiftrightunsigned(h, 8 * i).bitwiseAND(F.lit(64 * LANES - 1)).cast("int") for i in range(PROBES)]
 
 
-def _lane_masks(key: Column) -> list[Column]:
+def lane_masks(key: Column) -> list[Column]:
     bits = _probes(key)
     out = []
     for lane in range(LANES):
@@ -59,7 +59,7 @@ def _lane_masks(key: Column) -> list[Column]:
 def bloom_blocks(keys: DataFrame, blocks: int) -> DataFrame:
     """``(block, l0..l3)``: the filter, one row for each block that has a bit set; OR is merged by partial aggregation."""
     k = F.col("key")
-    masks = keys.select(_block(k, blocks).alias("block"), *[m.alias(f"l{i}") for i, m in enumerate(_lane_masks(k))])
+    masks = keys.select(block_of(k, blocks).alias("block"), *[m.alias(f"l{i}") for i, m in enumerate(lane_masks(k))])
     return masks.groupBy("block").agg(*[F.bit_or(f"l{i}").alias(f"l{i}") for i in range(LANES)])
 
 
@@ -102,11 +102,11 @@ def judge_urls(
     )
     blocks = 1 << max(0, math.ceil(math.log2(max(1, n * BITS_PER_KEY / (64 * LANES)))))
     bloom = checked_broadcast(bloom_blocks(rules, blocks), blocks, 8 * LANES + 4, broadcast_limit)
-    masks = _lane_masks(F.col("key"))
+    masks = lane_masks(F.col("key"))
     may = (
-        keys.withColumn("block", _block(F.col("key"), blocks))
+        keys.withColumn("block", block_of(F.col("key"), blocks))
         .join(bloom, "block")
-        .where(_all_set(masks))
+        .where(all_set(masks))
         .select("host", "path", "key")
     )
     sure = may.join(checked_broadcast(rules, n, key_bytes // n + 32, broadcast_limit), "key")
@@ -120,7 +120,7 @@ def judge_urls(
     )
 
 
-def _all_set(masks: list[Column]) -> Column:
+def all_set(masks: list[Column]) -> Column:
     ok = F.lit(True)
     for i, m in enumerate(masks):
         ok = ok & (F.col(f"l{i}").bitwiseAND(m) == m)

@@ -2,7 +2,7 @@ import numpy as np
 from gridloom.llm import embedding_dedup
 from gridloom.llm import minhash_dedup as near
 from gridloom.llm.embedding_dedup import near_vectors
-from gridloom.llm.exact_dedup import exact_dedup
+from gridloom.llm.exact_dedup import exact_dedup, sha256
 
 
 def shingles(text):
@@ -129,3 +129,23 @@ def test_exact_dedup(spark):
     small = {r["doc_id"]: r for r in exact_dedup(docs, keep="smallest").collect()}
     assert small[3]["keep_id"] == 1 and small[1]["kept"] and not small[3]["kept"]
     assert exact_dedup(docs.limit(0)).count() == 0
+
+
+def test_exact_dedup_of_repeated_ids_and_of_one_digest_for_several_texts(spark):
+    from collections import defaultdict
+
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(12)
+    data = [(1, "a"), (1, "b"), (2, "a"), (None, "a"), (None, "lone"), (None, "lone"), (7, None), (8, "")]
+    data += [(int(rng.integers(10, 300)), f"text {rng.integers(0, 120)}") for _ in range(400)]
+    docs = spark.createDataFrame([(*r, 1) for r in data], "doc_id long, text string, copies int").repartition(7)
+    for keep, best in (("smallest", min), ("largest", max)):
+        ids = defaultdict(list)
+        for i, t in data:
+            ids[t or ""].append(i)
+        chosen = {t: best([i for i in v if i is not None], default=None) for t, v in ids.items()}
+        want = sorted((repr(i), repr(chosen[t or ""]), len(ids[t or ""]), i == chosen[t or ""]) for i, t in data)
+        for digest in (sha256, lambda t: F.substring(sha256(t), 1, 1)):  # and 256 digests for all texts
+            got = exact_dedup(docs, keep=keep, memtables=5, digest=digest).collect()
+            assert sorted((repr(r["doc_id"]), repr(r["keep_id"]), r["group_size"], r["kept"]) for r in got) == want
