@@ -5,7 +5,8 @@ length one; each language's vectors are clustered by spherical k-means into a fe
 out from that clustering set, by length, the distance beyond which a text is rejected. Prediction: cosine with all centroids; the nearest decides.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0 and rejected; very long texts are read
-whole; rows repeat as they come; with no labelled text every text is ``und``; extra columns are ignored.
+whole; rows repeat as they come; with no labelled text every text is ``und``, and none with a letter is rejected, as
+there is nothing to measure it by; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import mixed, text_bytes
@@ -57,9 +58,8 @@ def grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class CentroidModel:
     """Languages, IDF, centroids (a row each) and the least cosine of each language and length class."""
 
-    def __init__(self, texts: list[bytes], langs: list[str], clusters: int = CENTROIDS):
-        rows = [grams(np.frombuffer(t, np.uint8)) for t in texts]
-        classes = np.searchsorted(LENGTHS, [len(t) for t in texts], side="right")
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], sizes: list[int], langs: list[str], clusters: int = CENTROIDS):
+        classes = np.searchsorted(LENGTHS, sizes, side="right")
         seen = np.zeros(DIMS)
         for at, _ in rows:
             seen[at] += 1
@@ -82,7 +82,7 @@ class CentroidModel:
     def predict(self, data: np.ndarray) -> tuple[str, float, bool]:
         at, n = grams(data)
         if not len(at) or not self.langs:
-            return "und", 0.0, True
+            return "und", 0.0, bool(self.langs)
         v = (1 + np.log(n)) * self.idf[at]
         cos = (v @ self.table[at]) / max(float(np.sqrt(v @ v)), 1e-12)
         k = int(cos.argmax())
@@ -121,26 +121,32 @@ def _spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE_PER_LANGUAGE) -> CentroidModel:
-    """A model from at most ``sample`` documents of each language (those of smallest id hash; a documented bound)."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).where(F.col(text_col).rlike(_LETTER))
+    """A model from at most ``sample`` documents of each language (those of smallest id hash; a documented bound).
+
+    One scan of ids and languages chooses them, another reads their texts; what the driver gets are counts of hashed
+    n-grams, at most ``DIMS`` a document. Chosen documents without a letter, and null ids, teach nothing.
+    """
     rank = F.xxhash64(F.col(id_col).cast("string"), F.col(lang_col))
-    top = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), rank.alias("rank"))
-    langs = [r[0] for r in top.groupBy("lang").count().orderBy("lang").collect()]
-    chosen = None
-    for lang in langs:  # one bounded top-n a language, over ids alone
-        part = top.where(F.col("lang") == lang).orderBy("rank", "id").limit(sample).select("id", "lang")
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if chosen is None:
-        return CentroidModel([], [])
-    got = (
-        rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
-        .join(F.broadcast(chosen.distinct()), "id")
-        .select("id", "lang", "t")
-        .orderBy("id", "lang", "t")
-        .limit(sample * len(langs))
-        .toPandas()
-    )
-    return CentroidModel([bytes(t) for t in got["t"]], got["lang"].tolist())
+    names = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), rank.alias("rank")).distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "id"))
+    chosen = names.withColumn("place", place).where(F.col("place") <= sample).select("id", "lang")
+
+    def counted(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            data, at = text_bytes(batch.column(1))
+            found = [grams(data[at[i] : at[i + 1]]) for i in range(batch.num_rows)]
+            raw = [[v.astype(kind).tobytes() for v in pair] for pair in found for kind in ("<i4",)]
+            cols = [pa.array([r[k] for r in raw], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), *cols], ["lang", "size", "grams", "counts"])
+
+    texts = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("t"))
+    texts = texts.join(F.broadcast(chosen), ["id", "lang"]).where(F.col("t").rlike(_LETTER))  # at most sample rows a language
+    texts = texts.groupBy("id", "lang").agg(F.min("t").alias("t")).select("lang", "t")
+    got = texts.mapInArrow(counted, "lang string, size long, grams binary, counts binary").toPandas().sort_values(["lang", "grams", "counts"])
+    rows = [(np.frombuffer(g, "<i4"), np.frombuffer(c, "<i4").astype(float)) for g, c in zip(got["grams"], got["counts"])]
+    return CentroidModel(rows, got["size"].tolist(), got["lang"].tolist())
 
 
 def identify(docs: DataFrame, model: CentroidModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

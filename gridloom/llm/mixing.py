@@ -10,8 +10,9 @@ Running sums are taken in two steps (sums of small id-hash buckets, then within
 all rows is still spread over all tasks.
 
 Defined cases: a null text has size 0 and nothing is taken of it; a null source is a source of its own, ordered last;
-a source without words has target 0; repeated rows count one by one (ties of the order are broken by row content, equal
-rows share what is taken of them in any order); extra columns are ignored; an empty table gives an empty result.
+a source without words has target 0; rows that repeat an id count one by one and are told apart by a number (``copy``,
+in order of source, size and text); extra columns are ignored; an empty table gives an empty result. Sources are names,
+so their table (a row each) is put in order in one task; 100,000 of them are no burden, one source a document would be.
 """
 
 from __future__ import annotations
@@ -64,13 +65,24 @@ def van_der_corput(i: Column) -> Column:
     return F.conv(F.reverse(F.lpad(F.bin(i), POINT_BITS, "0")), 2, 10).cast("long")
 
 
+def numbered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` with ``_copy``: 1, or where an id repeats the place of the row among those of its id."""
+    again = docs.groupBy(id_col).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(id_col).alias("_again"))
+    if again.isEmpty():
+        return docs.withColumn("_copy", F.lit(1))
+    marked = docs.join(again, docs[id_col].eqNullSafe(again["_again"]), "left_semi")
+    alone = docs.join(again, docs[id_col].eqNullSafe(again["_again"]), "left_anti").withColumn("_copy", F.lit(1))
+    order = Window.partitionBy(id_col).orderBy(source_col, F.length(text_col), F.xxhash64(text_col))
+    return alone.unionByName(marked.withColumn("_copy", F.row_number().over(order)))
+
+
 def _running(rows: DataFrame, group: list[str], value: str, out: str) -> DataFrame:
     """Sum of ``value`` over the rows before each row of its ``group`` in order of ``(bucket, key)``."""
     sums = rows.groupBy(*group, "bucket").agg(F.sum(value).alias("_s"))
     before = sums.withColumn(
         "_before", F.coalesce(F.sum("_s").over(Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ).drop("_s")
-    inside = Window.partitionBy(*group, "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*group, "bucket").orderBy("key", "doc_id", "copy").rowsBetween(Window.unboundedPreceding, -1)
     part = rows.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return part.join(before, [*group, "bucket"]).withColumn(out, F.col("_before") + F.col("_in")).drop("_before", "_in")
 
@@ -97,12 +109,12 @@ def schedule(targets: DataFrame, block: int, path: str) -> DataFrame:
     drawn = stored(
         points.join(ranges, "cell").where("point >= lo and point < hi").select("slot", "bucket", "place", "blocks"), f"{path}/drawn"
     )
-    drawn = drawn.select("*", F.col("slot").alias("key"), F.col("slot").alias("doc_id"), F.lit(1).cast("long").alias("size"))
+    drawn = drawn.select("*", F.col("slot").alias("key"), F.col("slot").alias("doc_id"), F.lit(1).alias("copy"), F.lit(1).cast("long").alias("size"))
     ranked = stored(_running(drawn, ["place"], "size", "rank").select("slot", "bucket", "place", "rank", "blocks"), f"{path}/ranked")
     fits = ranked.where("rank < blocks").select("slot", "place", "rank")
     # Surplus slots, numbered in order, meet the missing blocks, numbered by source: as many of the one as of the other.
     over = ranked.where("rank >= blocks").select(
-        "slot", "bucket", F.lit(0).alias("g"), F.col("slot").alias("key"), F.col("slot").alias("doc_id"), F.lit(1).cast("long").alias("size")
+        "slot", "bucket", F.lit(0).alias("g"), F.col("slot").alias("key"), F.col("slot").alias("doc_id"), F.lit(1).alias("copy"), F.lit(1).cast("long").alias("size")
     )
     over = _running(over, ["g"], "size", "no").select("slot", "no")
     got = fits.groupBy("place").count()
@@ -125,15 +137,16 @@ def mix_sources(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The mix as three tables: ``(documents, targets, pieces)``.
 
-    ``documents``: doc_id, source, size; ``targets``: see :func:`source_targets`; ``pieces``: slot, doc_id,
+    ``documents``: doc_id, copy, source, size; ``targets``: see :func:`source_targets`; ``pieces``: slot, doc_id, copy,
     ``from_word`` and ``to_word`` - the words of a document that the slot takes, in the order of the mix.
     """
     path = path or shared_dir(docs.sparkSession)
     doc_id = F.col(id_col).cast("long")
     digest = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
     rows = stored(
-        docs.select(
+        numbered(docs.select(id_col, text_col, source_col), id_col, text_col, source_col).select(
             doc_id.alias("doc_id"),
+            F.col("_copy").alias("copy"),
             F.col(source_col).alias("source"),
             n_words(F.col(text_col)).alias("size"),
             digest.alias("key"),
@@ -144,7 +157,7 @@ def mix_sources(
     targets = stored(source_targets(rows, weights, most), f"{path}/targets")
     slots = schedule(targets, block, path)
     named = rows.where("size > 0").join(targets, rows["source"].eqNullSafe(targets["source"])).select(
-        "doc_id", "size", "key", "bucket", "place", "source_size", "quota"
+        "doc_id", "copy", "size", "key", "bucket", "place", "source_size", "quota"
     )
     placed = _running(named, ["place"], "size", "at")
     # The words of each run through the source, and the blocks that they fall into.
@@ -154,8 +167,9 @@ def mix_sources(
     pieces = cut.join(slots, ["place", "rank"]).select(
         "slot",
         "doc_id",
+        "copy",
         (F.greatest("begin", F.col("rank") * block) - F.col("begin")).alias("from_word"),
         (F.least("end", (F.col("rank") + 1) * block) - F.col("begin")).alias("to_word"),
         F.col("run"),
     )
-    return rows.select("doc_id", "source", "size"), targets, pieces
+    return rows.select("doc_id", "copy", "source", "size"), targets, pieces

@@ -66,11 +66,11 @@ MIX_WEIGHTS = [5, 2, 1]
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, targets, pieces = mix_sources(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
-    taken = pieces.groupBy("doc_id").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
+    taken = pieces.groupBy(F.col("doc_id").alias("d"), F.col("copy").alias("c")).agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
     src = targets.select(F.col("source").alias("s"), "source_size", "target")
     return (
         docs.join(src, docs["source"].eqNullSafe(src["s"]))
-        .join(taken, "doc_id", "left")
+        .join(taken, docs["doc_id"].eqNullSafe(taken["d"]) & (docs["copy"] == taken["c"]), "left")
         .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
     )
 
@@ -105,7 +105,8 @@ FROM p
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    held_out = F.pmod(F.crc32(name.cast("binary")), F.lit(4)) == 2
     model = langid.train(docs.where(~held_out))
     return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
