@@ -16,10 +16,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which every executor and the driver can reach.
 
-    Where the setting is absent (single-machine tests) a temporary folder takes its place.
+    Where the setting is absent, a temporary folder takes its place in local mode; on a cluster that is an error, as
+    executors would not see it.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
@@ -37,6 +40,18 @@ def forget(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def unique_ids(rows: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` with one row for each number: of several, the first by text.
+
+    ``rows`` itself if no number repeats; the texts of numbers that do not are never moved.
+    """
+    again = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if again.isEmpty():
+        return rows
+    one = rows.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return rows.join(again, "doc_id", "left_anti").unionByName(one)
+
+
 def checked_broadcast(df: DataFrame, rows: int, row_bytes: int, limit: int = 8 << 20) -> DataFrame:
     """``df`` with a broadcast hint if its counted rows fit in ``limit`` bytes; else as it is, for a shuffle join."""
     return F.broadcast(df) if rows * row_bytes <= limit else df
@@ -76,6 +91,7 @@ def components(edges: DataFrame, path: str, rounds: int = 60) -> DataFrame:
         if not seen[0]:
             break
         cur = stored(_small_star(_large_star(cur)), f"{path}/{k}")
+        forget(edges.sparkSession, f"{path}/{k - 1}")
         now = _fingerprint(cur)
         if now == seen:
             break
@@ -145,6 +161,11 @@ def shingle_hashes(words: np.ndarray, k: int = 5) -> np.ndarray:
     return mixed(out)
 
 
+def places(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """lo, lo + 1, ..., lo + n - 1 of each range, one after another."""
+    return np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(int(n.sum()))
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column of an Arrow batch and the offsets of its rows; a null row is empty."""
     import pyarrow as pa

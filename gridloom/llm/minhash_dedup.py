@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import components, mixed, shared_dir, shingle_hashes, stored, text_bytes, word_hashes
+from gridloom.llm.common import components, forget, mixed, shared_dir, shingle_hashes, stored, text_bytes, unique_ids, word_hashes
 
 BUCKETS = 256
 MANTISSA = 10
@@ -195,23 +195,23 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     path = path or shared_dir(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    gone = lambda *tables: [forget(spark, f"{path}/{t}") for t in tables]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = stored(_sets(rows, k, full=False), f"{path}/signed")
     classes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     member = stored(
         signed.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left").select("doc_id", "n_shingles", "rep"), f"{path}/member"
     )
-    reps = stored(
-        signed.where("set_key is not null").join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
-        .dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "registers"),
-        f"{path}/reps",
-    )
+    one = unique_ids(rows)  # of several texts of one number, the first stands for it
+    own = signed if one is rows else _sets(one, k, full=False)
+    own = own.where("set_key is not null").join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
+    reps = stored(own.select("doc_id", "n_shingles", "registers"), f"{path}/reps")
+    gone("signed")
     bands = stored(_banded(reps), f"{path}/bands")
     shared = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lead")).where("n > 1")
     bands = stored(bands.join(shared, "key"), f"{path}/shared")
-    texts = rows.join(bands.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = stored(_sets(texts, k, full=True), f"{path}/sets")
+    gone("bands")
+    sets = stored(_sets(one.join(bands.select("doc_id").distinct(), "doc_id", "left_semi"), k, full=True), f"{path}/sets")
 
     # First round: each document against the smallest leader of its bands.
     first = bands.where("doc_id <> lead").groupBy("doc_id").agg(F.min("lead").alias("a")).select("a", F.col("doc_id").alias("b"))
@@ -220,6 +220,7 @@ def near_duplicates(
     labels = stored(components(links, f"{path}/components0"), f"{path}/labels0")
     # Second round: in bands that are not yet one component, a leader drawn by hash.
     open_ = stored(_open_bands(bands, labels), f"{path}/open0")
+    gone("shared", "components0")
     drawn = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "comp")).alias("l"))
     other = open_.join(drawn, "key").where("comp <> l.comp").groupBy("doc_id").agg(F.min("l").alias("l"))
     pairs = other.select(F.least("doc_id", "l.doc_id").alias("a"), F.greatest("doc_id", "l.doc_id").alias("b")).distinct()
@@ -230,6 +231,7 @@ def near_duplicates(
         links = links.unionByName(found)
         labels = stored(components(links, f"{path}/components01"), f"{path}/labels01")
     open_ = stored(_open_bands(open_, labels), f"{path}/open")
+    gone("open0", "components01")
     left = open_.where(F.col("n") <= AT_ONCE).select("key", F.col("doc_id").alias("a"), F.col("comp").alias("ca"))
     right = left.select("key", F.col("a").alias("b"), F.col("ca").alias("cb"))
     pairs = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct()
@@ -240,12 +242,15 @@ def near_duplicates(
         links = links.unionByName(found)
         labels = stored(components(links, f"{path}/components1"), f"{path}/labels1")
     members = stored(_open_bands(open_.where(F.col("n") > AT_ONCE), labels).select("doc_id", "comp").distinct(), f"{path}/members")
+    gone("open", "components1")
     if not members.isEmpty():
         pairs = _prefix_pairs(members, sets, threshold, path)
         fresh = stored(pairs.join(tested, ["a", "b"], "left_anti"), f"{path}/tested2")
+        gone("several")
         found = stored(_verified(fresh, sets, reps, threshold), f"{path}/links2")
         if not found.isEmpty():
             labels = stored(components(links.unionByName(found), f"{path}/components2"), f"{path}/labels2")
+    gone("reps", "sets", "members", "components2", *[f"{t}{k}" for t in ("tested", "links") for k in ("0", "01", "1", "2")])
     label = labels.select(F.col("node").alias("rep"), "component")
     out = member.join(label, "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id")
@@ -291,10 +296,12 @@ def _prefix_pairs(members: DataFrame, sets: DataFrame, threshold: float, path: s
     listed = shared.withColumn("place", place).withColumn("alone", alone).withColumn("place", F.col("place") + F.col("alone"))
     listed = listed.where(F.col("place") <= prefix).select("shingle", "doc_id", "comp", "n", (F.col("n") - F.col("place") + 1).alias("rest"))
     listed = stored(listed, f"{path}/listed")
+    forget(members.sparkSession, f"{path}/tokens")
     parts = listed.groupBy("shingle", "comp").agg(F.count("*").alias("size"))
     top = parts.groupBy("shingle").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
     top = top.select("shingle", F.col("top.comp").alias("largest"))
     several = stored(listed.join(top, "shingle"), f"{path}/several")
+    forget(members.sparkSession, f"{path}/listed")
     left = several.where("comp <> largest").select("shingle", F.col("doc_id").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"), F.col("rest").alias("rx"))
     right = several.select("shingle", F.col("doc_id").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"), F.col("rest").alias("ry"))
     alike = (F.col("cx") != F.col("cy")) & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent)

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import shared_dir, stored
+from gridloom.llm.common import chunks, places, shared_dir, stored, text_bytes
 from gridloom.llm.tokens import encoder
 
 #: Branches tried at each step of the search, steps in all and looks in one enumeration of fillings; the incumbent
@@ -172,40 +172,40 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, width:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        enc, end, task = encoder(vocabulary), np.asarray([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        enc, task = encoder(vocabulary), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                out: list[tuple] = []
-                for doc, raw in zip(part.column(0).to_pylist(), enc.encode([t or "" for t in part.column(1).to_pylist()])):
-                    raw += end
-                    n = len(raw) // 4
-                    first = n % capacity or capacity
-                    for k, start in enumerate([0, *range(first, n, capacity)]):
-                        b = raw[4 * start : 4 * (start + capacity if k else first)]
-                        length = len(b) // 4
-                        ids = b if width == 4 else np.frombuffer(b, "<u4").astype("<u2").tobytes()
-                        out.append((task, doc, k, start, length, zlib.crc32(b), ids, int(seen[length])))
-                        seen[length] += 1
-                if out:
-                    cols = [pa.array(c, t) for c, t in zip(zip(*out), _PIECE_KINDS())]
-                    yield pa.RecordBatch.from_arrays(cols, _PIECE_NAMES)
+            data, off = text_bytes(batch.column(1))
+            for lo, hi in chunks(off):
+                ids, at = enc.encode(data, off[lo : hi + 1], end_id)
+                # Full pieces of a document, the first of which may be shorter.
+                n = np.diff(at)
+                many = -(-n // capacity)
+                doc = np.repeat(np.arange(hi - lo), many)
+                piece = places(np.zeros(hi - lo, np.int64), many)
+                length = np.where(piece == 0, (n - (many - 1) * capacity)[doc], capacity)
+                begin = np.append(0, np.cumsum(length)[:-1])  # pieces follow each other without a gap
+                raw = memoryview(ids.astype("<u4")).cast("B")
+                cut = (4 * np.append(begin, len(ids))).tolist()
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(cut, cut[1:])]
+                slim = ids.astype(f"<u{width}").tobytes()
+                cut = (width * np.append(begin, len(ids))).tolist()
+                parts = [slim[a:b] for a, b in zip(cut, cut[1:])]
+                # The place of a piece among those of its length in this task.
+                order = np.argsort(length, kind="stable")
+                of = length[order]
+                rank = np.empty(len(length), np.int64)
+                rank[order] = np.arange(len(of)) - np.searchsorted(of, of) + seen[of]
+                seen += np.bincount(length, minlength=capacity + 1)
+                names = batch.column(0).slice(lo, hi - lo).take(pa.array(doc))
+                cols = [pa.array(np.full(len(doc), task, np.int32)), names, pa.array(piece.astype(np.int32)), pa.array(begin - at[doc]), pa.array(length), pa.array(crc, pa.int64()), pa.array(parts, pa.binary()), pa.array(rank)]
+                yield pa.RecordBatch.from_arrays(cols, ["task", "doc_id", "piece", "start", "length", "ids_crc32", "ids", "rank"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, "task int, doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, rank long"
     )
 
 
-_PIECE_NAMES = ["task", "doc_id", "piece", "start", "length", "ids_crc32", "ids", "rank"]
-
-
-def _PIECE_KINDS():
-    import pyarrow as pa
-
-    return [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
-
-
 def pack(
     docs: DataFrame,
     vocabulary: str,

@@ -24,6 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import checked_broadcast, chunks, text_bytes
 from gridloom.llm.tokens import encoder
 
 BLOCK_DOCS = 256
@@ -51,20 +52,19 @@ def encode_documents(
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        enc, kind, end = encoder(vocabulary), np.dtype(f"<u{width}"), np.asarray([end_id], "<u4").tobytes()
+        enc, kind = encoder(vocabulary), np.dtype(f"<u{width}")
         edges = np.asarray(bounds, np.int64)
         press = (lambda b: b) if words is None else _compressor(words).compress
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                raw = enc.encode([t or "" for t in part.column(1).to_pylist()])
-                frames = [press(np.frombuffer(r + end, "<u4").astype(kind).tobytes()) for r in raw]
-                names = part.column(0).fill_null(NO_ID).to_numpy()
-                shard = np.searchsorted(edges, names, side="right").astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard), part.column(0), pa.array([len(r) // 4 + 1 for r in raw], pa.int64()), pa.array(frames, pa.binary())],
-                    ["shard", "doc_id", "n_tokens", "frame"],
-                )
+            data, off = text_bytes(batch.column(1))
+            for lo, hi in chunks(off):
+                ids, at = enc.encode(data, off[lo : hi + 1], end_id)
+                raw = memoryview(ids.astype(kind)).cast("B")
+                cut = (at * width).tolist()
+                frames = [bytes(press(raw[a:b])) for a, b in zip(cut, cut[1:])]
+                names = batch.column(0).slice(lo, hi - lo)
+                shard = np.searchsorted(edges, names.fill_null(NO_ID).to_numpy(), side="right").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), names, pa.array(np.diff(at)), pa.array(frames, pa.binary())], ["shard", "doc_id", "n_tokens", "frame"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, "shard int, doc_id long, n_tokens long, frame binary"
@@ -176,7 +176,8 @@ def read_store(spark: SparkSession, path: str, doc_ids: list[int] | None = None,
 
         open_ = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words) if words else None)
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 if row["dict_sha256"] != sha:
                     raise ValueError("a block was written with another dictionary")
                 names, at, n = (np.frombuffer(row[c], "<i8") for c in ("doc_ids", "offsets", "n_tokens"))
@@ -197,7 +198,8 @@ def read_store(spark: SparkSession, path: str, doc_ids: list[int] | None = None,
                     ["doc_id", "start", "n_tokens", last],
                 )
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
-    blocks = spark.read.parquet(f"{path}/blocks").join(block_starts(spark, path), ["shard", "block"])
+    blocks = spark.read.parquet(f"{path}/blocks")
+    starts = checked_broadcast(block_starts(spark, path), blocks.count(), 24)  # a row a block
+    blocks = blocks.join(starts, ["shard", "block"])
     cols = ["dict_sha256", "doc_ids", "offsets", "n_tokens", "payload", "start"]
     return blocks.select(*cols).mapInArrow(unpack, f"doc_id long, start long, n_tokens long, {last} {'long' if digest else 'binary'}")

@@ -1,9 +1,11 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from gridloom.llm import packing, token_store
-from gridloom.llm.common import shared_dir
+from gridloom.llm import packing, token_store, tokens
+from gridloom.llm.common import shared_dir, text_bytes
 from gridloom.llm.tokens import StretchEncoder
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -16,11 +18,21 @@ ODD = [
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-def test_stretches_give_the_ids_of_whole_texts(name):
-    enc = StretchEncoder(public_tokenizers.path(name), keep=50)
-    texts = ODD * 2 + [" ".join(ODD), "".join(ODD)]
-    for text, got in zip(texts, enc.encode(texts)):
-        assert np.frombuffer(got, "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids, text
+def test_stretches_give_the_ids_of_whole_texts(name, monkeypatch):
+    enc = StretchEncoder(public_tokenizers.path(name))
+    rng = random.Random(3)
+    bits = [*"abcXYZ019 .,\n\t'’éàßÉ×÷ñ_-–—!?()[]\"“”\u00a0\u3000\u0301\u03a3\u03c2жД日本\U0001f642\x00\x1c\r<|>", "  ", " \n", "\n\n", " .", ",,", "..", "<|endoftext|>", "'s", "'ll", " the", " é"]
+    texts = ODD * 2 + [" ".join(ODD), "".join(ODD)] + ["".join(rng.choice(bits) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    data, off = text_bytes(pa.array([*texts, None]))
+    want = [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)] + [[]]
+    for keep, part in ((1_500_000, 1 << 20), (50, 300)):  # at once, and in small parts with a table that is emptied again and again
+        monkeypatch.setattr(tokens, "KEEP", keep)
+        monkeypatch.setattr(tokens, "PART", part)
+        for lo, hi in ((0, 40), (40, len(texts) + 1)):
+            ids, at = enc.encode(data, off[lo : hi + 1], 7)
+            assert at[-1] == len(ids)
+            for k in range(lo, hi):
+                assert ids[at[k - lo] : at[k - lo + 1]].tolist() == [*want[k], 7], k
 
 
 def rows(spark):
