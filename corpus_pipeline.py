@@ -1,7 +1,10 @@
 """The corpus pipeline: stages that each call one operator, written and read again between them.
 
 Documents need a number: one whose doc_id is null goes at the first stage. A null text is rejected by language ID. A
-number that repeats stays or goes as one document. Extra columns are carried to the last stage, whatever their names.
+number that repeats stays or goes as one document in the first three stages; the mix tells its rows apart. Extra
+columns are carried to the last stage, whatever their names. Without labelled texts, the first stage rejects only texts
+without a letter. A stage's frame has to be written before the next stage is called, as :func:`run` does: the tables that
+a stage wrote for itself go then.
 """
 
 from __future__ import annotations
@@ -12,13 +15,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import langid, packing
-from gridloom.llm.common import WORD, shared_dir, stored
+from gridloom.llm.common import WORD, forget, shared_dir, stored
 from gridloom.llm.exact_dedup import exact_dedup
 from gridloom.llm.minhash_dedup import near_duplicates
-from gridloom.llm.mixing import mix_sources
+from gridloom.llm.mixing import mix_sources, numbered
 from gridloom.llm.queries import MIX_WEIGHTS, vocabulary
 
 
+_left: list[str] = []
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A folder for a stage's own tables; that of the stage before, whose result has been written, goes."""
+    while _left:
+        forget(spark, _left.pop())
+    _left.append(shared_dir(spark))
+    return _left[0]
+
+
 def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose number is among ``ids``."""
     return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
@@ -32,29 +46,33 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document of the smallest number."""
-    return _kept(docs, exact_dedup(docs, keep="smallest").where("kept"))
+    return _kept(docs, exact_dedup(docs, keep="smallest", path=_scratch(spark)).where("kept"))
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that of the smallest number."""
-    return _kept(docs, near_duplicates(docs, threshold=0.75, k=5).where("kept"))
+    return _kept(docs, near_duplicates(docs, threshold=0.75, k=5, path=_scratch(spark)).where("kept"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mix takes them; one that a source's target cuts keeps the words that are taken."""
-    _, _, pieces = mix_sources(docs, MIX_WEIGHTS)
-    turns = pieces.groupBy("doc_id", "run").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("_taken")).drop("run")
-    rows = docs.withColumn("_size", F.regexp_count("text", F.lit(WORD))).join(turns, "doc_id")
+    _, _, pieces = mix_sources(docs, MIX_WEIGHTS, path=_scratch(spark))
+    turns = pieces.groupBy(F.col("doc_id").alias("d"), "copy", "run").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
+    rows = numbered(docs.select("doc_id", "text", "source", F.struct("*").alias("row")))
+    rows = rows.join(turns, (rows["doc_id"] == turns["d"]) & (rows["_copy"] == turns["copy"]))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    cut = F.col("_taken") < F.col("_size")
-    text = F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("_taken").cast("int")), " ")).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text).withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(docs.columns)
+    cut = F.col("taken") < F.regexp_count("text", F.lit(WORD))
+    text = F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("taken").cast("int")), " ")).otherwise(F.col("text"))
+    rows = rows.withColumn("row", F.col("row").withField("text", text))
+    if "n_chars" in docs.columns:
+        n_chars = F.when(cut, F.length("row.text").cast("long")).otherwise(F.col("row.n_chars"))
+        rows = rows.withColumn("row", F.col("row").withField("n_chars", n_chars))
+    return rows.select("row.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in sequences of 2048 ids."""
-    placed, _ = packing.pack(docs, vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048, vocabulary_size=50257)
+    placed, _ = packing.pack(docs, vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048, vocabulary_size=50257, path=_scratch(spark))
     return placed
 
 
@@ -70,7 +88,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    path = shared_dir(spark)
+    path, before = shared_dir(spark), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stored(stage(spark, docs, sf_dir), f"{path}/stage{k}")
+        if before:
+            forget(spark, before)
+        before = f"{path}/stage{k}"
     return docs
