@@ -29,24 +29,26 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import chunks, places, shared_dir, stored, text_bytes
 from gridloom.llm.tokens import encoder
 
-#: Branches tried at each step of the search, steps in all and looks in one enumeration of fillings; the incumbent
-#: stands when they are spent. They bound the driver's time, not the documents.
-WIDTH, STEPS, LOOKS = 3, 6000, 1500
+#: Branches tried at each step of the first search; each further one tries twice as many, until a search has left out
+#: no filling (it is complete then) or ``STEPS`` steps are spent, when the incumbent stands. They bound the driver's
+#: time, not the documents. One enumeration of fillings looks at most at LOOKS sizes for each branch.
+WIDTH, STEPS, LOOKS = 3, 6000, 500
 
 
-def fillings(room: int, sizes: list[int], counts: dict[int, int], slack: int, most: int = 24) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` with at most ``slack`` waste, least waste first (at most ``most``).
+def fillings(room: int, sizes: list[int], counts: dict[int, int], slack: int, width: int = 8) -> tuple[list[tuple[int, ...]], bool]:
+    """Undominated fillings of ``room`` with at most ``slack`` waste, least waste first, and whether these are all.
+
+    At most ``width`` are returned; eight times as many are looked for.
 
     ``sizes`` are in falling order. Depth-first, larger items first; only fillings to which nothing can be added count.
     """
     found: dict[tuple[int, ...], int] = {}
-    least = sizes[-1] if sizes else room + 1
     have = set(sizes)
     falling = [-s for s in sizes]
-    looks = 0
+    looks, whole = 0, True
 
     def grow(left: int, at: int, items: tuple[int, ...]) -> None:
-        nonlocal looks
+        nonlocal looks, whole
         if left in have and counts[left] > items.count(left) and left <= (items[-1] if items else left):
             found[items + (left,)] = 0  # nothing dominates an exact filling but others of the same sum
         fits = False
@@ -56,7 +58,8 @@ def fillings(room: int, sizes: list[int], counts: dict[int, int], slack: int, mo
                 continue
             fits = True
             looks += 1
-            if looks > LOOKS or len(found) >= most:
+            if looks > LOOKS * width or len(found) >= 8 * width:
+                whole = False
                 return
             if s != left:
                 grow(left - s, k, items + (s,))
@@ -69,7 +72,7 @@ def fillings(room: int, sizes: list[int], counts: dict[int, int], slack: int, mo
     for f in out:
         if not any(_dominates(g, f) for g in kept):
             kept.append(f)
-    return kept
+    return kept[:width], whole and len(kept) <= width
 
 
 def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
@@ -102,15 +105,19 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """No packing has fewer bins: the total, and large items with those that fit beside none of them."""
-    total = -(-sum(s * n for s, n in counts.items()) // capacity)
-    best = total
-    for low in sorted({s for s in counts if 2 * s <= capacity} | {capacity // 2})[:64]:
-        big = sum(n for s, n in counts.items() if s > capacity - low)
-        mid = [(s, n) for s, n in counts.items() if 2 * s > capacity and s <= capacity - low]
-        small = sum(s * n for s, n in counts.items() if low <= s and 2 * s <= capacity)
-        free = sum(n * (capacity - s) for s, n in mid)
-        best = max(best, big + sum(n for _, n in mid) + max(0, -(-(small - free) // capacity)))
-    return best
+    half = capacity // 2
+    n = np.zeros(capacity + 1, np.int64)
+    n[list(counts)] = list(counts.values())
+    upto, weight = np.cumsum(n), np.cumsum(n * np.arange(capacity + 1))
+    total = -(-int(weight[-1]) // capacity)
+    low = np.arange(1, half + 1)
+    if not len(low):
+        return max(total, int(upto[-1]))
+    # Items above capacity - low have a bin each without room for others; those above the half have one with some room.
+    alone, mid = upto[-1] - upto[capacity - low], upto[capacity - low] - upto[half]
+    free = mid * capacity - (weight[capacity - low] - weight[half])
+    small = weight[half] - weight[low - 1]
+    return max(total, int((alone + mid + np.maximum(0, -(-(small - free) // capacity))).max()))
 
 
 def bin_completion(counts: dict[int, int], capacity: int, width: int = WIDTH, steps: int = STEPS) -> tuple[list[tuple[tuple[int, ...], int]], int]:
@@ -122,9 +129,10 @@ def bin_completion(counts: dict[int, int], capacity: int, width: int = WIDTH, st
     total = sum(s * n for s, n in counts.items())
     spent = 0
 
-    def search(left: dict[int, int], plan: list, bins: int, waste: int) -> bool:
-        """Depth first; True once the bound is met."""
+    def search(left: dict[int, int], plan: list, bins: int, waste: int, width: int) -> bool:
+        """Depth first; True once the bound is met or nothing was left out."""
         nonlocal best, best_n, spent
+        complete = True
         path: list[tuple[dict[int, int], list, int, int, list]] = [(left, plan, bins, waste, None)]
         while path:
             left, plan, bins, waste, todo = path.pop()
@@ -138,12 +146,15 @@ def bin_completion(counts: dict[int, int], capacity: int, width: int = WIDTH, st
                 spent += 1
                 # Bins below the incumbent leave so much room for waste.
                 slack = (best_n - 1) * capacity - total - waste
-                if slack < 0 or spent > steps:
+                if spent > steps:
+                    return False
+                if slack < 0:
                     continue
                 top = max(left)
                 sizes = sorted(left, reverse=True)
                 rest = {**left, top: left[top] - 1}
-                todo = fillings(capacity - top, sizes, rest, slack)[:width]
+                todo, whole = fillings(capacity - top, sizes, rest, slack, width)
+                complete &= whole
             if not todo:
                 continue
             fill, more = todo[0], todo[1:]
@@ -154,14 +165,15 @@ def bin_completion(counts: dict[int, int], capacity: int, width: int = WIDTH, st
             used = {s: items.count(s) for s in set(items)}
             each = capacity - sum(items)
             n = min(left[s] // k for s, k in used.items())
+            complete &= n == 1 or not more  # equal bins are filled together
             if each:  # wasteful bins a few at a time: sizes left later may fill better
                 n = max(1, min(n, max(1, ((best_n - 1) * capacity - total - waste) // each)))
             nxt = {s: c - used.get(s, 0) * n for s, c in left.items()}
             path.append(({s: c for s, c in nxt.items() if c}, [*plan, (items, n)], bins + n, waste + each * n, None))
-        return False
+        return complete
 
-    if best_n > bound:
-        search(dict(counts), [], 0, 0)
+    while best_n > bound and spent < steps and not search(dict(counts), [], 0, 0, width):
+        width *= 2
     return best, bound
 
 
@@ -264,7 +276,8 @@ def pack(
             yield pa.RecordBatch.from_arrays([*(cols[n] for n in names), pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])
 
     slim = tokens.select("task", "doc_id", "piece", "start", "length", "ids_crc32", "rank")
-    placed = slim.join(bases.select("length", "task", "base"), ["length", "task"]).mapInArrow(
+    # Not broadcast: there are as many rows as lengths and tasks, and tasks grow with the input.
+    placed = slim.join(bases.select("length", "task", "base").hint("merge"), ["length", "task"]).mapInArrow(
         place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
     return placed, tokens.select("doc_id", "piece", "ids")
