@@ -166,3 +166,36 @@ def histogram_2d(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
     rows = df.join(F.broadcast(ends), F.lit(True))  # one row
     bin_ = lambda c: F.least(F.floor((F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}")) * bins), F.lit(bins - 1)).cast("int")
     return rows.groupBy(bin_(x).alias("bx"), bin_(y).alias("by_")).agg(F.count("*").alias("n"))
+
+
+def consistent_segments(per_image: DataFrame, dataset: str) -> DataFrame:
+    """``per_image`` (boxes and segments of each image); a dataset with fewer or more segments than boxes loses them all."""
+    totals = per_image.groupBy(dataset).agg((F.sum("boxes") == F.sum("segments")).alias("_same"))
+    rows = per_image.join(totals, dataset)
+    return rows.withColumn("segments", F.when(F.col("_same"), F.col("segments")).otherwise(0)).drop("_same")
+
+
+def united_vocabulary(parts: list[DataFrame]) -> DataFrame:
+    """``text, text_id``: the texts of all parts, numbered in their order (a vocabulary is ordered in one task)."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    texts = every.where("text is not null").distinct()
+    return texts.withColumn("text_id", (F.row_number().over(Window.orderBy("text")) - 1).cast("int"))
+
+
+def scaled_tile_objects(images: DataFrame, objects: DataFrame, crop: int, gap: int, rates: list[float], least: float = 0.7) -> DataFrame:
+    """:func:`tile_objects` over windows of ``crop / rate`` pixels with gaps of ``gap / rate``, for each rate."""
+    found = None
+    for rate in rates:
+        part = tile_objects(tile_windows(images, int(crop / rate), int(gap / rate)), objects, least)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def mask_pairs(images: DataFrame, masks: DataFrame) -> DataFrame:
+    """``stem, state`` of files ``path, height, width``: ``pair``, ``shapes differ``, ``no mask`` or ``no image``."""
+    stem = F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1)
+    a, b = (f.select(stem.alias("stem"), F.struct("height", "width").alias(n)) for f, n in ((images, "image"), (masks, "mask")))
+    state = F.when(F.col("mask").isNull(), "no mask").when(F.col("image").isNull(), "no image").when(F.col("image") != F.col("mask"), "shapes differ").otherwise("pair")
+    return a.join(b, "stem", "full").select("stem", state.alias("state"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import boxes as B
@@ -96,3 +96,69 @@ def write_label_files(dets: DataFrame, path: str, width: float, height: float) -
 
 def write_split_lists(df: DataFrame, path: str, name: str = "path") -> None:
     df.select("split", F.col(name).cast("string")).write.mode("overwrite").partitionBy("split").text(path)
+
+
+def sliced(df: DataFrame, group: str, order: str, start: int | None = None, stop: int | None = None, step: int = 1) -> DataFrame:
+    """The rows of each ``group`` that a slice of its rows in ``order`` takes; negative ends count from the last one."""
+    w = Window.partitionBy(group)
+    rows = df.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", F.count("*").over(w))
+    end = lambda v: F.lit(v) if v >= 0 else F.greatest(F.col("_n") + v, F.lit(0))
+    first = end(start or 0)
+    rows = rows.where((F.col("_i") >= first) & ((F.col("_i") - first) % step == 0))
+    return (rows if stop is None else rows.where(F.col("_i") < end(stop))).drop("_i", "_n")
+
+
+def semantic_rows(pixels: DataFrame, names: DataFrame, size: int, decimals: int = 5) -> DataFrame:
+    """``image_id, name, class, pixel_ratio`` of class maps of ``size`` pixels (``image_id, place, cls``)."""
+    per = pixels.groupBy("image_id", "cls").agg(F.round(F.count("*") / size, decimals).alias("pixel_ratio"))
+    return per.join(F.broadcast(names), "cls").select("image_id", "name", F.col("cls").alias("class"), "pixel_ratio")  # a class vocabulary
+
+
+def csv_lines(df: DataFrame) -> DataFrame:
+    """``line``: the rows as CSV text; cells that are nested become their JSON."""
+    nested = ("struct", "array", "map")
+    cells = [F.to_json(c).alias(c) if t.startswith(nested) else F.col(c) for c, t in df.dtypes]
+    return df.select(F.to_csv(F.struct(*cells), {"escape": '"'}).alias("line"))
+
+
+def split_stats(objects: DataFrame) -> DataFrame:
+    """``split, stats``: images and instances of each class of a split, as JSON."""
+    per = objects.groupBy("split", "cls").agg(F.count("*").alias("n"))
+    classes = per.groupBy("split").agg(F.array_sort(F.collect_list(F.struct("cls", "n"))).alias("classes"))  # a class vocabulary
+    images = objects.groupBy("split").agg(F.countDistinct("image_id").alias("images"))
+    return images.join(classes, "split").select("split", F.to_json(F.struct("split", "images", "classes")).alias("stats"))
+
+
+def append_json_lines(df: DataFrame, path: str) -> None:
+    df.write.mode("append").json(path)
+
+
+def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON lines; blank lines are none."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+#: Version of written caches; others are not served.
+CACHE_VERSION = "1"
+
+
+def source_hash(source: DataFrame) -> tuple[str, int]:
+    """What a cache was read from: a sum of row hashes that does not depend on their order, and their number."""
+    h = F.xxhash64(*source.columns)
+    row = source.agg(F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("s"), F.count("*").alias("n")).first()
+    return f"{row['x']}:{row['s']}", row["n"]
+
+
+def write_cache(df: DataFrame, path: str, source: DataFrame) -> None:
+    """``df`` with the cache's version and the hash of its source."""
+    digest, _ = source_hash(source)
+    df.write.mode("overwrite").parquet(f"{path}/rows")
+    df.sparkSession.createDataFrame([(CACHE_VERSION, digest)], "version string, hash string").write.mode("overwrite").parquet(f"{path}/head")
+
+
+def read_cache(spark: SparkSession, path: str, source: DataFrame) -> DataFrame | None:
+    """The rows of a cache; None if it is of another version or its source has changed."""
+    head = spark.read.parquet(f"{path}/head").first()
+    fresh = head["version"] == CACHE_VERSION and head["hash"] == source_hash(source)[0]
+    return spark.read.parquet(f"{path}/rows") if fresh else None

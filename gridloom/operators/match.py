@@ -79,3 +79,11 @@ def near_duplicate_tracks(a: DataFrame, b: DataFrame, apart: float = 0.15) -> tu
     gone_b = close.where("age > o_age").select(F.col("o_track_id").alias("track_id")).distinct()
     gone_a = close.where("age <= o_age").select("track_id").distinct()
     return a.join(gone_a, "track_id", "left_anti"), b.join(gone_b, "track_id", "left_anti")
+
+
+def merged_pools(tracked: DataFrame, lost: DataFrame, refound: DataFrame, apart: float = 0.15) -> tuple[DataFrame, DataFrame]:
+    """``(tracked, lost)`` after refound tracks join the one and leave the other, without near duplicates between them."""
+    key = "track_id"
+    more = tracked.unionByName(refound.join(tracked.select(key), key, "left_anti").select(tracked.columns))
+    fewer = lost.join(more.select(key), key, "left_anti").select(lost.columns)
+    return near_duplicate_tracks(more, fewer, apart)

@@ -161,3 +161,10 @@ def velocity(tracks: DataFrame, delta: int = 3) -> DataFrame:
     dx, dy = F.col("cx") - F.col("_b.cx"), F.col("cy") - F.col("_b.cy")
     n = F.sqrt(dx * dx + dy * dy) + 1e-6
     return rows.withColumn("vx", dx / n).withColumn("vy", dy / n).drop("_b")
+
+
+def cell_series(tracks: DataFrame, size: int) -> DataFrame:
+    """``frame_no, x, y, heat``: visits of each cell of ``size`` pixels up to each frame that visits it."""
+    cells = tracks.groupBy("frame_no", *(F.floor(F.col(c) / size).cast("int").alias(n) for c, n in (("cx", "x"), ("cy", "y")))).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("x", "y").orderBy("frame_no").rowsBetween(Window.unboundedPreceding, 0)
+    return cells.select("frame_no", "x", "y", F.sum("n").over(w).alias("heat"))

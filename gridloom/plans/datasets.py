@@ -107,9 +107,6 @@ def a8(spark, d):
     return D.dataset_statistics(objects, images)
 
 
-QUERIES["k14_dataset_stats"], ORACLES["k14_dataset_stats"] = a8, ORACLES["a8_dataset_statistics"]
-
-
 @query("t7_fraction_prefix", "SELECT p_partkey FROM part QUALIFY row_number() OVER (ORDER BY p_partkey) <= round_even((SELECT count(*) FROM part)*3e-1, 0)")
 def t7(spark, d):
     part = read(spark, d, "part").select("p_partkey")
@@ -121,9 +118,6 @@ def t8(spark, d):
     return D.weighted_split(read(spark, d, "part").select("p_partkey"), "p_partkey")
 
 
-QUERIES["k15_split_lists"], ORACLES["k15_split_lists"] = t8, ORACLES["t8_weighted_split"]
-
-
 @query("t9_class_split", f"SELECT p_partkey, CASE WHEN row_number() OVER (PARTITION BY p_brand ORDER BY {_H.format('p_partkey')}, p_partkey)<=floor(count(*) OVER (PARTITION BY p_brand)*8e-1) THEN 'train' ELSE 'val' END split FROM part")
 def t9(spark, d):
     return D.class_split(read(spark, d, "part"), "p_partkey", "p_brand").select("p_partkey", "split")
@@ -226,10 +220,6 @@ def j9(spark, d):
     return rows.select("tile", "obj_id", "cls", *[F.round(c, 8).alias(c) for c in ("nx1", "ny1", "nx2", "ny2")])
 
 
-for _n in ("r11_crop_labels", "v10_tile_split"):
-    QUERIES[_n], ORACLES[_n] = j9, ORACLES["j9_tile_objects"]
-
-
 @query("w17_aspect_batches", ctes(_TILES, "SELECT p_brand, batch, count(*) n, round(CASE WHEN max(ar)<1 THEN max(ar) ELSE 1 END,9) shape_h, round(CASE WHEN max(ar)>=1 AND min(ar)>1 THEN 1/min(ar) ELSE 1 END,9) shape_w FROM (SELECT p_brand, height/width::DOUBLE ar, (row_number() OVER (PARTITION BY p_brand ORDER BY height/width::DOUBLE, image_id)-1)//16 batch FROM sz) GROUP BY ALL"))
 def w17(spark, d):
     rows = D.aspect_batches(_sizes(spark, d), 16, "p_brand")
@@ -248,9 +238,6 @@ def s17(spark, d):
     return D.remap_vocabulary(named, "folder").select("p_partkey", F.col("text_id").cast("int").alias("cls"))
 
 
-QUERIES["u5_vocabulary_union"], ORACLES["u5_vocabulary_union"] = s17, ORACLES["s17_class_folders"]
-
-
 @query("u3_concat_instances", ctes(DETECTIONS, GT, "SELECT image_id, cls, x1 FROM detections UNION ALL SELECT image_id, cls, x1 FROM gt"))
 def u3(spark, d):
     cols = ["image_id", "cls", "x1"]

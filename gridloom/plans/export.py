@@ -36,8 +36,7 @@ def e1(spark, d):
     return E.detection_rows(detections(spark, d), names(spark)).select("det_id", "name", "class", "confidence", "box.*")
 
 
-for _n in ("k1_rows_out", "e5_slice_rows"):
-    QUERIES[_n], ORACLES[_n] = e1, ORACLES["e1_detection_rows"]
+QUERIES["k1_rows_out"], ORACLES["k1_rows_out"] = e1, ORACLES["e1_detection_rows"]
 
 
 #: Five digits of a value's decimal text, half up, as Spark's round has it.
@@ -76,9 +75,6 @@ def a17(spark, d):
     return per.select("image_id", "cls", F.round(F.col("a") / F.sum("a").over(Window.partitionBy("image_id")), 6).alias("ratio"))
 
 
-QUERIES["e3_semantic_rows"], ORACLES["e3_semantic_rows"] = a17, ORACLES["a17_class_ratio"]
-
-
 @query("e6_update_members", ctes(DETECTIONS, "SELECT det_id, least(x1+conf,300e0) x1 FROM detections WHERE conf>3e-1"))
 def e6(spark, d):
     rows = detections(spark, d)

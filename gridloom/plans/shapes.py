@@ -107,7 +107,3 @@ def s15(spark, d):
     raw = F.concat_ws(" ", *(v.cast("string") for v in (b.a, b.b, b.c, b.b, b.c, b.d, b.a, b.d)), F.concat(F.lit("c"), F.col("cls").cast("string")), F.lit("0"))
     lines = ground_truth(spark, d).select(F.lit("p").alias("path"), F.col("gt_id").alias("line_no"), raw.alias("raw"))
     return files.dota_labels(lines, names).select("line_no", "cls", F.aggregate("p", F.lit(0.0), lambda a, x: a + x).alias("s"))
-
-
-for _n in ("s16_dota_annotations", "v9_dota_to_labels"):
-    QUERIES[_n], ORACLES[_n] = s15, ORACLES["s15_dota_scan"]

@@ -194,7 +194,6 @@ def a30(spark, d):
     return Z.heat(detections(spark, d))
 
 
-QUERIES["m25_heat_over_time"], ORACLES["m25_heat_over_time"] = a30, ORACLES["a30_heatmap"]
 
 
 @query("a31_minmax_scale", ctes(DETECTIONS, _HEAT, "SELECT CAST(x AS INT) x, CAST(y AS INT) y, round((heat-lo)/(hi-lo)::DOUBLE*255,4) v FROM ht, (SELECT min(heat) lo, max(heat) hi FROM ht)"))
