@@ -4,7 +4,7 @@ import re
 
 import corpus_pipeline
 import pytest
-from gridloom.llm import langid
+from gridloom.llm import langid, queries
 from gridloom.llm.mixing import mix_sources
 from gridloom.llm.url_filter import judge_urls
 from pyspark.sql import functions as F
@@ -110,6 +110,26 @@ def test_language_rejects_junk_and_keeps_clean_documents(spark):
     assert all(r["rejected"] for r in got), got
 
 
+def test_one_language_ties_and_null_ids(spark, tmp_path):
+    data = [(i, "the cat sleeps on the mat", "en", "a") for i in range(30)] + [(None, "the cat sleeps on the mat", "en", "a"), (99, "le chat dort", None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op10_language_id(spark, str(tmp_path)).collect()
+    assert len(got) == 32 and {r["lang_pred"] for r in got} == {"en"} and all(r["held_out"] is not None for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] != 99}) == 1  # equal texts score alike
+    assert langid.identify(docs, langid.train(docs, sample=1)).where("lang_pred = 'en'").count() == 32
+
+
+def test_mix_query_with_repeated_and_null_ids(spark, tmp_path):
+    data = [(1, "a b c d", "s"), (1, "a b c d", "s"), (1, "x y", "s"), (None, "n n n", "s"), (None, "n n n", "s"), (2, "w " * 50, "t"), (3, None, None)]
+    spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op5_mixing(spark, str(tmp_path)).collect()
+    assert len(got) == len(data) and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    for size, in {(r["source_size"],) for r in got if r["source_size"]}:
+        rows = [r for r in got if r["source_size"] == size]
+        assert abs(sum(r["taken"] for r in rows) - rows[0]["target"]) <= 1
+
+
 def test_pipeline(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
     assert (out.groupby("sequence_id")["length"].sum() <= 2048).all()
@@ -118,4 +138,23 @@ def test_pipeline(spark):
     once = stages["exact dedup"](spark, docs, "")
     assert once.columns == docs.columns and once.count() == docs.select("text").distinct().count()
     assert set(out["doc_id"]) <= {r["doc_id"] for r in once.select("doc_id").collect()}
-    assert len(corpus_pipeline.STAGES) == 5 and len(out)
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, repeated numbers, columns with names that the operators use, no labels; and an empty table."""
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta"]) + str(rng.randint(0, 9)) for _ in range(n))
+    base = text(60)
+    texts = [(1, base), (2, base), (3, base + " more"), (4, text(80)), (5, None), (6, ""), (7, "12 34"), (None, text(20)), (8, text(30)), (8, text(30)), (9, text(5000)), (10, "one")]
+    data = [(i, t, None, s, len(t or ""), 1, 2, "t", 4, 5) for s, (i, t) in zip("ab" * 10, texts)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, _copy int, copy int, taken string, row int, size int"
+    docs = spark.createDataFrame(data, names).repartition(3)
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/a").toPandas()
+    # Texts without a letter and without a number go, and copies and near copies; the mix may take nothing of a document.
+    assert {4, 9} <= set(out["doc_id"]) <= {1, 4, 8, 9, 10}
+    assert (out.groupby("sequence_id")["length"].sum() <= 2048).all()
+    mixed = dict(corpus_pipeline.STAGES)["mixing sources to target weights"](spark, docs.where("doc_id is not null"), "")
+    assert mixed.columns == docs.columns and {(r["_copy"], r["copy"], r["taken"], r["row"], r["size"]) for r in mixed.collect()} == {(1, 2, "t", 4, 5)}
+    docs.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
