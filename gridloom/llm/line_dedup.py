@@ -66,7 +66,8 @@ def remove_boilerplate(
     rows = rows.select("*", *digest)
     texts = rows.where(F.col("text") != "").select("t1", "t2", F.explode(F.array_distinct(_lines(F.col("text")))).alias("line"))
     held = texts.where("line <> ''").select("t1", "t2", "line", *_hash(F.col("line"))).join(common, ["h1", "h2"])
-    drop = held.groupBy("t1", "t2").agg(F.collect_set("line").alias("gone"))
+    # Written before it is joined: so the join has a shuffle of its own, in which Spark splits a text that many rows have.
+    drop = stored(held.groupBy("t1", "t2").agg(F.collect_set("line").alias("gone")), f"{path}/drop")
     gone = F.coalesce("gone", F.array().cast("array<string>"))
     parts = F.split("text", "\n")
     trimmed = lambda x: F.trim(x, F.lit(" "))
