@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import components, forget, mixed, shared_dir, shingle_hashes, stored, text_bytes, unique_ids, word_hashes
+from gridloom.llm.common import checked_broadcast, components, forget, mixed, shared_dir, shingle_hashes, stored, text_bytes, unique_ids, word_hashes
 
 BUCKETS = 256
 MANTISSA = 10
@@ -208,9 +208,11 @@ def near_duplicates(
     reps = stored(own.select("doc_id", "n_shingles", "registers"), f"{path}/reps")
     gone("signed")
     bands = stored(_banded(reps), f"{path}/bands")
-    shared = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lead")).where("n > 1")
-    bands = stored(bands.join(shared, "key"), f"{path}/shared")
-    gone("bands")
+    # What is summed up by key is written before it is joined: so the joins have shuffles of their own, in which Spark
+    # splits a key that many documents have.
+    keys = stored(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lead")).where("n > 1"), f"{path}/keys")
+    bands = stored(bands.join(keys, "key"), f"{path}/shared")
+    gone("bands", "keys")
     sets = stored(_sets(one.join(bands.select("doc_id").distinct(), "doc_id", "left_semi"), k, full=True), f"{path}/sets")
 
     # First round: each document against the smallest leader of its bands.
@@ -219,9 +221,9 @@ def near_duplicates(
     links = stored(_verified(tested, sets, reps, threshold), f"{path}/links0")
     labels = stored(components(links, f"{path}/components0"), f"{path}/labels0")
     # Second round: in bands that are not yet one component, a leader drawn by hash.
-    open_ = stored(_open_bands(bands, labels), f"{path}/open0")
-    gone("shared", "components0")
-    drawn = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "comp")).alias("l"))
+    open_ = stored(_open_bands(bands, labels, f"{path}/parts0"), f"{path}/open0")
+    gone("shared", "components0", "parts0")
+    drawn = stored(open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "comp")).alias("l")), f"{path}/drawn")
     other = open_.join(drawn, "key").where("comp <> l.comp").groupBy("doc_id").agg(F.min("l").alias("l"))
     pairs = other.select(F.least("doc_id", "l.doc_id").alias("a"), F.greatest("doc_id", "l.doc_id").alias("b")).distinct()
     fresh = stored(pairs.join(tested, ["a", "b"], "left_anti"), f"{path}/tested01")
@@ -230,8 +232,8 @@ def near_duplicates(
     if not found.isEmpty():
         links = links.unionByName(found)
         labels = stored(components(links, f"{path}/components01"), f"{path}/labels01")
-    open_ = stored(_open_bands(open_, labels), f"{path}/open")
-    gone("open0", "components01")
+    open_ = stored(_open_bands(open_, labels, f"{path}/parts"), f"{path}/open")
+    gone("open0", "components01", "parts", "drawn")
     left = open_.where(F.col("n") <= AT_ONCE).select("key", F.col("doc_id").alias("a"), F.col("comp").alias("ca"))
     right = left.select("key", F.col("a").alias("b"), F.col("ca").alias("cb"))
     pairs = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct()
@@ -241,8 +243,8 @@ def near_duplicates(
     if not found.isEmpty():
         links = links.unionByName(found)
         labels = stored(components(links, f"{path}/components1"), f"{path}/labels1")
-    members = stored(_open_bands(open_.where(F.col("n") > AT_ONCE), labels).select("doc_id", "comp").distinct(), f"{path}/members")
-    gone("open", "components1")
+    members = stored(_open_bands(open_.where(F.col("n") > AT_ONCE), labels, f"{path}/parts1").select("doc_id", "comp").distinct(), f"{path}/members")
+    gone("open", "components1", "parts1")
     if not members.isEmpty():
         pairs = _prefix_pairs(members, sets, threshold, path)
         fresh = stored(pairs.join(tested, ["a", "b"], "left_anti"), f"{path}/tested2")
@@ -258,12 +260,13 @@ def near_duplicates(
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _open_bands(bands: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(key, doc_id, comp, n, parts)`` of the bands whose members are not all in one component."""
+def _open_bands(bands: DataFrame, labels: DataFrame, path: str) -> DataFrame:
+    """``(key, doc_id, comp, n)`` of the bands whose members are not all in one component."""
     now = bands.select("key", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     now = now.select("key", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
     open_ = now.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    return now.join(open_.select("key", "n"), "key")
+    open_ = stored(open_.select("key", "n"), path)
+    return now.join(checked_broadcast(open_, open_.count(), 16), "key")
 
 
 def _prefix_pairs(members: DataFrame, sets: DataFrame, threshold: float, path: str) -> DataFrame:
