@@ -230,3 +230,19 @@ def clean_str(s: Column) -> Column:
 def clean_url(url: Column) -> Column:
     """A URL without its query (credentials in it included)."""
     return F.substring_index(F.regexp_replace(F.replace(url, F.lit("\\"), F.lit("/")), "^file:/+", ""), "?", 1)
+
+
+def corner_angle(track: Box, way: tuple[Column, Column], det: Box) -> Column:
+    """Mean over the four corners of the angle, over pi, between ``way`` (which the track's corners have gone) and the
+    direction from where the corner was to the detection's corner."""
+
+    def unit(x: Column, y: Column) -> tuple[Column, Column]:
+        size = F.sqrt(x * x + y * y) + 1e-5
+        return x / size, y / size
+
+    vx, vy = unit(*way)
+    total = F.lit(0.0)
+    for px, py, qx, qy in ((track.a, track.b, det.a, det.b), (track.a, track.d, det.a, det.d), (track.c, track.b, det.c, det.b), (track.c, track.d, det.c, det.d)):
+        ux, uy = unit(qx - px + way[0], qy - py + way[1])
+        total = total + F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), vx * ux + vy * uy)))
+    return total / 4 / math.pi

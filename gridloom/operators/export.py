@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import boxes as B
@@ -49,31 +50,28 @@ def run_lengths(pixels: DataFrame, size: int) -> DataFrame:
     )
 
 
-def rle_string(counts: Column) -> Column:
-    """The compact text of run lengths: from the fourth on the difference to the one two before, in 5-bit groups."""
-
-    def one(i: Column) -> Column:
-        x = F.element_at(counts, i + 1) - F.when(i > 2, F.element_at(counts, F.greatest(i - 1, F.lit(1)))).otherwise(0)
-        # Groups from the lowest bits up; the last one is the first whose rest is only its sign.
-        parts = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda k: F.struct(_group(x, k).alias("g"), _more(x, k).alias("more")))
-        ended = F.filter(parts, lambda p, k: F.forall(F.slice(parts, 1, k), lambda q: q["more"]))
-        return F.array_join(F.transform(ended, lambda p: F.char(p["g"] + F.when(p["more"], 32).otherwise(0) + 48)), "")
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.size(counts) - 1), one), "")
-
-
-def _shifted(x: Column, k: Column) -> Column:
-    return F.floor(x.cast("double") / F.pow(F.lit(32.0), k.cast("double"))).cast("long")
-
-
-def _group(x: Column, k: Column) -> Column:
-    return F.pmod(_shifted(x, k), F.lit(32)).cast("int")
-
-
-def _more(x: Column, k: Column) -> Column:
-    rest = _shifted(x, k + 1)
-    top = F.pmod(_shifted(x, k), F.lit(32)) >= 16
-    return F.when(top, rest != -1).otherwise(rest != 0)
+@F.pandas_udf("string")
+def rle_string(counts: pd.Series) -> pd.Series:
+    """The compact text of run lengths: from the fourth on the difference to the one two before, in 5-bit groups.
+
+    Groups come from the lowest bits up, 32 more where another follows; the last one is the first whose rest is its sign.
+    """
+
+    def text(runs: list[int] | None) -> str | None:
+        if runs is None:
+            return None
+        out = []
+        for i, n in enumerate(runs):
+            x = int(n) - (int(runs[i - 2]) if i > 2 else 0)
+            while True:
+                group, x = x & 31, x >> 5
+                last = x == (-1 if group & 16 else 0)
+                out.append(chr(48 + group + (0 if last else 32)))
+                if last:
+                    break
+        return "".join(out)
+
+    return counts.map(text)
 
 
 def class_summary(dets: DataFrame, names: DataFrame, key: str) -> DataFrame:

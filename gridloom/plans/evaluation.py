@@ -371,7 +371,8 @@ def _neighbour_labels(spark, d) -> DataFrame:
     v = read(spark, d, "embeddings")
     q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"), F.col("label").alias("target"))
     dot = F.round(F.aggregate(F.zip_with("embedding", "qe", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x), 9)
-    pairs = v.join(F.broadcast(q), F.col("vec_id") != F.col("q")).select("q", "target", "label", "vec_id", dot.alias("s"))  # 1 % of the vectors
+    few = q.count() * 600 <= 8 << 20  # 1 % of the vectors, in blocks against all
+    pairs = v.join(F.broadcast(q) if few else q, F.col("vec_id") != F.col("q")).select("q", "target", "label", "vec_id", dot.alias("s"))  # 1 % of the vectors
     top = pairs.withColumn("rk", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "vec_id"))).where("rk <= 5")
     return top.groupBy("q", "target").agg(F.array_sort(F.collect_list(F.struct("rk", "label"))).alias("top"))
 

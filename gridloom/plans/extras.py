@@ -96,27 +96,38 @@ def j8(spark, d):
     return near.select("det_id", F.round(polygon_iof(ring, zero, zero, top, top), 6).alias("iof"))
 
 
-@query("r6_prototype_masks", "SELECT vec_id, count(*) n FROM (SELECT vec_id, r, list_sum(list_transform(range(8), lambda k: embedding[r*8+k+1]::DOUBLE*embedding[k+1]::DOUBLE)) s FROM embeddings, (SELECT unnest(range(8)) r)) WHERE round(s,9)>0 GROUP BY vec_id")
+@query("r6_prototype_masks", "SELECT vec_id, count(*) n FROM (SELECT vec_id, r, list_sum(list_transform(range(8), lambda k: embedding[r*8+k+1]::DOUBLE*embedding[56+k+1]::DOUBLE)) s FROM embeddings, (SELECT unnest(range(7)) r)) WHERE round(s,9)>0 AND r>=vec_id%3 AND r<7-vec_id%2 GROUP BY vec_id")
 def r6(spark, d):
-    """Eight prototype places times eight coefficients, places over zero counted."""
-    v = read(spark, d, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("r"))
+    """Seven prototype places times the vector's last eight values as coefficients; places over zero in a crop, counted."""
+    v = read(spark, d, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("r"))
     part = F.slice("embedding", F.col("r") * 8 + 1, F.lit(8))
-    s = F.aggregate(F.zip_with(part, F.slice("embedding", 1, 8), lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    return v.where(F.round(s, 9) > 0).groupBy("vec_id").agg(F.count("*").alias("n"))
+    s = F.aggregate(F.zip_with(part, F.slice("embedding", 57, 8), lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    crop = (F.col("r") >= F.col("vec_id") % 3) & (F.col("r") < 7 - F.col("vec_id") % 2)
+    return v.where((F.round(s, 9) > 0) & crop).groupBy("vec_id").agg(F.count("*").alias("n"))
 
 
-@query("m19_corner_angle_cost", ctes(DETECTIONS, GT, f"""SELECT det_id, gt_id, round(conf*(acos(greatest(-1e0,least(1e0,(ax*bx_+ay*by_)/(sqrt(ax*ax+ay*ay)*sqrt(bx_*bx_+by_*by_)+1e-9)))))/{math.pi!r},6) cost FROM (
-  SELECT d.det_id, g.gt_id, d.conf, d.x1-300 ax, d.y1-300 ay, g.x1-300 bx_, g.y1-300 by_ FROM detections d JOIN gt g ON g.image_id=d.image_id AND g.cls=d.cls)"""))
+_CORNERS = [("x1", "y1"), ("x1", "y2"), ("x2", "y1"), ("x2", "y2")]
+#: A track's box some frames ago lies so far from its box, and so do all corners.
+_PAST = "(g.gt_id%7-3)*4", "(g.gt_id%5-2)*4"
+_unit_sql = lambda x, y, k: f"({k})/(sqrt(({x})*({x})+({y})*({y}))+1e-5)"
+_turn = lambda x, y: (f"acos(greatest(-1e0,least(1e0,{_unit_sql(*_PAST, _PAST[0])}*{_unit_sql(f'd.{x}-g.{x}+{_PAST[0]}', f'd.{y}-g.{y}+{_PAST[1]}', f'd.{x}-g.{x}+{_PAST[0]}')}"
+                      f"+{_unit_sql(*_PAST, _PAST[1])}*{_unit_sql(f'd.{x}-g.{x}+{_PAST[0]}', f'd.{y}-g.{y}+{_PAST[1]}', f'd.{y}-g.{y}+{_PAST[1]}')})))")
+
+
+@query("m19_corner_angle_cost", ctes(DETECTIONS, GT, f"SELECT det_id, gt_id, round(conf*({'+'.join(_turn(x, y) for x, y in _CORNERS)})/4/{math.pi!r},6) cost FROM detections d JOIN gt g ON g.image_id=d.image_id AND g.cls=d.cls"))
 def m19(spark, d):
-    """Angle between the directions of two corners as seen from the frame's middle, weighed by the score."""
-    g = ground_truth(spark, d).select("image_id", "cls", "gt_id", F.col("x1").alias("gx"), F.col("y1").alias("gy"))
-    ax, ay, bx, by_ = F.col("x1") - 300, F.col("y1") - 300, F.col("gx") - 300, F.col("gy") - 300
-    cos = (ax * bx + ay * by_) / (F.sqrt(ax * ax + ay * ay) * F.sqrt(bx * bx + by_ * by_) + 1e-9)
-    cost = F.col("conf") * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos))) / math.pi
+    """Mean angle between the way that each corner of a track has gone and the way to that corner of a detection, times the score."""
+    g = ground_truth(spark, d).select("image_id", "cls", "gt_id", *[F.col(c).alias(f"g{c}") for c in ("x1", "y1", "x2", "y2")])
+    way = ((F.col("gt_id") % 7 - 3) * 4, (F.col("gt_id") % 5 - 2) * 4)
+    cost = B.corner_angle(B.box("g"), way, B.box()) * F.col("conf")
     return detections(spark, d).join(g, ["image_id", "cls"]).select("det_id", "gt_id", F.round(cost, 6).alias("cost"))
 
 
-@query("t13_weighted_parents")
+_hash60 = lambda v: f"('0x' || substr(md5(({v})::VARCHAR),1,15))::BIGINT"
+
+
+@query("t13_weighted_parents", f"""WITH b AS (SELECT p_brand, sum(p_size) s FROM part GROUP BY 1), c AS (SELECT p_brand, s, sum(s) OVER (ORDER BY p_brand) hi FROM b),
+  w AS (SELECT i::BIGINT draw, {_hash60('i')}%(SELECT sum(s) FROM b)::BIGINT AS pick FROM (SELECT unnest(range(10)) i)) SELECT draw, p_brand FROM w JOIN c ON pick>=hi-s AND pick<hi""")
 def t13(spark, d):
     """Ten draws of brands, weighed by their parts' sizes: cumulative weights joined with fixed pseudo-random points."""
     w = Window.orderBy("p_brand")  # a few brands
@@ -127,7 +138,10 @@ def t13(spark, d):
     return draws.join(F.broadcast(cum), (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))).select("draw", "p_brand")
 
 
-@query("t14_mutation")
+_normal = f"sqrt(ln(({_hash60('p_partkey')}%1000003+1)/1000004e0)*-2)*cos(({_hash60('p_partkey*31+7')}%1000003+1)/1000004e0*{2 * math.pi!r})"
+
+
+@query("t14_mutation", f"SELECT p_partkey, round(greatest(900e0,least(2e3,p_retailprice*greatest(25e-2,least(4e0,exp({_normal}*2e-1))))),5) AS value FROM part")
 def t14(spark, d):
     """Values times a log-normal factor (by a fixed hash), the factor in [0.25, 4], the result in its bounds, 5 digits."""
     u = (hash_order(F.col("p_partkey")) % 1_000_003 + 1) / 1_000_004.0
@@ -158,10 +172,8 @@ def _filtered(kind: bool):
 
 def _motion(spark, d, kind: bool) -> DataFrame:
     from gridloom.plans.tracking import streams
-    from gridloom.plans.views import tracks
 
-    ids = tracks(spark, d).select("event_id", "track_id")
-    rows = streams(spark, d).join(ids, F.col("det_id") == F.col("event_id")).select("track_id", "frame_no", "x1", "y1", "x2", "y2")
+    rows = streams(spark, d).select(F.floor(F.col("det_id") / 100).alias("track_id"), "frame_no", "x1", "y1", "x2", "y2")
     ordered = rows.repartition("track_id").sortWithinPartitions("track_id", "frame_no")
     got = ordered.mapInPandas(_filtered(kind), "track_id long, frame_no long, cx double, cy double, gate double")
     return got.select("track_id", "frame_no", *[F.round(c, 4).alias(c) for c in ("cx", "cy", "gate")])

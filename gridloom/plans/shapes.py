@@ -57,7 +57,8 @@ def r2(spark, d):
     b = B.box()
     ring = F.array(b.a, b.b, b.c, b.b, b.c, b.d, b.a, b.d)
     parts = ground_truth(spark, d).groupBy("image_id", "cls").agg(F.transform(F.array_sort(F.collect_list(F.struct("gt_id", ring.alias("p")))), lambda s: s["p"]).alias("parts"))
-    return parts.select("image_id", "cls", F.size(S.merge_polygons("parts")).alias("n"))
+    outline = S.merge_polygons("parts")
+    return parts.select("image_id", "cls", outline.alias("o")).select("image_id", "cls", F.size("o").alias("n"), F.to_json("o").alias("outline"))
 
 
 @query("r3_polygon_mask", ctes(GT, "SELECT gt_id, count(*) n FROM gt, (SELECT unnest(range(64)) px), (SELECT unnest(range(60)) py) WHERE px+5e-1>=x1/10 AND px+5e-1<x2/10 AND py+5e-1>=y1/10 AND py+5e-1<y2/10 GROUP BY gt_id"))
@@ -79,10 +80,10 @@ def s14(spark, d):
     return labels.groupBy("file").agg(F.count("cls").alias("n"), F.sum("cls").alias("cls_sum"))
 
 
-@query("v8_ndjson_auto_val", "SELECT count(*) n_val FROM (SELECT 1 FROM part LIMIT (SELECT greatest(1, floor(count(*)*1e-1))::BIGINT FROM part))")
+@query("v8_ndjson_auto_val", "SELECT file, CASE WHEN row_number() OVER (ORDER BY ('0x' || substr(md5(file),1,15))::BIGINT, file)<=greatest(1,floor((SELECT count(*) FROM part)*1e-1)) THEN 'val' ELSE 'train' END split FROM (SELECT 'img' || p_partkey AS file FROM part)")
 def v8(spark, d):
     names = read(spark, d, "part").select(F.concat(F.lit("img"), F.col("p_partkey").cast("string")).alias("file"), F.lit("train").alias("split"))
-    return files.with_validation(names).where("split = 'val'").agg(F.count("*").alias("n_val"))
+    return files.with_validation(names).select("file", "split")
 
 
 @query("s19_run_log_scan", "SELECT CAST(month(o_orderdate) AS INT) epoch, count(*) n FROM orders GROUP BY 1")
