@@ -39,6 +39,16 @@ def cumulative(tp: DataFrame, truths: DataFrame) -> DataFrame:
     )
 
 
+def envelope(curve: DataFrame) -> DataFrame:
+    """``curve`` with ``envelope``: the best precision from each row on, in two steps as the running sums are."""
+    rows = curve.withColumn("_b", F.floor((1 - F.col("conf")) * 4096))
+    later = Window.partitionBy("cls", "thr").orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    tops = rows.groupBy("cls", "thr", "_b").agg(F.max("precision").alias("_top")).withColumn("_after", F.max("_top").over(later)).drop("_top")
+    here = Window.partitionBy("cls", "thr", "_b").orderBy(F.desc("conf"), "det_id").rowsBetween(0, Window.unboundedFollowing)
+    rows = rows.withColumn("_here", F.max("precision").over(here)).join(tops, ["cls", "thr", "_b"])
+    return rows.withColumn("envelope", F.greatest("_here", F.coalesce("_after", F.lit(0.0)))).drop("_b", "_here", "_after")
+
+
 def average_precision(hits: DataFrame, truths: DataFrame) -> DataFrame:
     """``cls, thr, ap``: the precision envelope at 101 recalls by linear interpolation, then the trapezoid rule.
 
@@ -114,6 +124,10 @@ def curves(tp: DataFrame, truths: DataFrame) -> DataFrame:
     # Of equal confidences, a value from below meets the last row and one from above the first.
     knots = at.groupBy("cls", "conf").agg(F.max(F.struct("n", "recall", "precision")).alias("z"), F.min(F.struct("n", "recall", "precision")).alias("a"))
     last = CURVE - 1
+    # Between two points of the grid only the first and the last confidence matter.
+    cell = F.ceil(F.round(F.col("conf") * last, 9))
+    ends = knots.groupBy("cls", cell).agg(*[f(F.struct("conf", "z", "a")).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    knots = ends.select("cls", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("e")).select("cls", "e.conf", "e.z", "e.a")
     seg = knots.select(
         "cls", "conf", F.lead("conf").over(w).alias("c1"), F.lag("conf").over(w).alias("c0"), F.col("a.recall").alias("r0"), F.col("a.precision").alias("p0"),
         F.col("z.recall").alias("rz"), F.col("z.precision").alias("pz"), F.lead("z").over(w).alias("nx"),

@@ -235,8 +235,7 @@ def w1(spark, d):
 @query("a2_precision_envelope", ctes(_TP, "SELECT det_id, cls, round(max(prec) OVER (PARTITION BY cls ORDER BY conf DESC, det_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),9) envelope FROM cv WHERE thr=5e-1"))
 def a2(spark, d):
     tp = match.true_positives(detections(spark, d), ground_truth(spark, d), [0.5])
-    w = Window.partitionBy("cls").orderBy(F.desc("conf"), "det_id").rowsBetween(0, Window.unboundedFollowing)
-    return metrics.cumulative(tp, ground_truth(spark, d)).select("det_id", "cls", F.round(F.max("precision").over(w), 9).alias("envelope"))
+    return metrics.envelope(metrics.cumulative(tp, ground_truth(spark, d))).select("det_id", "cls", F.round("envelope", 9).alias("envelope"))
 
 
 _AP = f"""{_TP},
