@@ -74,7 +74,7 @@ class DigestIndex:
         older = [r for level in self.levels for r in level]
         run = self._flush(self.merged(batch.select("digest", "rank", F.lit(1).cast("long").alias("copies"))), 0)
         hits = self.rows(run).where("copies > 1").select("digest")
-        for r in older:
+        for r in older:  # few: fanout - 1 a level
             hits = hits.unionByName(self.find(self.rows(run).select("digest"), r))
         hits = stored(hits.distinct(), f"{self.path}/hits{self._made}")
         level = 0

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import mixed, text_bytes
+from gridloom.llm.common import forget, mixed, shared_dir, stored, text_bytes
 
 #: Hashed n-gram space.
 DIMS = 1 << 14
@@ -58,26 +58,11 @@ def grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class CentroidModel:
     """Languages, IDF, centroids (a row each) and the least cosine of each language and length class."""
 
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], sizes: list[int], langs: list[str], clusters: int = CENTROIDS):
-        classes = np.searchsorted(LENGTHS, sizes, side="right")
-        seen = np.zeros(DIMS)
-        for at, _ in rows:
-            seen[at] += 1
-        self.idf = np.log((1 + len(rows)) / (1 + seen)) + 1
-        self.langs = sorted(set(langs))
-        centroids, self.owner, self.least = [], [], []
-        for k, lang in enumerate(self.langs):  # one language's vectors in memory at a time
-            mine = [r for r, who in zip(rows, langs) if who == lang]
-            own = np.zeros((len(mine), DIMS), np.float32)
-            for i, (at, n) in enumerate(mine):
-                own[i, at] = (1 + np.log(n)) * self.idf[at]
-                own[i] /= max(float(np.linalg.norm(own[i])), 1e-12)
-            found = _spherical_kmeans(own, clusters)
-            centroids.append(found)
-            self.owner += [k] * len(found)
-            self.least.append(_bounds(own, classes[[who == lang for who in langs]], clusters))
-        self.table = np.ascontiguousarray(np.concatenate(centroids).T) if centroids else np.zeros((DIMS, 0), np.float32)
-        self.owner = np.asarray(self.owner)
+    def __init__(self, idf: np.ndarray, fitted: list[tuple[str, np.ndarray, np.ndarray]]):
+        self.idf, self.langs = idf, [lang for lang, _, _ in fitted]
+        self.owner = np.repeat(np.arange(len(fitted)), [len(c) for _, c, _ in fitted])
+        self.least = [least for _, _, least in fitted]
+        self.table = np.ascontiguousarray(np.concatenate([c for _, c, _ in fitted]).T) if fitted else np.zeros((DIMS, 0), np.float32)
 
     def predict(self, data: np.ndarray) -> tuple[str, float, bool]:
         at, n = grams(data)
@@ -91,6 +76,15 @@ class CentroidModel:
         return self.langs[lang], score, bool(score < self.least[lang][np.searchsorted(LENGTHS, len(data), side="right")])
 
 
+def fit_language(rows: list[tuple[np.ndarray, np.ndarray]], sizes: list[int], idf: np.ndarray, clusters: int = CENTROIDS) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of one language's texts (hashed n-grams and their counts), and its least cosines by length class."""
+    own = np.zeros((len(rows), DIMS), np.float32)
+    for i, (at, n) in enumerate(rows):
+        own[i, at] = (1 + np.log(n)) * idf[at]
+        own[i] /= max(float(np.linalg.norm(own[i])), 1e-12)
+    return _spherical_kmeans(own, clusters), _bounds(own, np.searchsorted(LENGTHS, sizes, side="right"), clusters)
+
+
 def _bounds(own: np.ndarray, classes: np.ndarray, clusters: int) -> np.ndarray:
     """The least cosine of a language by length class, from every fifth text against centroids of the others."""
     out = np.full(len(LENGTHS) + 1, LEAST_COSINE)
@@ -123,11 +117,12 @@ def _spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE_PER_LANGUAGE) -> CentroidModel:
     """A model from at most ``sample`` documents of each language (those of smallest id hash; a documented bound).
 
-    One scan of ids and languages chooses them, another reads their texts; what the driver gets are counts of hashed
-    n-grams, at most ``DIMS`` a document. Chosen documents without a letter, and null ids, teach nothing.
+    One scan of ids and languages chooses them, another reads their texts and counts their n-grams; each language is
+    clustered in a task of its own, and the driver gets centroids. Chosen documents without a letter, and null ids, teach
+    nothing.
     """
     rank = F.xxhash64(F.col(id_col).cast("string"), F.col(lang_col))
-    names = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), rank.alias("rank")).distinct()
+    names = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), rank.alias("rank")).distinct()
     place = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "id"))
     chosen = names.withColumn("place", place).where(F.col("place") <= sample).select("id", "lang")
 
@@ -137,16 +132,43 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
         for batch in batches:
             data, at = text_bytes(batch.column(1))
             found = [grams(data[at[i] : at[i + 1]]) for i in range(batch.num_rows)]
-            raw = [[v.astype(kind).tobytes() for v in pair] for pair in found for kind in ("<i4",)]
+            raw = [[v.astype("<i4").tobytes() for v in pair] for pair in found]
             cols = [pa.array([r[k] for r in raw], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), *cols], ["lang", "size", "grams", "counts"])
 
-    texts = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("t"))
+    texts = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("t"))
     texts = texts.join(F.broadcast(chosen), ["id", "lang"]).where(F.col("t").rlike(_LETTER))  # at most sample rows a language
     texts = texts.groupBy("id", "lang").agg(F.min("t").alias("t")).select("lang", "t")
-    got = texts.mapInArrow(counted, "lang string, size long, grams binary, counts binary").toPandas().sort_values(["lang", "grams", "counts"])
-    rows = [(np.frombuffer(g, "<i4"), np.frombuffer(c, "<i4").astype(float)) for g, c in zip(got["grams"], got["counts"])]
-    return CentroidModel(rows, got["size"].tolist(), got["lang"].tolist())
+    path = shared_dir(labelled.sparkSession)
+    counts = stored(texts.mapInArrow(counted, "lang string, size long, grams binary, counts binary"), path)
+
+    def seen(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        total, n = np.zeros(DIMS, np.int64), 0
+        for batch in batches:
+            n += batch.num_rows
+            for g in batch.column(0):
+                total[np.frombuffer(g.as_buffer(), "<i4")] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()], pa.binary())], ["n", "seen"])
+
+    parts = counts.select("grams").mapInArrow(seen, "n long, seen binary").where("n > 0").collect()  # DIMS counts a partition of the sample
+    if not parts:
+        forget(labelled.sparkSession, path)
+        return CentroidModel(np.zeros(DIMS), [])
+    idf = np.log((1 + sum(r["n"] for r in parts)) / (1 + sum(np.frombuffer(r["seen"], np.int64) for r in parts))) + 1
+
+    def fit(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(["grams", "counts"])
+        rows = [(np.frombuffer(g, "<i4"), np.frombuffer(c, "<i4").astype(float)) for g, c in zip(pdf["grams"], pdf["counts"])]
+        centroids, least = fit_language(rows, pdf["size"].tolist(), idf)
+        return pd.DataFrame([(pdf["lang"].iloc[0], centroids.astype("<f4").tobytes(), least.tobytes())], columns=["lang", "centroids", "least"])
+
+    fitted = counts.groupBy("lang").applyInPandas(fit, "lang string, centroids binary, least binary").collect()  # at most sample texts a language
+    forget(labelled.sparkSession, path)
+    return CentroidModel(idf, [(r["lang"], np.frombuffer(r["centroids"], "<f4").reshape(-1, DIMS), np.frombuffer(r["least"], float)) for r in sorted(fitted, key=lambda r: r["lang"])])
 
 
 def identify(docs: DataFrame, model: CentroidModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
