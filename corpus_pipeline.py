@@ -46,7 +46,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document of the smallest number."""
-    return _kept(docs, exact_dedup(docs, keep="smallest", path=_scratch(spark)).where("kept"))
+    return _kept(docs, exact_dedup(docs, keep="smallest", memtables=2, path=_scratch(spark)).where("kept"))
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
