@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.functions import boxes as B
 
@@ -50,7 +51,7 @@ def run_lengths(pixels: DataFrame, size: int) -> DataFrame:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def rle_string(counts: pd.Series) -> pd.Series:
     """The compact text of run lengths: from the fourth on the difference to the one two before, in 5-bit groups.
 
