@@ -133,10 +133,51 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.75, k=5)
 
 
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS g FROM w
+), s AS (SELECT doc_id, md5_number_lower(g) AS h FROM g
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY p) AS rep FROM (SELECT doc_id, bit_xor(h) || ':' || sum(h % 1000000007) || ':' || count(*) AS p FROM s GROUP BY doc_id)
+), t AS (SELECT s.doc_id, h, n FROM s JOIN k ON k.doc_id = s.doc_id AND rep = s.doc_id JOIN n ON n.doc_id = s.doc_id
+), l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.h = b.h AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), e AS (
+  SELECT a, b FROM l UNION SELECT b, a FROM l UNION SELECT rep, doc_id FROM k WHERE rep <> doc_id UNION SELECT doc_id, rep FROM k WHERE rep <> doc_id
+), r AS (
+  SELECT doc_id AS node, doc_id AS lead FROM documents UNION SELECT e.b, r.lead FROM r JOIN e ON e.a = r.node WHERE r.lead < e.b
+), c AS (SELECT node, min(lead) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+OP9_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+), s AS (
+  SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS u FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND list_sum(list_transform(e, lambda y: y * y)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_dot_product(a.u, b.u) >= 0.93
+), r AS (
+  SELECT vec_id AS node, vec_id AS lead FROM embeddings UNION SELECT l.b, r.lead FROM r JOIN l ON l.a = r.node WHERE r.lead < l.b
+), c AS (SELECT node, min(lead) AS component_id FROM r GROUP BY node
+), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON c.node = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = remove_boilerplate(table(spark, sf_dir, "documents"), min_sites=10)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("clean_text").cast("binary"), 256).alias("clean_sha256"))
@@ -172,4 +213,11 @@ QUERIES = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_language_id": op10_language_id,
 }
-ORACLES = {"op1_line_dedup": OP1_SQL, "op5_mixing": OP5_SQL, "op7_url_filter": OP7_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLES = {
+    "op1_line_dedup": OP1_SQL,
+    "op3_minhash_dedup": OP3_SQL,
+    "op5_mixing": OP5_SQL,
+    "op7_url_filter": OP7_SQL,
+    "op8_exact_dedup": OP8_SQL,
+    "op9_embedding_dedup": OP9_SQL,  # exact: labels of up to 2048 vectors lose no link
+}
