@@ -158,15 +158,27 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
         return CentroidModel(np.zeros(DIMS), [])
     idf = np.log((1 + sum(r["n"] for r in parts)) / (1 + sum(np.frombuffer(r["seen"], np.int64) for r in parts))) + 1
 
-    def fit(pdf):
-        import pandas as pd
+    def fit(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-        pdf = pdf.sort_values(["grams", "counts"])
-        rows = [(np.frombuffer(g, "<i4"), np.frombuffer(c, "<i4").astype(float)) for g, c in zip(pdf["grams"], pdf["counts"])]
-        centroids, least = fit_language(rows, pdf["size"].tolist(), idf)
-        return pd.DataFrame([(pdf["lang"].iloc[0], centroids.astype("<f4").tobytes(), least.tobytes())], columns=["lang", "centroids", "least"])
+        def done() -> pa.RecordBatch:
+            centroids, least = fit_language(rows, sizes, idf)
+            return pa.RecordBatch.from_pylist([{"lang": lang, "centroids": centroids.astype("<f4").tobytes(), "least": least.tobytes()}])
 
-    fitted = counts.groupBy("lang").applyInPandas(fit, "lang string, centroids binary, least binary").collect()  # at most sample texts a language
+        lang, rows, sizes = None, [], []
+        for batch in batches:
+            for who, size, g, c in zip(*(col.to_pylist() for col in batch.columns)):
+                if who != lang and rows:
+                    yield done()
+                    rows, sizes = [], []
+                lang = who
+                rows.append((np.frombuffer(g, "<i4"), np.frombuffer(c, "<i4").astype(float)))
+                sizes.append(size)
+        if rows:
+            yield done()
+
+    ordered = counts.repartition("lang").sortWithinPartitions("lang", "grams", "counts")  # at most sample texts a language
+    fitted = ordered.mapInArrow(fit, "lang string, centroids binary, least binary").collect()
     forget(labelled.sparkSession, path)
     return CentroidModel(idf, [(r["lang"], np.frombuffer(r["centroids"], "<f4").reshape(-1, DIMS), np.frombuffer(r["least"], float)) for r in sorted(fitted, key=lambda r: r["lang"])])
 
