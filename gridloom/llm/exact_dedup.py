@@ -35,7 +35,6 @@ FILTER_BYTES = 32 << 20
 
 class Run(NamedTuple):
     path: str
-    blocks: int
 
 
 class DigestIndex:
@@ -45,6 +44,7 @@ class DigestIndex:
         self.spark, self.path, self.fanout = spark, path, fanout
         self.levels: list[list[Run]] = [[]]
         self._made = 0
+        self._filters: dict[str, int] = {}
 
     def rows(self, run: Run) -> DataFrame:
         return self.spark.read.parquet(f"{run.path}/rows")
@@ -54,19 +54,25 @@ class DigestIndex:
         self._made += 1
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         rows.repartitionByRange(n, "digest").sortWithinPartitions("digest").write.parquet(f"{path}/rows")
-        blocks = filter_blocks(self.spark.read.parquet(f"{path}/rows").count())
-        bloom_blocks(self.spark.read.parquet(f"{path}/rows").select(F.col("digest").alias("key")), blocks).write.parquet(f"{path}/filter")
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(Run(path, blocks))
+        self.levels[level].append(Run(path))
         return self.levels[level][-1]
 
+    def _filter(self, run: Run) -> tuple[DataFrame, int]:
+        """The run's filter and its number of blocks; it is written when it is first probed."""
+        if run.path not in self._filters:
+            blocks = filter_blocks(self.rows(run).count())
+            bloom_blocks(self.rows(run).select(F.col("digest").alias("key")), blocks).write.parquet(f"{run.path}/filter")
+            self._filters[run.path] = blocks
+        return self.spark.read.parquet(f"{run.path}/filter"), self._filters[run.path]
+
     def merged(self, rows: DataFrame) -> DataFrame:
         return rows.groupBy("digest").agg(F.min("rank").alias("rank"), F.sum("copies").alias("copies"))
 
     def find(self, rows: DataFrame, run: Run) -> DataFrame:
         """``digest`` of those ``rows`` that the run holds: what its filter passes, looked up in it."""
-        may = passed(rows, self.spark.read.parquet(f"{run.path}/filter"), run.blocks).where("may").select("digest")
+        may = passed(rows, *self._filter(run)).where("may").select("digest")
         return may.join(self.rows(run).select("digest"), "digest", "left_semi")
 
     def ingest(self, batch: DataFrame) -> DataFrame:
