@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import langid, packing, token_store
+from gridloom.llm import bpe, langid, packing, token_store
 from gridloom.llm.common import shared_dir
 from gridloom.llm.embedding_dedup import near_vectors
 from gridloom.llm.exact_dedup import exact_dedup
@@ -201,6 +201,16 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), threshold=0.75, words=50)
 
 
+def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, pattern = vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    decoded = bpe.decode_ids(bpe.encode_texts(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    return decoded.select(
+        "doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_store": op2_token_store,
@@ -212,6 +222,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_language_id": op10_language_id,
+    "op13_bpe_codec": op13_bpe_codec,
 }
 ORACLES = {
     "op1_line_dedup": OP1_SQL,
