@@ -12,6 +12,7 @@ from gridloom.llm.exact_dedup import exact_dedup
 from gridloom.llm.line_dedup import remove_boilerplate
 from gridloom.llm.minhash_dedup import near_duplicates
 from gridloom.llm.mixing import mix_sources
+from gridloom.llm.spelling import count_words, group_variants
 from gridloom.llm.substring_dedup import repeated_passages
 from gridloom.llm.url_filter import judge_urls
 
@@ -201,6 +202,40 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), threshold=0.75, words=50)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(count_words(table(spark, sf_dir, "documents"), every=97), ratio=2)
+
+
+OP11_SQL = """
+WITH RECURSIVE t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+), o AS (
+  SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS s, count(*) AS c FROM t WHERE length(run) >= 5 GROUP BY doc_id, run
+), b AS (
+  SELECT run, c, flatten(list_transform(string_split(s, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195::BIGINT, unicode(x)::BIGINT - 64] END)) AS b FROM o
+), h AS (
+  SELECT run, c, xor(4294967295::BIGINT, list_reduce(b, lambda x, y: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+    lambda z, k: CASE WHEN z % 2 = 1 THEN xor(3988292384::BIGINT, z // 2) ELSE z // 2 END, xor(x, y)), 4294967295::BIGINT)) AS h FROM b
+), e AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, c FROM h
+), w AS (SELECT word, sum(c)::BIGINT AS n FROM e WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3
+), p AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w
+), r AS (SELECT word, n, left(word, (i - 1)::INT) || '*' || substr(word, i + 1) AS k, left(word, (i - 1)::INT) || substr(word, i + 1) AS d FROM p
+), l AS (
+  SELECT x.word AS a, y.word AS b, y.n AS bn FROM r x JOIN r y ON x.k = y.k AND x.word <> y.word
+  UNION ALL SELECT r.word, w.word, w.n FROM (SELECT DISTINCT word, d FROM r) r JOIN w ON r.d = w.word
+  UNION ALL SELECT w.word, r.word, r.n FROM (SELECT DISTINCT word, n, d FROM r) r JOIN w ON r.d = w.word
+), g AS (SELECT a, count(*) AS n_near, max(bn) AS m FROM l GROUP BY a
+), f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * w.n THEN (SELECT min(b) FROM l WHERE l.a = w.word AND l.bn = g.m) END AS form,
+         CASE WHEN m >= 2 * w.n THEN m END AS form_n FROM w LEFT JOIN g ON g.a = w.word
+), c(word, here, k) AS (
+  SELECT word, word, 0 FROM f UNION ALL SELECT c.word, f.form, k + 1 FROM c JOIN f ON f.word = c.here WHERE f.form IS NOT NULL
+)
+SELECT f.word, form, (SELECT arg_max(here, k) FROM c WHERE c.word = f.word) AS root, n, n_near, form_n FROM f
+"""
+
+
 def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -222,6 +257,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_language_id": op10_language_id,
+    "op11_spelling_variants": op11_spelling_variants,
     "op13_bpe_codec": op13_bpe_codec,
 }
 ORACLES = {
@@ -230,5 +266,6 @@ ORACLES = {
     "op5_mixing": OP5_SQL,
     "op7_url_filter": OP7_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op11_spelling_variants": OP11_SQL,
     "op9_embedding_dedup": OP9_SQL,  # exact: labels of up to 2048 vectors lose no link
 }

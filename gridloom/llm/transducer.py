@@ -3,7 +3,7 @@
 A run of tokens is what the merges make of its bytes exactly if every two neighbours are what the merges make of theirs. So
 each prefix of a piece has one encoding, and its last token is the one that ends there and goes with the last token of what is
 before it. The transducer reads a piece byte by byte and keeps every token that may be open: its node in the trie of the
-vocabulary, and the token before it. Sets of open tokens are its states, and a step puts out the last token of the prefix. A
+vocabulary, and what the token before it does to the next one. Sets of open tokens are its states, and a step puts out the last token of the prefix. A
 step from a state by a byte is worked out when it is first met and kept; if too many are kept, all are forgotten and learned
 anew. Open tokens begin at most a longest token back, so what they have before them in common is emitted after a bounded
 lookahead: at the end of a piece or of a window of a long one.
@@ -15,13 +15,15 @@ character begins, and the bytes from there on wait for the next chunk.
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 #: Steps, pieces and pairs that a worker remembers; beyond them it forgets all of the kind.
-STEPS, PIECES, PAIRS = 400_000, 300_000, 1_000_000
+STEPS, PIECES, PAIRS = 400_000, 150_000, 300_000
 #: Bytes of a long piece after which its sure tokens are emitted; a rank that no pair has.
 WINDOW, NEVER = 1 << 12, 1 << 62
 #: Bytes of a piece that are worth remembering as a whole.
@@ -40,6 +42,7 @@ class MergeTransducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.size = {rank: len(token) for token, rank in ranks.items()}
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"{len(missing)} single bytes have no token, so that not every text can be encoded")
         #: Children of trie nodes by ``node << 8 | byte``; bytes down to a node; the token that ends at it. A token that its
@@ -50,14 +53,16 @@ class MergeTransducer:
         #: Tokens at the left and at the right edge of a token while it is merged, each with the rank that ends it.
         self.left: dict[int, list[tuple[bytes, int]]] = {}
         self.right: dict[int, list[tuple[bytes, int]]] = {}
+        #: Whether every token has a higher rank than its parts, so that merges come in the order of ranks. Else
+        #: neighbours are told by the merges of their joint bytes.
+        self.ordered = True
         for token, rank in sorted(ranks.items(), key=lambda x: len(x[0])):
             if len(token) > 1:
                 made = self.merged(token, short=1)
                 if len(made) != 2 or made[0] + made[1] != token:
                     continue
                 a, b = ranks[made[0]], ranks[made[1]]
-                if rank < max(a, b):
-                    raise ValueError("a token ranks before its parts: its merges do not come in the order of ranks")
+                self.ordered &= rank > max(a, b)
                 self.left[rank] = [(token, NEVER), (made[0], rank), *self.left[a][1:]]
                 self.right[rank] = [(token, NEVER), (made[1], rank), *self.right[b][1:]]
             else:
@@ -71,9 +76,33 @@ class MergeTransducer:
                     self.depth.append(self.depth[node] + 1)
                 node = down
             self.ends[node] = rank
+        self._classes()
         self.pairs: dict[int, bool] = {}
         self._forget()
 
+    def _classes(self) -> None:
+        """What a token does to the one after it: the tokens at its right edge that could merge on, and up to which rank.
+
+        Tokens that do the same are of one class (0: nothing is before), so that states tell classes and not tokens.
+        """
+        onward: dict[bytes, list[int]] = {}
+        for token, rank in self.ranks.items():
+            for i in range(1, len(token)):
+                if token[i:] in self.ranks and token[:i] in self.ranks:
+                    onward.setdefault(token[:i], []).append(rank)
+        for ranks in onward.values():
+            ranks.sort()
+        known: dict[tuple, int] = {}
+        self.edges: list[tuple] = [()]
+        self.kind: dict[int, int] = {}
+        for rank, edge in self.right.items():
+            does = tuple((a, ranks[n - 1]) for a, gone in edge if (ranks := onward.get(a)) and (n := bisect.bisect_left(ranks, gone)))
+            if not self.ordered:
+                does = (self.tokens[rank],)
+            self.kind[rank] = known.setdefault(does, len(self.edges))
+            if self.kind[rank] == len(self.edges):
+                self.edges.append(does)
+
     def merged(self, raw: bytes, short: int = 0) -> list[bytes]:
         """The tokens of a few bytes by the merges themselves; ``short=1`` stops before the merge that would leave one token."""
         parts = [raw[i : i + 1] for i in range(len(raw))]
@@ -85,49 +114,53 @@ class MergeTransducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _apart(self, left: int, right: int) -> bool:
+    def _apart(self, kind: int, right: int) -> bool:
+        if not self.ordered:
+            (left,) = self.edges[kind]
+            return self.merged(left + self.tokens[right]) == [left, self.tokens[right]]
         get = self.ranks.get
-        for a, gone in self.right[left]:
+        for a, most in self.edges[kind]:
             for b, taken in self.left[right]:
-                rank = get(a + b, NEVER)
-                if rank < gone and rank <= taken and rank != NEVER:  # equal ranks: the first place merges first
+                if get(a + b, NEVER) <= min(most, taken):  # a rank equal to that of what takes b: the first place merges first
                     return False
         return True
 
-    def neighbours(self, left: int, right: int) -> bool:
-        """Whether the merges of the joint bytes of two tokens end with these two: none crosses the border.
+    def neighbours(self, kind: int, right: int) -> bool:
+        """Whether the merges of the joint bytes of a token of this class and ``right`` end with these two: none crosses the border.
 
         One that could joins a token at the right edge of the first and one at the left edge of the second, both of which
         are still there when its rank has its turn.
         """
-        key = left << 32 | right
+        key = kind << 32 | right
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) > PAIRS:
                 self.pairs.clear()
-            known = self.pairs[key] = self._apart(left, right)
+            known = self.pairs[key] = self._apart(kind, right)
         return known
 
     def _forget(self) -> None:
-        #: A state: the open tokens as (node, the token before it or -1), oldest first.
-        self.states = [((0, -1),)]
+        #: A state: the open tokens, oldest first, each as its node and the class of the token before it.
+        self.states = [(0,)]
         self.number = {self.states[0]: 0}
         #: The next state, and the last token of what has been read.
         self.steps: dict[int, tuple[int, int]] = {}
 
     def _step(self, state: int, byte: int) -> tuple[int, int]:
         moved, last = [], -1
-        for node, before in self.states[state]:
-            node = self.child.get(node << 8 | byte, 0)
+        child, ends = self.child, self.ends
+        for item in self.states[state]:
+            node = child.get(item >> 20 << 8 | byte, 0)
             if node:
-                moved.append((node, before))
+                kind = item & 0xFFFFF
+                moved.append(node << 20 | kind)
                 if last < 0:
-                    token = self.ends.get(node, -1)
-                    if token >= 0 and (before < 0 or self.neighbours(before, token)):
+                    token = ends.get(node, -1)
+                    if token >= 0 and (not kind or self.neighbours(kind, token)):
                         last = token
         if last < 0:
             raise ValueError("the ranks are not those of merges: a prefix of a piece has no encoding")
-        moved.append((0, last))
+        moved.append(self.kind[last])
         new = tuple(moved)
         number = self.number.get(new)
         if number is None:
@@ -138,60 +171,78 @@ class MergeTransducer:
 
     def _back(self, lasts: list[int], end: int) -> list[int]:
         """The tokens of the first ``end`` bytes, from the last token of each prefix."""
-        out = []
+        out, size = [], self.size
         while end > 0:
             token = lasts[end - 1]
             out.append(token)
-            end -= len(self.tokens[token])
+            end -= size[token]
         out.reverse()
         return out
 
+    def _read(self, raw: bytes, state: int, lasts: list[int]) -> int:
+        """Go on from a state; ``lasts`` gets the last token of each further prefix."""
+        get, add = self.steps.get, lasts.append
+        for b in raw:
+            step = get(state << 8 | b)
+            if step is None:
+                step = self._step(state, b)
+            state, last = step
+            add(last)
+        return state
+
     def piece(self, raw: bytes) -> list[int]:
         """The ids of one piece."""
         whole = self.ranks.get(raw)
         if whole is not None:
             return [whole]
+        if len(self.steps) > STEPS:
+            self._forget()
+        lasts: list[int] = []
+        if len(raw) <= WINDOW:
+            self._read(raw, 0, lasts)
+            return self._back(lasts, len(lasts))
         out: list[int] = []
-        state, lasts = 0, []
+        state = 0
         for lo in range(0, len(raw), WINDOW):
-            if len(self.steps) > STEPS:  # also in the middle of a long piece: its open tokens go on in a fresh machine
+            if len(self.steps) > STEPS:  # the open tokens go on in a fresh machine
                 now = self.states[state]
                 self._forget()
-                state = self.number.setdefault(now, len(self.states))
-                self.states += [now][: state + 1 - len(self.states)]
-            get = self.steps.get
-            for b in raw[lo : lo + WINDOW]:
-                step = get(state << 8 | b)
-                if step is None:
-                    step = self._step(state, b)
-                state, last = step
-                lasts.append(last)
-            if lo + WINDOW < len(raw):
-                # What all open tokens have before them is sure: each one's predecessors lead back to one place.
-                places = {len(lasts) - self.depth[node] for node, _ in self.states[state]}
-                while len(places) > 1:
-                    at = max(places)
-                    places.remove(at)
-                    places.add(at - len(self.tokens[lasts[at - 1]]))
-                sure = places.pop()
-                out += self._back(lasts, sure)
-                lasts = lasts[sure:]
+                state = self.number.setdefault(now, 1)
+                self.states += [now] * state
+            state = self._read(raw[lo : lo + WINDOW], state, lasts)
+            # What all open tokens have before them is sure: each one's predecessors lead back to one place.
+            places = {len(lasts) - self.depth[item >> 20] for item in self.states[state]}
+            while len(places) > 1:
+                at = max(places)
+                places.remove(at)
+                places.add(at - self.size[lasts[at - 1]])
+            sure = places.pop()
+            out += self._back(lasts, sure)
+            lasts = lasts[sure:]
         return out + self._back(lasts, len(lasts))
 
 
 class _Pieces(dict):
-    """Little-endian ids of pieces, worked out when first asked for."""
+    """Little-endian ids of pieces, worked out when first asked for.
+
+    When it is full, what was asked for since the last time stays at hand and the rest goes.
+    """
 
     def __init__(self, machine: MergeTransducer):
         self.machine = machine
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode()
-        ids = np.array(self.machine.piece(raw), "<u4").tobytes()
-        if len(raw) <= SHORT:
-            if len(self) >= PIECES:
-                self.clear()
-            self[piece] = ids
+        ids = self.older.get(piece)
+        if ids is None:
+            raw = piece.encode()
+            ids = np.array(self.machine.piece(raw), "<u4").tobytes()
+            if len(raw) > SHORT:
+                return ids
+        if len(self) >= PIECES:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
 
@@ -224,8 +275,10 @@ class Codec:
 
 @functools.lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    """One codec for each vocabulary and Python worker."""
-    return Codec(path, pattern)
+    """One codec for each vocabulary and Python worker; its tables are never garbage, so they are not searched for any."""
+    made = Codec(path, pattern)
+    gc.freeze()
+    return made
 
 
 def _utf8_machine() -> list[dict[int, int]]:

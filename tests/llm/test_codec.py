@@ -45,7 +45,7 @@ def test_long_pieces_and_forgetting(monkeypatch):
 
 
 def test_borders_against_the_merges():
-    """Merges of random small vocabularies."""
+    """Merges of random small vocabularies; some have tokens whose merges do not come in the order of ranks."""
     rng = random.Random(1)
     for trial in range(40):
         ranks = {bytes([b]): b for b in range(256)}
@@ -70,8 +70,6 @@ def test_a_token_that_its_merges_do_not_make():
     assert machine.piece(b"ababab") == [258, 256]
     with pytest.raises(ValueError):
         MergeTransducer({b"a": 0})
-    with pytest.raises(ValueError):  # merges that do not come in the order of ranks
-        MergeTransducer({bytes([b]): b for b in range(256)} | {b"ab": 300, b"abc": 299})
 
 
 def test_stream_of_characters():
