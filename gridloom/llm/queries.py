@@ -12,6 +12,7 @@ from gridloom.llm.exact_dedup import exact_dedup
 from gridloom.llm.line_dedup import remove_boilerplate
 from gridloom.llm.minhash_dedup import near_duplicates
 from gridloom.llm.mixing import mix_sources
+from gridloom.llm.phrases import mine_phrases
 from gridloom.llm.spelling import count_words, group_variants
 from gridloom.llm.substring_dedup import repeated_passages
 from gridloom.llm.url_filter import judge_urls
@@ -236,11 +237,41 @@ SELECT f.word, form, (SELECT arg_max(here, k) FROM c WHERE c.word = f.word) AS r
 """
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"), most=3, least=10, cover=50, first=2000)
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')) AS p FROM documents
+), w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w, count(*) AS c FROM p GROUP BY lang, p
+), g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g, c
+  FROM w, (VALUES (1), (2), (3)) v(k) WHERE len(w) >= k
+), f AS (SELECT lang, k, g, sum(c)::BIGINT AS f FROM g GROUP BY lang, k, g
+), n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (SELECT lang, k, g, string_split(g, ' ') AS s, f AS a FROM f WHERE k > 1 AND f >= 10
+), o AS (
+  SELECT lang, g, max(a) AS longer FROM (SELECT lang, array_to_string(s[1:2], ' ') AS g, a FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(s[2:3], ' '), a FROM c WHERE k = 3) GROUP BY lang, g
+), x AS (SELECT lang, g, a, k, s, unnest(range(1, k)) AS i FROM c
+), y AS (SELECT lang, g, a, i, array_to_string(s[1:i], ' ') AS before, array_to_string(s[i + 1:k], ' ') AS behind FROM x
+), t AS (
+  SELECT y.lang, y.g, a, i, l.f AS l, r.f AS r, (1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS score
+  FROM y JOIN f l ON l.lang = y.lang AND l.g = before JOIN f r ON r.lang = y.lang AND r.g = behind
+), b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, i) = 1
+), k AS (
+  SELECT b.lang, b.g AS phrase, a, l, r, score::BIGINT AS score FROM b LEFT JOIN o ON o.lang = b.lang AND o.g = b.g WHERE longer IS NULL OR 100 * longer < 50 * a
+)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM k JOIN n ON n.lang = k.lang QUALIFY rank <= 2000
+"""
+
+
 def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks, pattern = vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    decoded = bpe.decode_ids(bpe.encode_texts(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    decoded = bpe.decode_ids(bpe.encode_texts(table(spark, sf_dir, "documents"), ranks, pattern, lone_space_begins=True), ranks)
     return decoded.select(
         "doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
@@ -258,6 +289,7 @@ QUERIES = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_language_id": op10_language_id,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_phrase_mining": op12_phrase_mining,
     "op13_bpe_codec": op13_bpe_codec,
 }
 ORACLES = {
@@ -267,5 +299,6 @@ ORACLES = {
     "op7_url_filter": OP7_SQL,
     "op8_exact_dedup": OP8_SQL,
     "op11_spelling_variants": OP11_SQL,
+    "op12_phrase_mining": OP12_SQL,
     "op9_embedding_dedup": OP9_SQL,  # exact: labels of up to 2048 vectors lose no link
 }

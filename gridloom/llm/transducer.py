@@ -18,12 +18,14 @@ import base64
 import bisect
 import functools
 import gc
+import struct
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 
 #: Steps, pieces and pairs that a worker remembers; beyond them it forgets all of the kind.
-STEPS, PIECES, PAIRS = 400_000, 150_000, 300_000
+STEPS, PIECES, PAIRS = 300_000, 100_000, 200_000
 #: Bytes of a long piece after which its sure tokens are emitted; a rank that no pair has.
 WINDOW, NEVER = 1 << 12, 1 << 62
 #: Bytes of a piece that are worth remembering as a whole.
@@ -36,6 +38,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+class Made(NamedTuple):
+    """How a token is made: whether the merges of its bytes reach it, in the order of ranks; the tokens at its left and at
+    its right edge meanwhile, each with the rank that ends it."""
+
+    reached: bool
+    ordered: bool
+    left: list[tuple[bytes, int]]
+    right: list[tuple[bytes, int]]
+
+
+class _Unordered(Exception):
+    """A token ranks before one that it is made of."""
+
+
 class MergeTransducer:
     """Ids of pieces by rank: of all neighbours whose joint bytes are a token, the one of least rank (the first of those) merges first."""
 
@@ -45,63 +61,81 @@ class MergeTransducer:
         self.size = {rank: len(token) for token, rank in ranks.items()}
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"{len(missing)} single bytes have no token, so that not every text can be encoded")
-        #: Children of trie nodes by ``node << 8 | byte``; bytes down to a node; the token that ends at it. A token that its
-        #: own bytes do not merge to ends nowhere; only a piece that equals it gets it.
+        #: Children of trie nodes by ``node << 8 | byte``; bytes down to a node; the token whose bytes lead to it.
         self.child: dict[int, int] = {}
         self.depth = [0]
-        self.ends: dict[int, int] = {}
-        #: Tokens at the left and at the right edge of a token while it is merged, each with the rank that ends it.
-        self.left: dict[int, list[tuple[bytes, int]]] = {}
-        self.right: dict[int, list[tuple[bytes, int]]] = {}
-        #: Whether every token has a higher rank than its parts, so that merges come in the order of ranks. Else
-        #: neighbours are told by the merges of their joint bytes.
-        self.ordered = True
-        for token, rank in sorted(ranks.items(), key=lambda x: len(x[0])):
-            if len(token) > 1:
-                made = self.merged(token, short=1)
-                if len(made) != 2 or made[0] + made[1] != token:
-                    continue
-                a, b = ranks[made[0]], ranks[made[1]]
-                self.ordered &= rank > max(a, b)
-                self.left[rank] = [(token, NEVER), (made[0], rank), *self.left[a][1:]]
-                self.right[rank] = [(token, NEVER), (made[1], rank), *self.right[b][1:]]
-            else:
-                self.left[rank] = self.right[rank] = [(token, NEVER)]
+        self.at: dict[int, int] = {}
+        #: Ranks of the tokens that a token is the left part of.
+        self.onward: dict[bytes, list[int]] = {}
+        for token, rank in ranks.items():
             node = 0
-            for b in token:
+            for i, b in enumerate(token, 1):
                 key = node << 8 | b
                 down = self.child.get(key, 0)
                 if not down:
                     down = self.child[key] = len(self.depth)
-                    self.depth.append(self.depth[node] + 1)
+                    self.depth.append(i)
                 node = down
-            self.ends[node] = rank
-        self._classes()
+                if i < len(token) and token[i:] in ranks and token[:i] in ranks:
+                    self.onward.setdefault(token[:i], []).append(rank)
+            self.at[node] = rank
+        for found in self.onward.values():
+            found.sort()
+        # The rest is worked out for the tokens that are met.
+        self.ends: dict[int, int] = {}
+        self.made: dict[int, Made] = {}
+        self._begin(ordered=True)
+
+    def _begin(self, ordered: bool) -> None:
+        #: Whether merges come in the order of ranks, as far as is known. If not, joint bytes are merged to tell neighbours.
+        self.ordered = ordered
+        self.kind: dict[int, int] = {}
+        self.kinds: dict[tuple, int] = {}
+        self.edges: list[tuple] = [()]
         self.pairs: dict[int, bool] = {}
         self._forget()
 
-    def _classes(self) -> None:
+    def making(self, rank: int) -> Made:
+        """How the merges make a token."""
+        made = self.made.get(rank)
+        if made is None:
+            token = self.tokens[rank]
+            if len(token) == 1:
+                made = Made(True, True, [(token, NEVER)], [(token, NEVER)])
+            else:
+                parts = self.merged(token, short=1)
+                if len(parts) != 2:
+                    made = Made(False, False, [], [])
+                else:
+                    a, b = (self.ranks[x] for x in parts)
+                    x, y = self.making(a), self.making(b)
+                    made = Made(True, x.ordered and y.ordered and rank > max(a, b), [(token, NEVER), (parts[0], rank), *x.left[1:]], [(token, NEVER), (parts[1], rank), *y.right[1:]])
+            self.made[rank] = made
+        if self.ordered and made.reached and not made.ordered:
+            raise _Unordered
+        return made
+
+    def _ending(self, node: int) -> int:
+        """The token that ends at a node, or -1. A token that its own bytes do not merge to ends nowhere; only a piece that equals it gets it."""
+        token = self.at.get(node, -1)
+        if token >= 0 and not self.making(token).reached:
+            token = -1
+        self.ends[node] = token
+        return token
+
+    def _kind(self, rank: int) -> int:
         """What a token does to the one after it: the tokens at its right edge that could merge on, and up to which rank.
 
         Tokens that do the same are of one class (0: nothing is before), so that states tell classes and not tokens.
         """
-        onward: dict[bytes, list[int]] = {}
-        for token, rank in self.ranks.items():
-            for i in range(1, len(token)):
-                if token[i:] in self.ranks and token[:i] in self.ranks:
-                    onward.setdefault(token[:i], []).append(rank)
-        for ranks in onward.values():
-            ranks.sort()
-        known: dict[tuple, int] = {}
-        self.edges: list[tuple] = [()]
-        self.kind: dict[int, int] = {}
-        for rank, edge in self.right.items():
-            does = tuple((a, ranks[n - 1]) for a, gone in edge if (ranks := onward.get(a)) and (n := bisect.bisect_left(ranks, gone)))
-            if not self.ordered:
-                does = (self.tokens[rank],)
-            self.kind[rank] = known.setdefault(does, len(self.edges))
-            if self.kind[rank] == len(self.edges):
-                self.edges.append(does)
+        made = self.making(rank)
+        does = tuple((a, ranks[n - 1]) for a, gone in made.right if (ranks := self.onward.get(a)) and (n := bisect.bisect_left(ranks, gone)))
+        if not self.ordered:
+            does = (self.tokens[rank],)
+        kind = self.kind[rank] = self.kinds.setdefault(does, len(self.edges))
+        if kind == len(self.edges):
+            self.edges.append(does)
+        return kind
 
     def merged(self, raw: bytes, short: int = 0) -> list[bytes]:
         """The tokens of a few bytes by the merges themselves; ``short=1`` stops before the merge that would leave one token."""
@@ -115,12 +149,12 @@ class MergeTransducer:
         return parts
 
     def _apart(self, kind: int, right: int) -> bool:
+        edge = self.edges[kind]
         if not self.ordered:
-            (left,) = self.edges[kind]
-            return self.merged(left + self.tokens[right]) == [left, self.tokens[right]]
+            return self.merged(edge[0] + self.tokens[right]) == [edge[0], self.tokens[right]]
         get = self.ranks.get
-        for a, most in self.edges[kind]:
-            for b, taken in self.left[right]:
+        for a, most in edge:
+            for b, taken in self.making(right).left:
                 if get(a + b, NEVER) <= min(most, taken):  # a rank equal to that of what takes b: the first place merges first
                     return False
         return True
@@ -155,12 +189,14 @@ class MergeTransducer:
                 kind = item & 0xFFFFF
                 moved.append(node << 20 | kind)
                 if last < 0:
-                    token = ends.get(node, -1)
+                    token = ends.get(node)
+                    if token is None:
+                        token = self._ending(node)
                     if token >= 0 and (not kind or self.neighbours(kind, token)):
                         last = token
         if last < 0:
             raise ValueError("the ranks are not those of merges: a prefix of a piece has no encoding")
-        moved.append(self.kind[last])
+        moved.append(self.kind.get(last) or self._kind(last))
         new = tuple(moved)
         number = self.number.get(new)
         if number is None:
@@ -197,6 +233,13 @@ class MergeTransducer:
             return [whole]
         if len(self.steps) > STEPS:
             self._forget()
+        try:
+            return self._piece(raw)
+        except _Unordered:  # met the first token of this kind: all is learned anew
+            self._begin(ordered=False)
+            return self._piece(raw)
+
+    def _piece(self, raw: bytes) -> list[int]:
         lasts: list[int] = []
         if len(raw) <= WINDOW:
             self._read(raw, 0, lasts)
@@ -222,46 +265,76 @@ class MergeTransducer:
         return out + self._back(lasts, len(lasts))
 
 
-class _Pieces(dict):
-    """Little-endian ids of pieces, worked out when first asked for.
+class _Kept(dict):
+    """Ids by text, worked out when first asked for. When it is full, what was asked for since the last time stays at hand and the rest goes."""
 
-    When it is full, what was asked for since the last time stays at hand and the rest goes.
-    """
-
-    def __init__(self, machine: MergeTransducer):
-        self.machine = machine
-        self.older: dict[str, bytes] = {}
+    def __init__(self, make):
+        self.make, self.older = make, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
+    def __missing__(self, text: str) -> bytes:
+        ids = self.older.get(text)
         if ids is None:
-            raw = piece.encode()
-            ids = np.array(self.machine.piece(raw), "<u4").tobytes()
-            if len(raw) > SHORT:
+            ids = self.make(text)
+            if len(text) > SHORT:
                 return ids
         if len(self) >= PIECES:
             self.older = dict(self)
             self.clear()
-        self[piece] = ids
+        self[text] = ids
         return ids
 
 
-class Codec:
-    """Encodes texts to little-endian unsigned 32-bit ids and decodes such ids, whole or as a stream."""
+class _Blank(Exception):
+    """A space does not stand alone between two characters that are no blanks."""
+
+
+class Encoder:
+    """Encodes texts to little-endian unsigned 32-bit ids.
 
-    def __init__(self, path: str, pattern: str):
+    ``lone_space_begins``: in the pattern, a single space between two characters that are no blanks always begins a piece. Then
+    texts are cut there first, and the pattern sees each stretch once.
+    """
+
+    def __init__(self, path: str, pattern: str, lone_space_begins: bool = False):
         import regex
 
         self.machine = MergeTransducer(read_ranks(path))
         self.split = regex.compile(pattern).findall
-        self.pieces = _Pieces(self.machine)
+        self.cut = lone_space_begins
+        self.pieces = _Kept(lambda piece: struct.pack(f"<{len(ids := self.machine.piece(piece.encode()))}I", *ids))
+        self.stretches = _Kept(self._stretch)
 
-    def encode(self, text: str) -> bytes:
+    def _whole(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
+    def _stretch(self, word: str) -> bytes:
+        if not word or word[0].isspace() or word[-1].isspace():
+            raise _Blank
+        return self._whole(f" {word}")
+
+    def encode(self, text: str) -> bytes:
+        if not self.cut:
+            return self._whole(text)
+        first, *rest = text.split(" ")
+        if not rest:
+            return self._whole(text)
+        try:
+            if not first or first[-1].isspace():
+                raise _Blank
+            return self._whole(first) + b"".join(map(self.stretches.__getitem__, rest))
+        except _Blank:
+            return self._whole(text)
+
+
+class Decoder:
+    """Decodes such ids, whole or as a stream."""
+
+    def __init__(self, path: str):
+        self.tokens = {rank: token for token, rank in read_ranks(path).items()}
+
     def decode(self, ids: bytes) -> bytes:
         """The bytes of ids; an id that no token has is an error."""
-        return b"".join(map(self.machine.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[str]:
         """Text as soon as its characters are whole, for chunks of ids."""
@@ -274,13 +347,18 @@ class Codec:
 
 
 @functools.lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
-    """One codec for each vocabulary and Python worker; its tables are never garbage, so they are not searched for any."""
-    made = Codec(path, pattern)
+def encoder(path: str, pattern: str, lone_space_begins: bool) -> Encoder:
+    """One encoder for each vocabulary and Python worker; its tables are never garbage, so they are not searched for any."""
+    made = Encoder(path, pattern, lone_space_begins)
     gc.freeze()
     return made
 
 
+@functools.lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def _utf8_machine() -> list[dict[int, int]]:
     """Moves between states by a byte. State 0: between characters; others: what may follow within one. No move: no UTF-8."""
     tail = range(0x80, 0xC0)

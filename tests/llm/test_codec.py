@@ -5,10 +5,10 @@ import public_tokenizers
 import pytest
 import tiktoken
 from gridloom.llm.bpe import decode_ids, encode_texts
-from gridloom.llm.transducer import Codec, MergeTransducer, Utf8Stream, read_ranks
+from gridloom.llm.transducer import Decoder, Encoder, MergeTransducer, Utf8Stream, read_ranks
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-SOME = ["aab", "etaoin shrdlu", "'s'll're ", "0123456789", "éàüñ ß", "日本語テキスト", "\n \t\r\x85 ", "ab-=_*#", "😀👍🏽á", "\x00\x7f"]
+SOME = ["aab", "etaoin shrdlu", "'s'll're ", "0123456789", "éàüñ ß", "日本語テキスト", "\n \t\r\x85 ", "ab-=_*#", "😀👍🏽á", "\x00\x7f\x1c\x1d", "a b c. d", "  a \n b"]
 
 
 def library(path):
@@ -26,11 +26,14 @@ def odd_texts(n, seed=3):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"])
 def test_ids_equal_the_library(name):
-    codec, want = Codec(public_tokenizers.path(name), public_tokenizers.PATTERN), library(public_tokenizers.path(name))
+    path = public_tokenizers.path(name)
+    want, decoder = library(path), Decoder(path)
+    whole, cut = (Encoder(path, public_tokenizers.PATTERN, x) for x in (False, True))
     for text in odd_texts(1500):
-        ids = codec.encode(text)
+        ids = whole.encode(text)
         assert np.frombuffer(ids, "<u4").tolist() == want.encode_ordinary(text), text
-        assert codec.decode(ids) == text.encode()
+        assert cut.encode(text) == ids, text
+        assert decoder.decode(ids) == text.encode()
 
 
 def test_long_pieces_and_forgetting(monkeypatch):
@@ -38,7 +41,7 @@ def test_long_pieces_and_forgetting(monkeypatch):
 
     for name, value in (("STEPS", 500), ("PIECES", 5), ("PAIRS", 50), ("WINDOW", 257)):
         monkeypatch.setattr(module, name, value)
-    codec, want, rng = Codec(RANKS, public_tokenizers.PATTERN), library(RANKS), random.Random(9)
+    codec, want, rng = Encoder(RANKS, public_tokenizers.PATTERN), library(RANKS), random.Random(9)
     for letters in ("ab", "abcdefghij", "etaoinshrdlu", " ", "-", "é"):
         text = "".join(rng.choice(letters) for _ in range(20_000))
         assert np.frombuffer(codec.encode(text), "<u4").tolist() == want.encode_ordinary(text)
@@ -88,10 +91,9 @@ def test_stream_of_characters():
 
 
 def test_codec_streams_ids():
-    codec = Codec(RANKS, public_tokenizers.PATTERN)
     text = "日本語 😀 text " * 50
-    ids = codec.encode(text)
-    parts = list(codec.stream(ids[i : i + 4] for i in range(0, len(ids), 4)))
+    ids = Encoder(RANKS, public_tokenizers.PATTERN, True).encode(text)
+    parts = list(Decoder(RANKS).stream(ids[i : i + 4] for i in range(0, len(ids), 4)))
     assert "".join(parts) == text and len(parts) > 100
 
 
@@ -99,16 +101,16 @@ def test_rows(spark):
     texts = [None, "", " ", "Hello, world's 123\n\n", "é日😀" * 3, "word " * 40_000, "x" * 30_000] + ["same"] * 30
     docs = spark.createDataFrame([(i // 2, t, b"i", "d") for i, t in enumerate(texts)], "doc_id long, text string, ids binary, decoded string").repartition(3)
     want = library(RANKS)
-    out = decode_ids(encode_texts(docs, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
+    out = decode_ids(encode_texts(docs, RANKS, public_tokenizers.PATTERN, True), RANKS)
     assert out.columns == ["doc_id", "ids", "decoded", "decoded_text"]
     rows = out.collect()
     assert sorted((r["doc_id"], r["decoded_text"]) for r in rows) == sorted((i // 2, t or "") for i, t in enumerate(texts))
     for r in rows:
         assert np.frombuffer(r["ids"], "<u4").tolist() == want.encode_ordinary(r["decoded_text"]) and r["decoded"] == r["decoded_text"].encode()
     empty = encode_texts(docs.limit(0), RANKS, public_tokenizers.PATTERN)
-    assert empty.count() == 0 and decode_ids(empty, RANKS, public_tokenizers.PATTERN).count() == 0
+    assert empty.count() == 0 and decode_ids(empty, RANKS).count() == 0
     broken = spark.sql("select 1L as doc_id, cast(X'61C328FF' as string) as text")
-    assert decode_ids(encode_texts(broken, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN).first()["decoded_text"] == "a�(�"
+    assert decode_ids(encode_texts(broken, RANKS, public_tokenizers.PATTERN), RANKS).first()["decoded_text"] == "a�(�"
 
 
 def test_query(spark):
