@@ -24,8 +24,8 @@ from typing import NamedTuple
 
 import numpy as np
 
-#: Steps, pieces and pairs that a worker remembers; beyond them it forgets all of the kind.
-STEPS, PIECES, PAIRS = 300_000, 100_000, 200_000
+#: Steps, pairs, pieces and stretches that a worker remembers.
+STEPS, PAIRS, PIECES, STRETCHES = 400_000, 150_000, 200_000, 200_000
 #: Bytes of a long piece after which its sure tokens are emitted; a rank that no pair has.
 WINDOW, NEVER = 1 << 12, 1 << 62
 #: Bytes of a piece that are worth remembering as a whole.
@@ -268,8 +268,8 @@ class MergeTransducer:
 class _Kept(dict):
     """Ids by text, worked out when first asked for. When it is full, what was asked for since the last time stays at hand and the rest goes."""
 
-    def __init__(self, make):
-        self.make, self.older = make, {}
+    def __init__(self, make, most: int):
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, text: str) -> bytes:
         ids = self.older.get(text)
@@ -277,7 +277,7 @@ class _Kept(dict):
             ids = self.make(text)
             if len(text) > SHORT:
                 return ids
-        if len(self) >= PIECES:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[text] = ids
@@ -301,8 +301,8 @@ class Encoder:
         self.machine = MergeTransducer(read_ranks(path))
         self.split = regex.compile(pattern).findall
         self.cut = lone_space_begins
-        self.pieces = _Kept(lambda piece: struct.pack(f"<{len(ids := self.machine.piece(piece.encode()))}I", *ids))
-        self.stretches = _Kept(self._stretch)
+        self.pieces = _Kept(lambda piece: struct.pack(f"<{len(ids := self.machine.piece(piece.encode()))}I", *ids), PIECES)
+        self.stretches = _Kept(self._stretch, STRETCHES)
 
     def _whole(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
