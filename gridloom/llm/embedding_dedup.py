@@ -17,8 +17,8 @@ left out of a full filter. A linked pair is counted at the smallest filter that
 and a spanning forest of its links, not the pairs themselves.
 
 Defined cases: a vector that is null, empty, zero or holds a null, NaN or infinity, and one without a label, links with
-nothing; vectors of different lengths never link; a repeated id takes the counts of its vector; extra columns are
-ignored; an empty table gives an empty result.
+nothing; vectors of different lengths never link; rows of a repeated id are vectors of their own, and each takes the counts
+of its vector; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -243,7 +243,9 @@ def near_vectors(
     )
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vector"), F.col(label_col).alias("label"), F.coalesce(sound, F.lit(False)).alias("sound"))
     good = rows.where("sound and vec_id is not null").withColumn("h", F.xxhash64("vector", "label"))
-    classes = stored(good.groupBy("h", "label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), f"{path}/classes")
+    # ``rep`` numbers the classes; written, so that it holds. An id may be the smallest of several classes.
+    classes = good.groupBy("h", "label", "vector").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
+    classes = stored(classes.select("*", F.monotonically_increasing_id().alias("rep")), f"{path}/classes")
     lengths = [r["dims"] for r in classes.select(F.size("vector").alias("dims")).distinct().orderBy("dims").collect()]  # few
     found = None
     for dims in lengths:
@@ -252,9 +254,11 @@ def near_vectors(
     if found is None:
         found = spark.createDataFrame([], "rep long, links long, root long")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    labels = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), f"{path}/components")
-    per_class = classes.join(counts, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "h", "label", "vector", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
+    labels = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), f"{path}/components").withColumnRenamed("node", "rep")
+    lowest = labels.join(classes.select("rep", "low"), "rep").groupBy("component").agg(F.min("low").alias("lowest"))
+    labels = labels.join(lowest, "component").select("rep", "lowest")
+    per_class = classes.join(counts, "rep", "left").join(labels, "rep", "left").select(
+        "h", "label", "vector", F.coalesce("lowest", "low").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
     )
     linked = good.join(per_class, ["h", "label", "vector"]).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
     rest = rows.where("not sound or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

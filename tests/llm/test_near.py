@@ -149,3 +149,13 @@ def test_exact_dedup_of_repeated_ids_and_of_one_digest_for_several_texts(spark):
         for digest in (sha256, lambda t: F.substring(sha256(t), 1, 1)):  # and 256 digests for all texts
             got = exact_dedup(docs, keep=keep, memtables=5, digest=digest).collect()
             assert sorted((repr(r["doc_id"]), repr(r["keep_id"]), r["group_size"], r["kept"]) for r in got) == want
+
+
+def test_near_vectors_of_a_repeated_id(spark):
+    """One id with two vectors: each row takes the counts of its own vector."""
+    a, b, c = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]
+    near_b = [0.1, 1.0, 0.0, 0.0]
+    rows = [(1, a, 5), (1, b, 5), (2, near_b, 5), (3, c, 5), (0, c, 5), (4, a, 6)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = sorted(map(tuple, near_vectors(frame).select("vec_id", "n_links", "component_id", "kept").collect()))
+    assert got == [(0, 1, 0, True), (1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 0, False), (4, 0, 4, True)]

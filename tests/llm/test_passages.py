@@ -143,3 +143,30 @@ def test_line_dedup(spark):
     assert [(r["n_lines"], r["n_removed"], r["clean_text"]) for r in got[40:]] == [(0, 0, ""), (0, 0, ""), (1, 1, ""), (1, 1, ""), (2, 1, "kept")]
     assert remove_boilerplate(docs.limit(0)).count() == 0
     assert all(r["n_removed"] == 0 for r in remove_boilerplate(docs, min_sites=11).collect())
+
+
+def test_short_exact_passages_of_a_large_key(spark):
+    """Pairs of documents that share 52 words of which all documents share 40: every pair is found."""
+    rng = np.random.default_rng(31)
+    hot, texts, want = words(rng, 40), {}, set()
+    for k in range(200):
+        before = int(rng.integers(0, 13))
+        one = [*words(rng, before), *hot, *words(rng, 12 - before)]
+        for d in (2 * k, 2 * k + 1):
+            texts[d] = " ".join([*words(rng, int(rng.integers(5, 40))), *one, *words(rng, 30)])
+        want.add(2 * k + 1)
+    got = {d for d, *_ in spans_of(spark, texts)}
+    assert want <= got
+
+
+def test_hashes_of_runs_of_words():
+    from gridloom.llm.substring_dedup import _run_hashes
+
+    rng = np.random.default_rng(3)
+    words_ = rng.integers(1, 2**63, 6, dtype=np.uint64)[rng.integers(0, 6, 5000)]
+    at = np.arange(len(words_) - 5 + 1)
+    h1, h2 = _run_hashes(words_, at, 5)
+    seen = {}
+    for i in at.tolist():
+        seen.setdefault(tuple(words_[i : i + 5].tolist()), set()).add((int(h1[i]), int(h2[i])))
+    assert all(len(v) == 1 for v in seen.values()) and len({v for s in seen.values() for v in s}) == len(seen)
