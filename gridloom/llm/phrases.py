@@ -133,11 +133,14 @@ def _sketch(parts: DataFrame, lg: int, k: int, hot: dict, least: int) -> list[np
     known = parts.sparkSession.sparkContext.broadcast(hot)
     size = 1 << lg
     part = min(PART, size)
+    if least >= 1 << 16:
+        raise ValueError("least is below 65536")
+    small = "<u2" if least >= 256 else "u1"
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        scanner, cells = Scanner(lg, known.value), np.zeros((ROWS, size), np.uint32)
+        scanner, cells = Scanner(lg, known.value), np.zeros((ROWS, size), small)
         waiting: list[np.ndarray] = []
 
         def put() -> None:
@@ -145,20 +148,19 @@ def _sketch(parts: DataFrame, lg: int, k: int, hot: dict, least: int) -> list[np
             waiting.clear()
             for row in range(ROWS):
                 at, n = np.unique(scanner.cells(hashes, row), return_counts=True)
-                cells[row, at] += n.astype(np.uint32)
+                cells[row, at] = np.minimum(cells[row, at] + n, least)  # a cell that has reached the count needs no more
 
         for batch in batches:
             for lang, block in zip(batch.column(0).to_pylist(), batch.column(1)):
                 waiting.append(scanner.phrases(lang, block.as_py(), k)[0][k - 1][0])
-                if sum(map(len, waiting)) >= 1 << 21:
+                if sum(map(len, waiting)) >= 1 << 20:
                     put()
         if waiting:
             put()
         for row in range(ROWS):
             for p in range(size // part):
                 if len(at := np.flatnonzero(here := cells[row, p * part : (p + 1) * part])):
-                    n = np.minimum(here[at], least)  # a cell that has reached the count needs no more
-                    yield pa.RecordBatch.from_pydict({"row": pa.array([row], pa.int32()), "part": pa.array([p], pa.int32()), "at": [at.astype("<u2").tobytes()], "n": [n.astype("<u2" if least >= 256 else "u1").tobytes()]})
+                    yield pa.RecordBatch.from_pydict({"row": pa.array([row], pa.int32()), "part": pa.array([p], pa.int32()), "at": [at.astype("<u2").tobytes()], "n": [here[at].tobytes()]})
 
     def add(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -175,12 +177,10 @@ def _sketch(parts: DataFrame, lg: int, k: int, hot: dict, least: int) -> list[np
                     if now:
                         yield done()
                     now, total = (row, p), np.zeros(part, np.int64)
-                total[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<u2" if least >= 256 else "u1")
+                total[np.frombuffer(at, "<u2")] += np.frombuffer(n, small)
         if now:
             yield done()
 
-    if least >= 1 << 16:
-        raise ValueError("least is below 65536")
     counted = parts.select("lang", "block").mapInArrow(count, "row int, part int, at binary, n binary")
     summed = counted.repartition("row", "part").sortWithinPartitions("row", "part").mapInArrow(add, "row int, part int, bits binary")
     out = [np.zeros(size // 8, np.uint8) for _ in range(ROWS)]
