@@ -18,14 +18,15 @@ import base64
 import bisect
 import functools
 import gc
-import struct
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 
 #: Steps, pairs, pieces and stretches that a worker remembers.
-STEPS, PAIRS, PIECES, STRETCHES = 400_000, 150_000, 200_000, 200_000
+STEPS, PAIRS, PIECES, STRETCHES = 250_000, 100_000, 50_000, 200_000
 #: Bytes of a long piece after which its sure tokens are emitted; a rank that no pair has.
 WINDOW, NEVER = 1 << 12, 1 << 62
 #: Bytes of a piece that are worth remembering as a whole.
@@ -301,16 +302,24 @@ class Encoder:
         self.machine = MergeTransducer(read_ranks(path))
         self.split = regex.compile(pattern).findall
         self.cut = lone_space_begins
-        self.pieces = _Kept(lambda piece: struct.pack(f"<{len(ids := self.machine.piece(piece.encode()))}I", *ids), PIECES)
+        self.pieces = _Kept(self._piece, PIECES)
         self.stretches = _Kept(self._stretch, STRETCHES)
 
+    def _piece(self, piece: str) -> bytes:
+        ids = array("I", self.machine.piece(piece.encode()))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
     def _whole(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
     def _stretch(self, word: str) -> bytes:
         if not word or word[0].isspace() or word[-1].isspace():
             raise _Blank
-        return self._whole(f" {word}")
+        pieces = self.split(f" {word}")
+        # Most stretches are one piece; it is known as the stretch.
+        return self._piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self.pieces.__getitem__, pieces))
 
     def encode(self, text: str) -> bytes:
         if not self.cut:
