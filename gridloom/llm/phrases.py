@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import mixed, shared_dir, stored, word_hashes
 
 #: Bytes of a block; of a share of blocks that one automaton reads; of the candidates in one automaton.
-BLOCK, SHARE, SHARD = 1 << 20, 64 << 20, 16 << 20
+BLOCK, SHARE, SHARD = 1 << 18, 32 << 20, 8 << 20
 #: log2 of a sketch row's cells at most, and cells in a part of it that is summed up in one row.
 LG_CELLS, PART = 25, 1 << 16
-#: Rows of a sketch.
-ROWS = 2
+#: Rows of a sketch; places for hashes of candidates that a task has handed on.
+ROWS, SEEN = 2, 1 << 21
 #: Buckets in which a language's first phrases are found before they are put in order.
 BUCKETS = 64
 
@@ -200,21 +200,19 @@ def candidates(parts: DataFrame, most: int, least: int, lg: int) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        scanner, seen = Scanner(lg, known.value), np.empty(0, np.uint64)
+        scanner, seen = Scanner(lg, known.value), np.zeros(SEEN, np.uint64)
         for batch in batches:
             for lang, block in zip(batch.column(0).to_pylist(), batch.column(1)):
                 block = block.as_py()
                 levels, start, end = scanner.phrases(lang, block, most)
                 found: set[bytes] = set()
-                if len(seen) > 4_000_000:
-                    seen = seen[:0]
                 for k, (hashes, first) in enumerate(levels[1:], 2):
-                    hashes, at = np.unique(hashes, return_index=True)
-                    new = np.flatnonzero(scanner.reaches(hashes, k))
-                    place = np.searchsorted(seen, hashes[new])
-                    new = new[(place == len(seen)) | (seen[np.minimum(place, len(seen) - 1)] != hashes[new])] if len(seen) else new
-                    seen = np.union1d(seen, hashes[new])  # hands a phrase on once; the distinct rows below are exact
-                    first = first[at[new]]
+                    hot_ = np.flatnonzero(scanner.reaches(hashes, k))
+                    # A phrase is handed on when its place has another's hash: few times; the distinct rows below are exact.
+                    place = (hashes[hot_] & np.uint64(SEEN - 1)).astype(np.int64)
+                    new = seen[place] != hashes[hot_]
+                    seen[place[new]] = hashes[hot_[new]]
+                    first = first[hot_[new]]
                     found.update(block[i:j] for i, j in zip(start[first].tolist(), end[first + k - 1].tolist()))
                 if found:
                     yield pa.RecordBatch.from_pydict({"lang": [lang] * len(found), "phrase": pa.array(list(found), pa.binary())})

@@ -26,7 +26,7 @@ from typing import NamedTuple
 import numpy as np
 
 #: Steps, pairs, pieces and stretches that a worker remembers.
-STEPS, PAIRS, PIECES, STRETCHES = 250_000, 100_000, 50_000, 200_000
+STEPS, PAIRS, PIECES, STRETCHES = 300_000, 100_000, 50_000, 350_000
 #: Bytes of a long piece after which its sure tokens are emitted; a rank that no pair has.
 WINDOW, NEVER = 1 << 12, 1 << 62
 #: Bytes of a piece that are worth remembering as a whole.
