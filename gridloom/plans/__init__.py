@@ -1,5 +1,5 @@
 """Registered queries of the engine's own operators, by area; each module has ``QUERIES`` and ``ORACLES``."""
 
-from gridloom.plans import datasets, evaluation, export, extras, geometry, images, masks, search, shapes, tracking, variants, zones
+from gridloom.plans import datasets, evaluation, export, extras, geometry, images, live, masks, search, shapes, tracking, variants, zones
 
-PLANS = [geometry, evaluation, zones, datasets, search, export, tracking, shapes, extras, variants, masks, images]
+PLANS = [geometry, evaluation, zones, datasets, search, export, tracking, shapes, extras, variants, masks, images, live]
