@@ -328,17 +328,25 @@ def j26(spark, d):
     return part.union(read(spark, d, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("long"), "r_regionkey"))
 
 
-@query("r12_crop_layers", """WITH l AS (SELECT CAST(layer AS INT) layer, n, ov, CAST(ceil((ov*(n-1)+1200)/n::DOUBLE) AS INT) cw, CAST(ceil((ov*(n-1)+800)/n::DOUBLE) AS INT) ch FROM (VALUES (1,2,CAST(floor(25e-2*800*1) AS INT)),(2,4,CAST(floor(25e-2*800*5e-1) AS INT))) t(layer,n,ov))
-  SELECT CAST(0 AS INT) layer, CAST(0 AS INT) x0, CAST(0 AS INT) y0, CAST(1200 AS INT) x1, CAST(800 AS INT) y1 UNION ALL
-  SELECT layer, CAST((cw-ov)*i AS INT), CAST((ch-ov)*j AS INT), CAST(least((cw-ov)*i+cw,1200) AS INT), CAST(least((ch-ov)*j+ch,800) AS INT) FROM l, (SELECT unnest(range(4)) i), (SELECT unnest(range(4)) j) WHERE i<n AND j<n""")
+@query("r12_crop_layers", """WITH p AS (SELECT p_partkey image_id, 600+p_partkey%5*100 w, 400+p_partkey%3*90 h FROM part),
+  l AS (SELECT *, CAST(floor(25e-2*least(w,h)*2/n) AS INT) ov FROM p, (VALUES (1,2),(2,4)) t(layer,n)),
+  c AS (SELECT *, CAST(ceil((ov*(n-1)+w)/n::DOUBLE) AS INT) cw, CAST(ceil((ov*(n-1)+h)/n::DOUBLE) AS INT) ch FROM l)
+  SELECT image_id, CAST(0 AS INT) layer, CAST(0 AS INT) x0, CAST(0 AS INT) y0, CAST(w AS INT) x1, CAST(h AS INT) y1 FROM p UNION ALL
+  SELECT image_id, layer, CAST((cw-ov)*i AS INT), CAST((ch-ov)*j AS INT), CAST(least((cw-ov)*i+cw,w) AS INT), CAST(least((ch-ov)*j+ch,h) AS INT) FROM c, (SELECT unnest(range(4)) i), (SELECT unnest(range(4)) j) WHERE i<n AND j<n""")
 def r12(spark, d):
-    """Crop boxes of two layers of a 1200 x 800 image, a quarter of the shorter side overlapping."""
-    w, h, ratio = 1200, 800, 0.25
-    layers = spark.range(1, 3).select(F.col("id").cast("int").alias("layer"), F.pow(F.lit(2), F.col("id")).cast("int").alias("n"))
-    layers = layers.withColumn("ov", F.floor(ratio * min(w, h) * (F.lit(2.0) / F.col("n"))).cast("int"))
-    size = lambda s: F.ceil((F.col("ov") * (F.col("n") - 1) + s) / F.col("n")).cast("int")
-    layers = layers.withColumn("cw", size(w)).withColumn("ch", size(h))
-    ij = layers.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("j"))
+    """Crop boxes of images: each whole, and in layers of 2 x 2 and 4 x 4, a quarter of the shorter side overlapping."""
+    k = F.col("p_partkey")
+    images = read(spark, d, "part").select(k.alias("image_id"), (600 + k % 5 * 100).cast("int").alias("w"), (400 + k % 3 * 90).cast("int").alias("h"))
+    return crop_layers(images, 2, 0.25)
+
+
+def crop_layers(images: DataFrame, layers: int, ratio: float) -> DataFrame:
+    """``image_id, layer, x0, y0, x1, y1`` of images (image_id, w, h): layer 0 is the image, layer n has 2 ** n boxes a side."""
+    rows = images.withColumn("layer", F.explode(F.sequence(F.lit(0), F.lit(layers)))).withColumn("n", F.pow(F.lit(2), F.col("layer")).cast("int"))
+    rows = rows.withColumn("ov", F.floor(ratio * F.least("w", "h") * (F.lit(2.0) / F.col("n"))).cast("int"))
+    for side, size in (("cw", "w"), ("ch", "h")):
+        rows = rows.withColumn(side, F.ceil((F.col("ov") * (F.col("n") - 1) + F.col(size)) / F.col("n")).cast("int"))
+    for i in "ij":
+        rows = rows.withColumn(i, F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     x0, y0 = (F.col("cw") - F.col("ov")) * F.col("i"), (F.col("ch") - F.col("ov")) * F.col("j")
-    crops = ij.select("layer", x0.alias("x0"), y0.alias("y0"), F.least(x0 + F.col("cw"), F.lit(w)).alias("x1"), F.least(y0 + F.col("ch"), F.lit(h)).alias("y1"))
-    return spark.createDataFrame([(0, 0, 0, w, h)], crops.schema).unionByName(crops)
+    return rows.select("image_id", "layer", x0.alias("x0"), y0.alias("y0"), F.least(x0 + F.col("cw"), "w").alias("x1"), F.least(y0 + F.col("ch"), "h").alias("y1"))

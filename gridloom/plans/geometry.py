@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import boxes as B
@@ -198,28 +198,38 @@ _add("f45_dist2rbox", lambda: [F.round(v, 5).alias(n) for v, n in zip(O.dist2rbo
      "round((x2-x1)/2*cos(conf)-(y2-y1)/2*sin(conf)+10,5) cx, round((x2-x1)/2*sin(conf)+(y2-y1)/2*cos(conf)+20,5) cy, round(x1+x2,5) w, round(y1+y2,5) h")
 
 
-def anchors(spark: SparkSession, shapes: list[tuple[int, int, int]], offset: float = 0.5) -> DataFrame:
-    """``(stride, ax, ay)``: cell centres of feature maps given as (height, width, stride)."""
-    maps = spark.createDataFrame(shapes, "h int, w int, stride int")
-    rows = maps.select("stride", "w", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"))
-    return rows.select("stride", "y", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x")).select(
-        "stride", (F.col("x") + offset).alias("ax"), (F.col("y") + offset).alias("ay")
-    )
+def anchors(maps: DataFrame, offset: float = 0.5) -> DataFrame:
+    """``maps`` without h and w, and (ax, ay): the cell centres of feature maps of ``h`` lines and ``w`` columns."""
+    rows = maps.where("h > 0 and w > 0").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("h") - 1)))
+    rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
+    return rows.withColumns({"ax": F.col("x") + offset, "ay": F.col("y") + offset}).drop("h", "w", "x", "y")
 
 
-QUERIES["f43_make_anchors"] = lambda spark, d: anchors(spark, [(8, 8, 8), (4, 4, 16), (2, 2, 32)]).select("stride", F.col("ax").cast("double"), F.col("ay").cast("double"))
-ORACLES["f43_make_anchors"] = """SELECT CAST(s AS INT) stride, x+5e-1 ax, y+5e-1 ay FROM (VALUES (8,8),(4,16),(2,32)) t(n,s),
-  (SELECT unnest(range(8)) x) a, (SELECT unnest(range(8)) y) b WHERE x<n AND y<n"""
+def _feature_maps(spark, d) -> DataFrame:
+    """Maps of three strides of images of 32 to 96 pixels a side."""
+    k = F.col("p_partkey")
+    rows = read(spark, d, "part").select(k.alias("image_id"), (32 * (1 + k % 2)).alias("height"), (32 * (1 + k % 3)).alias("width"), F.explode(F.array(*(F.lit(s) for s in (8, 16, 32)))).alias("stride"))
+    return rows.select("image_id", "stride", F.expr("cast(height div stride as int)").alias("h"), F.expr("cast(width div stride as int)").alias("w"))
 
 
-def point_grid(spark: SparkSession, n: int) -> DataFrame:
-    """``n`` x ``n`` points at the middles of the cells of the unit square."""
-    side = spark.range(n).select(((F.col("id") * 2 + 1) / (2.0 * n)).alias("v"))
-    return side.select(F.col("v").alias("x")).join(side.select(F.col("v").alias("y")), F.lit(True))
+QUERIES["f43_make_anchors"] = lambda spark, d: anchors(_feature_maps(spark, d)).select("image_id", "stride", F.col("ax").cast("double"), F.col("ay").cast("double"))
+ORACLES["f43_make_anchors"] = """SELECT p_partkey image_id, CAST(s AS INT) stride, x+5e-1 ax, y+5e-1 ay FROM part, (VALUES (8),(16),(32)) t(s),
+  (SELECT unnest(range(12)) x) a, (SELECT unnest(range(8)) y) b WHERE x < 32*(1+p_partkey%3)//s AND y < 32*(1+p_partkey%2)//s"""
 
 
-QUERIES["f46_point_grid"] = lambda spark, d: point_grid(spark, 8)
-ORACLES["f46_point_grid"] = "SELECT (x*2+1)/16e0 x, (y*2+1)/16e0 y FROM (SELECT unnest(range(8)) x) a, (SELECT unnest(range(8)) y) b"
+def point_grid(rows: DataFrame, n: str) -> DataFrame:
+    """``rows`` with (x, y): for each the middles of the ``n`` x ``n`` cells of the unit square, ``n`` a column."""
+    grid = rows.where(F.col(n) > 0)
+    for axis in ("x", "y"):
+        grid = grid.withColumn(axis, F.explode(F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda i: (i * 2 + 1) / (2.0 * F.col(n)))))
+    return grid
+
+
+QUERIES["f46_point_grid"] = lambda spark, d: point_grid(read(spark, d, "part").select(F.col("p_partkey").alias("image_id"), (1 + F.col("p_partkey") % 5).cast("int").alias("n")), "n").withColumns(
+    {c: F.round(c, 9) for c in ("x", "y")}
+)
+ORACLES["f46_point_grid"] = """SELECT image_id, CAST(n AS INT) n, round((x*2+1)/(2e0*n),9) x, round((y*2+1)/(2e0*n),9) y
+  FROM (SELECT p_partkey image_id, 1+p_partkey%5 n FROM part), (SELECT unnest(range(5)) x) a, (SELECT unnest(range(5)) y) b WHERE x<n AND y<n"""
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
