@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import mixed, shared_dir, stored, word_hashes
 
 #: Bytes of a block; of a share of blocks that one automaton reads; of the candidates in one automaton.
-BLOCK, SHARE, SHARD = 1 << 18, 32 << 20, 8 << 20
+BLOCK, SHARE, SHARD = 1 << 18, 24 << 20, 6 << 20
 #: log2 of a sketch row's cells at most, and cells in a part of it that is summed up in one row.
 LG_CELLS, PART = 25, 1 << 16
 #: Rows of a sketch; places for hashes of candidates that a task has handed on.
@@ -228,34 +228,33 @@ def _counter(most: int):
         import pyarrow as pa
 
         names = [f"{side}{k}" for k in range(1, most) for side in "lr"]
-        share, lang, phrases, machine, index, counts = None, None, [], None, {}, None
+        share, lang, phrases, machine, counts = None, None, [], None, None
 
         def compiled() -> None:
             nonlocal machine, counts
-            machine = ahocorasick.Automaton()
-            index.clear()
+            machine, n = ahocorasick.Automaton(ahocorasick.STORE_INTS), 0
             for phrase in phrases:
                 words = phrase.split(" ")
-                for i in range(len(words)):
-                    for j in range(i + 1, len(words) + 1):
-                        if (i == 0 or j == len(words)) and (part := " ".join(words[i:j])) not in index:
-                            index[part] = len(index)
-                            machine.add_word(f" {part} ", index[part])
+                for k in range(1, len(words) + 1):
+                    for part in {" ".join(words[:k]), " ".join(words[-k:])}:
+                        if not machine.exists(key := f" {part} "):
+                            machine.add_word(key, n)
+                            n += 1
             machine.make_automaton()
-            counts = np.zeros(len(index), np.int64)
+            counts = np.zeros(n, np.int64)
 
         def done() -> Iterator:
-            n = counts.tolist()
-            for lo in range(0, len(phrases), 50_000):
-                own = phrases[lo : lo + 50_000]
-                columns: dict[str, list] = {"a": [n[index[p]] for p in own]} | {x: [] for x in names}
+            of = lambda words: counts[machine.get(f" {' '.join(words)} ")]
+            for lo in range(0, len(phrases), 20_000):
+                own = phrases[lo : lo + 20_000]
+                columns: dict = {"a": pa.array([counts[machine.get(f" {p} ")] for p in own], pa.int64())} | {x: [] for x in names}
                 for p in own:
                     words = p.split(" ")
                     for k in range(1, most):
                         there = k < len(words)
-                        columns[f"l{k}"].append(n[index[" ".join(words[:k])]] if there else 0)
-                        columns[f"r{k}"].append(n[index[" ".join(words[k:])]] if there else 0)
-                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(own), "phrase": own} | {c: pa.array(v, pa.int64()) for c, v in columns.items()})
+                        columns[f"l{k}"].append(of(words[:k]) if there else 0)
+                        columns[f"r{k}"].append(of(words[k:]) if there else 0)
+                yield pa.RecordBatch.from_pydict({"lang": [lang] * len(own), "phrase": own, "a": columns.pop("a")} | {c: pa.array(v, pa.int64()) for c, v in columns.items()})
 
         for batch in batches:
             for new, tongue, phrase, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
