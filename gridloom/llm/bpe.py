@@ -38,7 +38,8 @@ def encode_texts(
 ) -> DataFrame:
     """``keep`` and ``ids binary``: the ids of each text as little-endian unsigned 32-bit integers.
 
-    ``lone_space_begins`` tells that a single space between two characters that are no blanks always begins a match of the pattern.
+    ``lone_space_begins`` tells that a single space between two characters that are no blanks always begins a match of the
+    pattern, and that a space and letters alone are one match.
     """
     rows = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("ids"))
 

@@ -26,7 +26,7 @@ from typing import NamedTuple
 import numpy as np
 
 #: Steps, pairs, pieces and stretches that a worker remembers.
-STEPS, PAIRS, PIECES, STRETCHES = 300_000, 100_000, 50_000, 350_000
+STEPS, PAIRS, PIECES, STRETCHES = 250_000, 100_000, 50_000, 200_000
 #: Bytes of a long piece after which its sure tokens are emitted; a rank that no pair has.
 WINDOW, NEVER = 1 << 12, 1 << 62
 #: Bytes of a piece that are worth remembering as a whole.
@@ -292,8 +292,9 @@ class _Blank(Exception):
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
-    ``lone_space_begins``: in the pattern, a single space between two characters that are no blanks always begins a piece. Then
-    texts are cut there first, and the pattern sees each stretch once.
+    ``lone_space_begins``: in the pattern, a single space between two characters that are no blanks always begins a piece, and
+    a space with nothing but letters up to the next one is one piece. Then texts are cut there first, and the pattern sees each
+    other stretch once.
     """
 
     def __init__(self, path: str, pattern: str, lone_space_begins: bool = False):
@@ -315,6 +316,8 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
     def _stretch(self, word: str) -> bytes:
+        if word.isalpha():
+            return self._piece(f" {word}")
         if not word or word[0].isspace() or word[-1].isspace():
             raise _Blank
         pieces = self.split(f" {word}")
