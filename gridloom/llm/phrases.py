@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import mixed, shared_dir, stored, word_hashes
 
 #: Bytes of a block; of a share of blocks that one automaton reads; of the candidates in one automaton.
-BLOCK, SHARE, SHARD = 1 << 18, 24 << 20, 6 << 20
+BLOCK, SHARE, SHARD = 1 << 18, 64 << 20, 6 << 20
 #: log2 of a sketch row's cells at most, and cells in a part of it that is summed up in one row.
 LG_CELLS, PART = 25, 1 << 16
 #: Rows of a sketch; places for hashes of candidates that a task has handed on.
