@@ -26,7 +26,7 @@ from typing import NamedTuple
 import numpy as np
 
 #: Steps, pairs, pieces and stretches that a worker remembers.
-STEPS, PAIRS, PIECES, STRETCHES = 250_000, 100_000, 50_000, 200_000
+STEPS, PAIRS, PIECES, STRETCHES = 280_000, 100_000, 50_000, 240_000
 #: Bytes of a long piece after which its sure tokens are emitted; a rank that no pair has.
 WINDOW, NEVER = 1 << 12, 1 << 62
 #: Bytes of a piece that are worth remembering as a whole.
@@ -235,7 +235,23 @@ class MergeTransducer:
         if len(self.steps) > STEPS:
             self._forget()
         try:
-            return self._piece(raw)
+            if len(raw) > WINDOW:
+                return self._piece(raw)
+            # As in _read and _back, of which this is the short way.
+            state, lasts, get, size, out = 0, [], self.steps.get, self.size, []
+            for b in raw:
+                step = get(state << 8 | b)
+                if step is None:
+                    step = self._step(state, b)
+                state, last = step
+                lasts.append(last)
+            end = len(lasts)
+            while end > 0:
+                last = lasts[end - 1]
+                out.append(last)
+                end -= size[last]
+            out.reverse()
+            return out
         except _Unordered:  # met the first token of this kind: all is learned anew
             self._begin(ordered=False)
             return self._piece(raw)
