@@ -437,7 +437,8 @@ def repeated_passages(
     counts = members.groupBy("key").agg(F.count("*").alias("n"), *drawn)
     few = members.join(counts.where(F.col("n") <= DRAWN).select("key"), "key").select("key", F.col("doc_id").alias("y"), F.col("at").alias("y_at"))
     many = counts.where(F.col("n") > DRAWN).select("key", F.explode(F.array_distinct(F.array(*[f"d{k}" for k in range(DRAWN)]))).alias("d"))
-    others = few.unionByName(many.select("key", F.col("d.doc_id").alias("y"), F.col("d.at").alias("y_at"))).distinct()
+    # Written: Spark takes a union of two tables dealt by key as dealt by key, and fails in the join when it deals one of them anew.
+    others = stored(few.unionByName(many.select("key", F.col("d.doc_id").alias("y"), F.col("d.at").alias("y_at"))).distinct(), f"{path}/others")
     anchors = left.join(others, "key").where("y < x").select(
         "key", "x", "y", "at", "y_at", (F.col("at") - F.col("lo")).cast("short").alias("before"), (F.col("at") - F.col("hi")).cast("short").alias("after")
     )
@@ -447,7 +448,7 @@ def repeated_passages(
     equal = _equal_passages(larger, rows, words, path)
     columns = equal.columns
     found = stored(first.where("lead is not null").select(columns).unionByName(second.select(columns)).unionByName(equal), f"{path}/found")
-    for table in ("members", "equal", "first", "second"):
+    for table in ("members", "others", "equal", "first", "second"):
         forget(docs.sparkSession, f"{path}/{table}")
     return _spans(found, words)
 

@@ -170,3 +170,20 @@ def test_hashes_of_runs_of_words():
     for i in at.tolist():
         seen.setdefault(tuple(words_[i : i + 5].tolist()), set()).add((int(h1[i]), int(h2[i])))
     assert all(len(v) == 1 for v in seen.values()) and len({v for s in seen.values() for v in s}) == len(seen)
+
+
+def test_large_keys_without_broadcast_joins(spark):
+    """The partners of small and large keys come from two tables; their join must not rest on how either is dealt."""
+    rng = np.random.default_rng(41)
+    hot, texts = words(rng, 30), {}
+    for k in range(20):
+        side = words(rng, 40)
+        for d in (2 * k, 2 * k + 1):
+            texts[d] = " ".join([*words(rng, 20), *hot, *side, *words(rng, 30)])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {d: o for d, _, _, _, o in spans_of(spark, texts)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {2 * k + 1: 2 * k for k in range(20)}
