@@ -10,12 +10,14 @@ equal passages always share all keys, those of similarity 0.75 at least one with
 Windows that share a key are joined: each window of a key meets the key's window of the smallest document. All that two
 documents have met in, whatever the hash function, is verified at once: the places of the shared smallest hash align the
 two, and each passage of the window is compared with the aligned passage of the other document by the Jaccard similarity
-of their full shingle sets. Windows that hold a passage for which no earlier document is found yet meet others of
-their key in a second round: all of them if they are at most ``DRAWN``, else ``DRAWN`` documents drawn by hash. In
-larger keys, moreover, every passage of these windows is known by two 64-bit hashes of its words and joined with the smallest
-document that has the same one: equal passages are found in keys of any size. A passage of a larger key that is similar but
-not equal to others may stay without a partner that is neither the smallest document nor drawn, unless one of its other
-keys joins the two; the number of tests does not grow with the square of a key's windows.
+of their full shingle sets. Windows that hold a passage for which no earlier document is found yet meet all others of
+their key: directly where a key has at most ``FEW``, else through lists. Two passages that are similar share one of any
+12 of the first one's 46 shingles (of any 7, if no shingle repeats in either), so a window is listed under its key and the
+rarest shingles of each such passage, and meets the windows of the key that hold one of these: first the smallest document
+of each list, then, for what is left, all the others. Shingles that only one document has list nothing. What is rare is
+read off a sketch of fixed size, and windows are listed only where a bitmap of fixed size tells that they are asked for;
+if these are too small for an input, more windows meet and results stay the same. No pair of windows of a key that holds a
+similar pair of aligned passages stays untested where that passage has no earlier partner yet, whatever the key's size.
 
 The result has, for each document, the spans of words covered by passages that some document of smaller id holds.
 
@@ -38,8 +40,12 @@ SHINGLE = 5
 #: Words of the shortest passage.
 WORDS = 50
 BANDS = 4
-#: Documents of a key that a window meets in the second round.
-DRAWN = 4
+#: Windows of a key that meet pair by pair.
+FEW = 4
+#: log2 of the cells of the sketch and the bits of the bitmap at most; cells in a part that is summed up in one row.
+LG_CELLS, PART = 25, 1 << 16
+#: Documents from which on a shingle counts as frequent.
+FREQUENT = 16
 #: Requests for parts of one document that share a copy of its text.
 PER_SALT = 256
 #: Words that are held, and pairs of equal shingles that are counted, at once (a longer text or passage by itself).
@@ -349,6 +355,9 @@ def _verified(parts: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                 covered = np.cumsum(covered)
                 begin, stop = first[row[pair]] + at - before, first[row[pair]] + at - after + 1
                 rest = np.flatnonzero(covered[stop] - covered[begin] < stop - begin)
+                # From the first to the last passage for which none was found.
+                bare = np.flatnonzero(np.diff(covered) == 0)
+                begin[rest], stop[rest] = bare[np.searchsorted(bare, begin[rest])], bare[np.searchsorted(bare, stop[rest]) - 1] + 1
                 back = first[row[pair[rest]]]
                 cols = [
                     pa.array(np.append(ids[lo + doc], ids[lo + row[pair[rest]]])),
@@ -374,32 +383,166 @@ def _run_hashes(words: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
     return out
 
 
-def _equal_passages(ranges: DataFrame, docs: DataFrame, words: int, path: str) -> DataFrame:
-    """``(doc_id, lo, hi, lead, lead_at)`` of the passages in ``ranges`` (doc_id, lo, hi) that a smaller document there has word by word."""
-    own = ranges.groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("r"))  # no more than a text has places
+def _with_windows(windows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(doc_id, text, r)``: texts with their windows (key, at, before, after)."""
+    own = windows.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "before", "after")).alias("r"))  # a document's own
+    return docs.join(own, "doc_id").select("doc_id", "text", "r")
+
+
+def _opened(batch, width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of some texts at a time: their numbers, shingles, and for each window its text, key, place, first and last passage (as
+    far as the text goes) and the text's first shingle; places count in the shingles."""
+    import pyarrow.compute as pc
+
+    data, off = text_bytes(batch.column(1))
+    ids = batch.column(0).to_numpy()
+    number = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+    for lo, hi in _parts(off, number * width):
+        words, first = document_words(data, off, lo, hi)
+        r = batch.column(2).slice(lo, hi - lo).flatten()
+        row = np.repeat(np.arange(hi - lo), number[lo:hi])
+        key, at, before, after = (r.field(c).to_numpy().astype(np.int64) for c in ("key", "at", "before", "after"))
+        at, end = at + first[row], np.append(first[1:], len(words))[row] - SHINGLE + 1
+        yield ids[lo:hi], _short(words), row, key.view(np.uint64), at, np.maximum(at - before, first[row]), np.minimum(at - after, end - width), first[row]
+
+
+def _bits(rows: DataFrame, values, lg: int, levels: tuple[int, ...]) -> list[np.ndarray]:
+    """For each level a bitmap of the 2 ** ``lg`` cells that so many of the hashes fall into that ``values`` tells of each
+    Arrow batch of ``rows``; cells are counted in tasks, up to the highest level, and summed up by parts.
+    """
+    size = 1 << lg
+    part, top = min(PART, size), max(levels)
+
+    def count(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        cells = np.zeros(size, np.uint8)
+        for batch in batches:
+            for hashes in values(batch):
+                at, n = np.unique(hashes & np.uint64(size - 1), return_counts=True)
+                at = at.astype(np.int64)
+                cells[at] = np.minimum(cells[at] + n, top)
+        for p in range(size // part):
+            if len(at := np.flatnonzero(here := cells[p * part : (p + 1) * part])):
+                yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "at": [at.astype("<u2").tobytes()], "n": [here[at].tobytes()]})
+
+    def add(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        now, total = None, None
+        done = lambda: pa.RecordBatch.from_pydict({"part": pa.array([now], pa.int32()), "bits": [b"".join(np.packbits(total >= x, bitorder="little").tobytes() for x in levels)]})
+        for batch in batches:
+            for p, at, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if now != p:
+                    if now is not None:
+                        yield done()
+                    now, total = p, np.zeros(part, np.int64)
+                total[np.frombuffer(at, "<u2")] += np.frombuffer(n, np.uint8)
+        if now is not None:
+            yield done()
+
+    counted = rows.mapInArrow(count, "part int, at binary, n binary")
+    summed = counted.repartition("part").sortWithinPartitions("part").mapInArrow(add, "part int, bits binary")
+    out = [np.zeros(size // 8, np.uint8) for _ in levels]
+    for r in summed.toLocalIterator():  # so many bits, whatever the input
+        for bits, own in zip(out, np.frombuffer(r["bits"], np.uint8).reshape(len(levels), -1)):
+            bits[r["part"] * part // 8 : (r["part"] + 1) * part // 8] = own
+    return out
+
+
+def _set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    cell = hashes & np.uint64(8 * len(bits) - 1)
+    return (bits[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def _lists(key: np.ndarray, shingle: np.ndarray, odd) -> np.ndarray:
+    """Numbers of the lists of a key and a shingle; ``odd`` ones are for passages in which a shingle repeats."""
+    return mixed(key ^ mixed(shingle.astype(np.uint64) + (np.uint64(odd) << np.uint64(33))))
+
+
+def _grouped(window: np.ndarray, of: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each pair of window and list once, with the first and the last passage."""
+    order = np.lexsort((of, window))
+    window, of, first, last = window[order], of[order], first[order], last[order]
+    new = np.flatnonzero(np.append(True, (np.diff(window) != 0) | (of[1:] != of[:-1]))) if len(of) else np.empty(0, np.int64)
+    if not len(new):
+        return window, of, first, last
+    return window[new], of[new], np.minimum.reduceat(first, new), np.maximum.reduceat(last, new)
+
+
+def rare_shingles(sh: np.ndarray, at: np.ndarray, lone: np.ndarray, often: np.ndarray, width: int, percent: int) -> tuple[np.ndarray, ...]:
+    """``(passage, shingle, odd)``: of the passages that start at ``at``, shingles of which any similar passage has one.
+
+    Of n different shingles a passage of that similarity shares ``percent`` of a hundred at least, so one of the rarest
+    n - ceil(percent * n / 100) + 1; and where neither repeats a shingle, fewer do: those beyond are ``odd``.
+    Shingles that are ``lone`` come first and are left out, those that are ``often`` met come last.
+    """
+    order = (np.where(lone, np.uint64(0), np.where(often, np.uint64(2), np.uint64(1))) << np.uint64(32)) | sh.astype(np.uint64)
+    apart = width - -(-2 * percent * width // (100 + percent)) + 1
+    out: list[tuple] = []
+    for lo in range(0, len(at), AT_ONCE // width):
+        own = at[lo : lo + AT_ONCE // width]
+        v = np.sort(order[own[:, None] + np.arange(width)], axis=1)
+        new = np.append(np.ones((len(own), 1), bool), v[:, 1:] != v[:, :-1], axis=1)
+        rank = np.cumsum(new, axis=1)
+        n = rank[:, -1:]
+        take = new & (rank <= n + (-percent * n) // 100 + 1) & (v >> np.uint64(32) > 0)
+        i, j = np.nonzero(take)
+        out.append((lo + i, v[i, j] & np.uint64(0xFFFFFFFF), (n[i, 0] == width) & (rank[i, j] > apart)))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool))
+
+
+def _listed(windows: DataFrame, docs: DataFrame, bits: list[np.ndarray], width: int, percent: int) -> DataFrame:
+    """``(list, key, x, at, lo, hi)``: windows under their key and the rarest shingles of each passage."""
+    known = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import pyarrow.compute as pc
 
+        shared, often = known.value
         for batch in batches:
-            data, off = text_bytes(batch.column(1))
-            ids = batch.column(0).to_numpy()
-            number = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
-            for lo, hi in _parts(off, number):
-                hashes, first = document_words(data, off, lo, hi)
-                asked = batch.column(2).slice(lo, hi - lo).flatten()
-                row = np.repeat(np.arange(hi - lo), number[lo:hi])
-                row, begin, stop = _merged(row, asked.field("lo").to_numpy().astype(np.int64), asked.field("hi").to_numpy().astype(np.int64) + 1)
-                at, doc = places(begin, stop - begin), np.repeat(row, stop - begin)
-                h1, h2 = _run_hashes(hashes, first[doc] + at, words)
-                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(ids[lo + doc]), pa.array(at.astype(np.int32))], ["h1", "h2", "doc_id", "at"])
+            for ids, sh, row, key, at, lo, hi, base in _opened(batch, width):
+                hashes = mixed(sh.astype(np.uint64))
+                lone = ~_set(shared, hashes)
+                window, passage = np.repeat(np.arange(len(row)), hi - lo + 1), places(lo, hi - lo + 1)
+                # Most passages have too many shingles of their own.
+                alone = np.append(0, np.cumsum(lone))
+                some = (alone[passage + width] - alone[passage] <= width - -(-percent * width // 100)) | (_distinct(sh, width)[passage] < width)
+                window, passage = window[some], passage[some]
+                p, shingle, odd = rare_shingles(sh, passage, lone, _set(often, hashes), width, percent)
+                window, of, first, last = _grouped(window[p], _lists(key[window[p]], shingle, odd), passage[p], passage[p])
+                cols = [of.view(np.int64), key[window].view(np.int64), ids[row[window]], *((c - base[window]).astype(np.int32) for c in (at[window], first, last))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["list", "key", "x", "at", "lo", "hi"])
+
+    return _with_windows(windows, docs).mapInArrow(run, "list long, key long, x long, at int, lo int, hi int")
+
+
+def _holders(windows: DataFrame, docs: DataFrame, asked: np.ndarray, width: int) -> DataFrame:
+    """``(list, y, y_at)``: windows under their key and each of their shingles, as far as ``asked`` for."""
+    known = docs.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    found = docs.join(own, "doc_id").select("doc_id", "text", "r").mapInArrow(run, "h1 long, h2 long, doc_id long, at int")
-    found = stored(found, f"{path}/equal")
-    lead = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("lead"), F.max("doc_id").alias("high")).where("lead.doc_id < high").select("h1", "h2", "lead")
-    hits = found.join(lead, ["h1", "h2"]).where("doc_id > lead.doc_id")
-    return hits.select("doc_id", F.col("at").alias("lo"), F.col("at").alias("hi"), F.col("lead.doc_id").alias("lead"), F.col("lead.at").alias("lead_at"))
+        for batch in batches:
+            for ids, sh, row, key, at, lo, hi, base in _opened(batch, width):
+                repeats = np.append(0, np.cumsum(_distinct(sh, width) < width))
+                repeats = repeats[hi + 1] > repeats[lo]
+                found: list[tuple] = []
+                for odd, some in ((0, np.arange(len(row))), (1, np.flatnonzero(repeats))):
+                    for j in range(0, len(some), AT_ONCE // width):
+                        own = some[j : j + AT_ONCE // width]
+                        span = hi[own] - lo[own] + width
+                        window = np.repeat(own, span)
+                        of = _lists(key[window], sh[places(lo[own], span)], odd)
+                        hit = _set(known.value, of)
+                        found.append((window[hit], of[hit]))
+                window, of = (np.concatenate(c) for c in zip(*found))
+                window, of, *_ = _grouped(window, of, window, window)
+                cols = [of.view(np.int64), ids[row[window]], (at[window] - base[window]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["list", "y", "y_at"])
+
+    return _with_windows(windows, docs).mapInArrow(run, "list long, y long, y_at int")
 
 
 def repeated_passages(
@@ -415,7 +558,8 @@ def repeated_passages(
     Places count words from 0; ``other_id`` is the smallest document found to hold a passage of the span, and
     ``other_word`` where that passage begins there.
     """
-    path = path or shared_dir(docs.sparkSession)
+    spark = docs.sparkSession
+    path = path or shared_dir(spark)
     width, percent = words - SHINGLE + 1, round(threshold * 100)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = unique_ids(rows.where("doc_id is not null and text is not null"))
@@ -423,33 +567,58 @@ def repeated_passages(
     place = F.struct("doc_id", "at")
     keys = windows.groupBy("key").agg(F.min(place).alias("lead"), F.max("doc_id").alias("high")).where("lead.doc_id < high").select("key", "lead")
     shared = stored(windows.join(keys, "key").select(*windows.columns, "lead"), f"{path}/shared")
-    forget(docs.sparkSession, f"{path}/windows")
+    forget(spark, f"{path}/windows")
     anchors = shared.where("doc_id > lead.doc_id").select(
         "key", F.col("doc_id").alias("x"), F.col("lead.doc_id").alias("y"), "at", F.col("lead.at").alias("y_at"), "before", "after"
     )
     first = stored(_verified(_with_parts(anchors, rows, width), rows, width, percent), f"{path}/first")
-    # Second round: the windows that are left, against other documents of their keys.
+    # The windows that are left, against all others of their keys.
     left = first.where("lead is null").select("key", F.col("doc_id").alias("x"), F.col("lead_at").alias("at"), "lo", "hi").distinct()
+    left = stored(left, f"{path}/left")
     # Written, so that a key with many windows is split while they are joined and summed up in part before they meet.
-    members = stored(shared.join(left.select("key").distinct(), "key", "left_semi").where("doc_id > lead.doc_id").select("key", "doc_id", "at"), f"{path}/members")
-    forget(docs.sparkSession, f"{path}/shared")
-    drawn = [F.min(F.struct(F.xxhash64(F.col("doc_id"), F.lit(k)).alias("h"), "doc_id", "at")).alias(f"d{k}") for k in range(DRAWN)]
-    counts = members.groupBy("key").agg(F.count("*").alias("n"), *drawn)
-    few = members.join(counts.where(F.col("n") <= DRAWN).select("key"), "key").select("key", F.col("doc_id").alias("y"), F.col("at").alias("y_at"))
-    many = counts.where(F.col("n") > DRAWN).select("key", F.explode(F.array_distinct(F.array(*[f"d{k}" for k in range(DRAWN)]))).alias("d"))
-    # Written: Spark takes a union of two tables dealt by key as dealt by key, and fails in the join when it deals one of them anew.
-    others = stored(few.unionByName(many.select("key", F.col("d.doc_id").alias("y"), F.col("d.at").alias("y_at"))).distinct(), f"{path}/others")
-    anchors = left.join(others, "key").where("y < x").select(
-        "key", "x", "y", "at", "y_at", (F.col("at") - F.col("lo")).cast("short").alias("before"), (F.col("at") - F.col("hi")).cast("short").alias("after")
-    )
-    second = stored(_verified(_with_parts(anchors, rows, width), rows, width, percent).where("lead is not null"), f"{path}/second")
-    # Equal passages of larger keys, in the windows that are left.
-    larger = left.join(counts.where(F.col("n") > DRAWN).select("key"), "key").select(F.col("x").alias("doc_id"), "lo", "hi").distinct()
-    equal = _equal_passages(larger, rows, words, path)
-    columns = equal.columns
-    found = stored(first.where("lead is not null").select(columns).unionByName(second.select(columns)).unionByName(equal), f"{path}/found")
-    for table in ("members", "others", "equal", "first", "second"):
-        forget(docs.sparkSession, f"{path}/{table}")
+    members = shared.join(left.select("key").distinct(), "key", "left_semi").where("doc_id > lead.doc_id").select("key", "doc_id", "at")
+    members = stored(members, f"{path}/members")
+    forget(spark, f"{path}/shared")
+    counts = stored(members.groupBy("key").agg(F.count("*").alias("n")), f"{path}/counts")
+    few = members.join(counts.where(F.col("n") <= FEW).select("key"), "key").select("key", F.col("doc_id").alias("y"), F.col("at").alias("y_at"))
+    direct = left.join(few, "key").where("y < x").select("key", "x", "y", "at", "y_at", "lo", "hi")
+    # Larger keys, by lists of the rarest shingles. A window is met at all passages that hold the place of its hash.
+    large = members.join(counts.where(F.col("n") > FEW).select("key"), "key")
+    large = stored(large.select("key", "doc_id", "at", F.lit(width - 1).cast("short").alias("before"), F.lit(0).cast("short").alias("after")), f"{path}/large")
+    lg = max(16, min(LG_CELLS, (large.count() * 2 * width).bit_length()))
+
+    def shingles(batch) -> Iterator[np.ndarray]:
+        for _, sh, row, _, _, lo, hi, _ in _opened(batch, width):
+            own, begin, stop = _merged(row, lo, hi + width)
+            own = np.unique(np.repeat(own, stop - begin).astype(np.uint64) << np.uint64(32) | sh[places(begin, stop - begin)])
+            yield mixed(own & np.uint64(0xFFFFFFFF))  # each document counts once
+
+    bits = _bits(_with_windows(large, rows), shingles, lg, (2, FREQUENT))
+    offsets = [(F.col("at") - F.col(c)).cast("short").alias(n) for c, n in (("lo", "before"), ("hi", "after"))]
+    open_ = left.join(counts.where(F.col("n") > FEW).select("key"), "key").select("key", F.col("x").alias("doc_id"), "at", *offsets)
+    asks = stored(_listed(open_, rows, bits, width, percent), f"{path}/asks")
+    asked = _bits(asks.select("list"), lambda batch: [batch.column(0).to_numpy().view(np.uint64)], lg, (1,))[0]
+    holders = stored(_holders(large.join(asks.select("key").distinct(), "key", "left_semi"), rows, asked, width), f"{path}/holders")
+    smallest = stored(holders.groupBy("list").agg(F.min(F.struct("y", "y_at")).alias("s")), f"{path}/smallest")
+    met = asks.join(smallest, "list").where("s.y < x").select("key", "x", F.col("s.y").alias("y"), "at", F.col("s.y_at").alias("y_at"), "lo", "hi")
+
+    def tested(pairs: DataFrame, name: str) -> DataFrame:
+        once = pairs.groupBy("key", "x", "y", "at", "y_at").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        once = stored(once.select("key", "x", "y", "at", "y_at", *offsets), f"{path}/{name}_pairs")
+        return stored(_verified(_with_parts(once, rows, width), rows, width, percent), f"{path}/{name}")
+
+    second = tested(direct.unionByName(met), "second")
+    # What the smallest documents of the lists do not have, against all others of the lists.
+    still = second.where("lead is null").select("key", F.col("doc_id").alias("x"), F.col("lead_at").alias("at"), F.col("lo").alias("from"), F.col("hi").alias("to"))
+    still = still.groupBy("key", "x", "at").agg(F.min("from").alias("from"), F.max("to").alias("to"))
+    asks = asks.join(still, ["key", "x", "at"]).where(F.col("lo") <= F.col("to")).where(F.col("hi") >= F.col("from"))
+    asks = stored(asks.join(smallest, "list").where("s.y < x").drop("from", "to"), f"{path}/still")
+    third = tested(asks.join(holders, "list").where("y < x and y > s.y").select("key", "x", "y", "at", "y_at", "lo", "hi"), "third")
+    columns = ["doc_id", "lo", "hi", "lead", "lead_at"]
+    found = first.unionByName(second).unionByName(third).where("lead is not null").select(columns)
+    found = stored(found, f"{path}/found")
+    for table in ("left", "members", "counts", "large", "asks", "holders", "smallest", "still", "first", "second", "third", "second_pairs", "third_pairs"):
+        forget(spark, f"{path}/{table}")
     return _spans(found, words)
 
 

@@ -187,3 +187,38 @@ def test_large_keys_without_broadcast_joins(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == {2 * k + 1: 2 * k for k in range(20)}
+
+
+def test_similar_passages_of_a_large_key(spark):
+    """Pairs that share 52 words but for one, of which all documents share 38: no 50 words are equal, every pair is found."""
+    rng = np.random.default_rng(43)
+    hot, texts = words(rng, 38), {}
+    for k in range(120):
+        one = [*words(rng, 6), *hot, *words(rng, 8)]
+        for d in (2 * k, 2 * k + 1):
+            texts[d] = " ".join([*words(rng, int(rng.integers(5, 40))), *one, *words(rng, 30)])
+            one[-3] = "other"
+    got = {(d, o) for d, _, _, _, o in spans_of(spark, texts)}
+    assert got == {(2 * k + 1, 2 * k) for k in range(120)}
+
+
+def test_rare_shingles_are_met_by_any_similar_passage():
+    from gridloom.llm.substring_dedup import rare_shingles
+
+    rng = np.random.default_rng(47)
+    for width, percent in ((46, 75), (12, 60)):
+        sh = rng.integers(0, 1000, 400).astype(np.uint32)
+        sh[100:200] = rng.integers(0, 30, 100)  # shingles that repeat
+        none, often, at = np.zeros(400, bool), sh % 7 == 0, np.arange(400 - width + 1)
+        p, shingle, odd = rare_shingles(sh, at, none, often, width, percent)
+        for i in at.tolist():
+            own = set(sh[i : i + width].tolist())
+            listed = {int(x) for x, q in zip(shingle, p) if q == i}
+            plain = {int(x) for x, q, o in zip(shingle, p, odd) if q == i and not o}
+            assert listed <= own
+            # A similar passage lacks at most so many of the shingles.
+            assert len(listed) > len(own) - -(-percent * len(own) // 100)
+            if len(own) == width:
+                assert len(plain) > width - -(-2 * percent * width // (100 + percent))
+            else:
+                assert plain == listed
