@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from gridloom.llm import phrases, spelling
 from gridloom.llm.phrases import blocks, mine_phrases, normalised
@@ -126,3 +127,27 @@ def test_keys_of_letters():
     assert of.tolist() == [0] * 5 + [1]
     (w1, w2), _ = spelling._keys(["abcde", "bbb"], "whole")
     assert w1[0] in k1[:5] and w2[0] in k2[:5] and w1[1] == k1[5] and w2[1] == k2[5]
+
+
+def test_an_automaton_of_words_is_small_and_counts_runs():
+    """A full shard of candidates takes less than 150 MB with all of its parts; counts are those of plain windows."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    text = [b"word%d" % x for x in rng.integers(0, 40, 3000)]
+    text[1000] = b"\n"
+    wanted = [b" ".join(text[i : i + k]) for i, k in [(3, 2), (9, 3), (20, 3), (33, 2)]] + [b"word1 nothing word2"]
+    machine = phrases.Automaton(wanted, 3)
+    machine.read(b" " + b" ".join(text) + b" ")
+    plain = lambda p: sum(text[i : i + len(p)] == p for i in range(len(text)))
+    for i, p in enumerate(w.split(b" ") for w in wanted):
+        first = machine.first[i : i + 1]
+        for k in range(len(p)):
+            for n in range(1, len(p) - k + 1):
+                assert machine.of(first + k, np.array([n]))[0] == plain(p[k : k + n])
+    many = [b"word%d some%d thing%d" % tuple(x) for x in rng.integers(0, 9999, (phrases.SHARD // 29, 3))]
+    assert phrases.SHARD * 0.9 < sum(map(len, many)) + 2 * len(many) < phrases.SHARD * 1.1
+    tracemalloc.start()
+    phrases.Automaton(many, 3)
+    assert tracemalloc.get_traced_memory()[1] < 150e6
+    tracemalloc.stop()
