@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import _powers, chunks, document_words, forget, mixed, places, shared_dir, shingle_hashes, stored, text_bytes, unique_ids
+from gridloom.llm.common import _powers, chunks, document_words, forget, mixed, places, release, shared_dir, shingle_hashes, stored, text_bytes, unique_ids
 
 SHINGLE = 5
 #: Words of the shortest passage.
@@ -517,15 +517,54 @@ def _listed(windows: DataFrame, docs: DataFrame, bits: list[np.ndarray], width:
     return _with_windows(windows, docs).mapInArrow(run, "list long, key long, x long, at int, lo int, hi int")
 
 
-def _holders(windows: DataFrame, docs: DataFrame, asked: np.ndarray, width: int) -> DataFrame:
-    """``(list, y, y_at)``: windows under their key and each of their shingles, as far as ``asked`` for."""
-    known = docs.sparkSession.sparkContext.broadcast(asked)
+def _cuts(windows: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The shingles that windows hold, in place of texts: ``(doc_id, cut, key, at, begin, n)``, where ``begin`` is the place
+    of a window's first passage in the cut and ``n`` its passages."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             for ids, sh, row, key, at, lo, hi, base in _opened(batch, width):
+                group, begin, stop = _merged(row, lo, hi + width)
+                size = stop - begin
+                cut, start = sh[places(begin, size)], np.cumsum(size) - size
+                of = np.searchsorted(begin, lo, side="right") - 1
+                long = np.bincount(group, size, minlength=len(ids)).astype(np.int64)
+                own = (np.cumsum(long) - long)[row]
+                ends = pa.py_buffer(np.append(0, 4 * np.cumsum(long)).astype(np.int32))
+                lists = pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=len(ids)))).astype(np.int32))
+                cols = [pa.array(ids), pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, ends, pa.py_buffer(np.ascontiguousarray(cut))])]
+                for c, kind in ((key.view(np.int64), np.int64), (at - base, np.int32), (start[of] + lo - begin[of] - own, np.int32), (hi - lo + 1, np.int16)):
+                    cols.append(pa.ListArray.from_arrays(lists, pa.array(c.astype(kind))))
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "cut", "key", "at", "begin", "n"])
+
+    schema = "doc_id long, cut binary, key array<long>, at array<int>, begin array<int>, n array<short>"
+    return _with_windows(windows, docs).mapInArrow(run, schema)
+
+
+def _cut(batch, width: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """As ``_opened``, of cuts; in place of the text's first shingle the place of the window in its text."""
+    data, off = text_bytes(batch.column(1))
+    ids = batch.column(0).to_numpy()
+    count = _numbers(batch.column(2))[1]
+    for lo, hi in _parts(off, count * width):
+        sh = data[off[lo] : off[hi]].view("<u4")
+        row = np.repeat(np.arange(hi - lo), count[lo:hi])
+        key, at, begin, n = (_numbers(batch.column(c).slice(lo, hi - lo))[0].astype(np.int64) for c in (2, 3, 4, 5))
+        first = begin + ((off[lo:hi] - off[lo]) // 4)[row]
+        yield ids[lo:hi], sh, row, key.view(np.uint64), first, first, first + n - 1, at
+
+
+def _holders(cuts: DataFrame, asked: np.ndarray, width: int) -> DataFrame:
+    """``(list, y, y_at)``: windows under their key and each of their shingles, as far as ``asked`` for."""
+    known = cuts.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for ids, sh, row, key, at, lo, hi, place in _cut(batch, width):
                 repeats = np.append(0, np.cumsum(_distinct(sh, width) < width))
                 repeats = repeats[hi + 1] > repeats[lo]
                 found: list[tuple] = []
@@ -539,10 +578,10 @@ def _holders(windows: DataFrame, docs: DataFrame, asked: np.ndarray, width: int)
                         found.append((window[hit], of[hit]))
                 window, of = (np.concatenate(c) for c in zip(*found))
                 window, of, *_ = _grouped(window, of, window, window)
-                cols = [of.view(np.int64), ids[row[window]], (at[window] - base[window]).astype(np.int32)]
+                cols = [of.view(np.int64), ids[row[window]], place[window].astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["list", "y", "y_at"])
 
-    return _with_windows(windows, docs).mapInArrow(run, "list long, y long, y_at int")
+    return cuts.mapInArrow(run, "list long, y long, y_at int")
 
 
 def repeated_passages(
@@ -568,10 +607,12 @@ def repeated_passages(
     keys = windows.groupBy("key").agg(F.min(place).alias("lead"), F.max("doc_id").alias("high")).where("lead.doc_id < high").select("key", "lead")
     shared = stored(windows.join(keys, "key").select(*windows.columns, "lead"), f"{path}/shared")
     forget(spark, f"{path}/windows")
+    release(spark)
     anchors = shared.where("doc_id > lead.doc_id").select(
         "key", F.col("doc_id").alias("x"), F.col("lead.doc_id").alias("y"), "at", F.col("lead.at").alias("y_at"), "before", "after"
     )
     first = stored(_verified(_with_parts(anchors, rows, width), rows, width, percent), f"{path}/first")
+    release(spark)
     # The windows that are left, against all others of their keys.
     left = first.where("lead is null").select("key", F.col("doc_id").alias("x"), F.col("lead_at").alias("at"), "lo", "hi").distinct()
     left = stored(left, f"{path}/left")
@@ -579,33 +620,44 @@ def repeated_passages(
     members = shared.join(left.select("key").distinct(), "key", "left_semi").where("doc_id > lead.doc_id").select("key", "doc_id", "at")
     members = stored(members, f"{path}/members")
     forget(spark, f"{path}/shared")
+    release(spark)
     counts = stored(members.groupBy("key").agg(F.count("*").alias("n")), f"{path}/counts")
     few = members.join(counts.where(F.col("n") <= FEW).select("key"), "key").select("key", F.col("doc_id").alias("y"), F.col("at").alias("y_at"))
+    few = stored(few, f"{path}/few")
     direct = left.join(few, "key").where("y < x").select("key", "x", "y", "at", "y_at", "lo", "hi")
     # Larger keys, by lists of the rarest shingles. A window is met at all passages that hold the place of its hash.
     large = members.join(counts.where(F.col("n") > FEW).select("key"), "key")
     large = stored(large.select("key", "doc_id", "at", F.lit(width - 1).cast("short").alias("before"), F.lit(0).cast("short").alias("after")), f"{path}/large")
+    forget(spark, f"{path}/members")
     lg = max(16, min(LG_CELLS, (large.count() * 2 * width).bit_length()))
+    cuts = stored(_cuts(large, rows, width), f"{path}/cuts")
+    release(spark)
 
     def shingles(batch) -> Iterator[np.ndarray]:
-        for _, sh, row, _, _, lo, hi, _ in _opened(batch, width):
+        for _, sh, row, _, _, lo, hi, _ in _cut(batch, width):
             own, begin, stop = _merged(row, lo, hi + width)
             own = np.unique(np.repeat(own, stop - begin).astype(np.uint64) << np.uint64(32) | sh[places(begin, stop - begin)])
             yield mixed(own & np.uint64(0xFFFFFFFF))  # each document counts once
 
-    bits = _bits(_with_windows(large, rows), shingles, lg, (2, FREQUENT))
+    bits = _bits(cuts, shingles, lg, (2, FREQUENT))
     offsets = [(F.col("at") - F.col(c)).cast("short").alias(n) for c, n in (("lo", "before"), ("hi", "after"))]
     open_ = left.join(counts.where(F.col("n") > FEW).select("key"), "key").select("key", F.col("x").alias("doc_id"), "at", *offsets)
     asks = stored(_listed(open_, rows, bits, width, percent), f"{path}/asks")
+    release(spark)
     asked = _bits(asks.select("list"), lambda batch: [batch.column(0).to_numpy().view(np.uint64)], lg, (1,))[0]
-    holders = stored(_holders(large.join(asks.select("key").distinct(), "key", "left_semi"), rows, asked, width), f"{path}/holders")
+    holders = stored(_holders(cuts, asked, width), f"{path}/holders")
+    for table in ("large", "cuts"):
+        forget(spark, f"{path}/{table}")
+    release(spark)
     smallest = stored(holders.groupBy("list").agg(F.min(F.struct("y", "y_at")).alias("s")), f"{path}/smallest")
     met = asks.join(smallest, "list").where("s.y < x").select("key", "x", F.col("s.y").alias("y"), "at", F.col("s.y_at").alias("y_at"), "lo", "hi")
 
     def tested(pairs: DataFrame, name: str) -> DataFrame:
         once = pairs.groupBy("key", "x", "y", "at", "y_at").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         once = stored(once.select("key", "x", "y", "at", "y_at", *offsets), f"{path}/{name}_pairs")
-        return stored(_verified(_with_parts(once, rows, width), rows, width, percent), f"{path}/{name}")
+        out = stored(_verified(_with_parts(once, rows, width), rows, width, percent), f"{path}/{name}")
+        release(spark)
+        return out
 
     second = tested(direct.unionByName(met), "second")
     # What the smallest documents of the lists do not have, against all others of the lists.
@@ -617,7 +669,7 @@ def repeated_passages(
     columns = ["doc_id", "lo", "hi", "lead", "lead_at"]
     found = first.unionByName(second).unionByName(third).where("lead is not null").select(columns)
     found = stored(found, f"{path}/found")
-    for table in ("left", "members", "counts", "large", "asks", "holders", "smallest", "still", "first", "second", "third", "second_pairs", "third_pairs"):
+    for table in ("left", "few", "counts", "asks", "holders", "smallest", "still", "first", "second", "third", "second_pairs", "third_pairs"):
         forget(spark, f"{path}/{table}")
     return _spans(found, words)
 
