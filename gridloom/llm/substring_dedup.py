@@ -617,7 +617,7 @@ def repeated_passages(
     left = first.where("lead is null").select("key", F.col("doc_id").alias("x"), F.col("lead_at").alias("at"), "lo", "hi").distinct()
     left = stored(left, f"{path}/left")
     # Written, so that a key with many windows is split while they are joined and summed up in part before they meet.
-    members = shared.join(left.select("key").distinct(), "key", "left_semi").where("doc_id > lead.doc_id").select("key", "doc_id", "at")
+    members = shared.join(left.select("key").distinct(), "key", "left_semi").where("doc_id > lead.doc_id or at > lead.at").select("key", "doc_id", "at")
     members = stored(members, f"{path}/members")
     forget(spark, f"{path}/shared")
     release(spark)

@@ -222,3 +222,16 @@ def test_rare_shingles_are_met_by_any_similar_passage():
                 assert len(plain) > width - -(-2 * percent * width // (100 + percent))
             else:
                 assert plain == listed
+
+
+def test_places_further_on_in_the_smallest_document(spark):
+    """The smallest document of a key has it twice; others are alike the second place alone."""
+    rng = np.random.default_rng(53)
+    texts = {}
+    for k in range(60):
+        hot, one = words(rng, 38), words(rng, 14)
+        passage = [*one[:6], *hot, *one[6:]]
+        texts[2 * k] = " ".join([*words(rng, 20), *hot, *words(rng, 60), *passage, *words(rng, 30)])
+        passage[-3] = "other"
+        texts[2 * k + 1] = " ".join([*words(rng, 25), *passage, *words(rng, 30)])
+    assert {(d, o) for d, _, _, _, o in spans_of(spark, texts)} == {(2 * k + 1, 2 * k) for k in range(60)}
