@@ -105,6 +105,28 @@ def test_phrases_against_force(spark, monkeypatch, most, lg, shard):
     assert mine_phrases(docs.limit(0)).count() == 0
 
 
+def test_rows_of_counts_follow_the_input(spark):
+    """Four times the text, of which each part has candidates of its own: four times the rows, not sixteen times."""
+    rng = random.Random(8)
+    made = {}
+    for n in (1, 4):
+        rows = [(" ".join(f"w{part}x{rng.randrange(30)}" for _ in range(6000)), "en") for part in range(n)]
+        parts = blocks(spark.createDataFrame(rows, "text string, lang string").coalesce(1))
+        made[n] = phrases.tallies(parts, 3, 2, 20, shard=10_000).count()
+    assert 3.5 * made[1] < made[4] < 4.5 * made[1]
+
+
+def test_an_automaton_of_places_counts_all_its_runs():
+    rng = np.random.default_rng(6)
+    text = rng.integers(0, 6, 500)
+    words = {b"w%d" % i: i for i in range(6)}
+    hot = [np.array([i for i in range(len(text) - k + 1) if text[i] < 3 and text[i + 1] < 3]) for k in (2, 3)]
+    machine = phrases.Automaton.of_places(words, text, hot)
+    for k in (1, 2, 3):
+        runs = [tuple(text[i : i + k].tolist()) for i in (hot[k - 2] if k > 1 else range(len(text)))]
+        assert dict(zip(zip(*(w.tolist() for w in machine.runs(k))), machine.counts[k - 1].tolist())) == {r: runs.count(r) for r in runs}
+
+
 def test_blocks_keep_words(spark):
     text = "A  b,c\n\n d\te .;"
     assert normalised(text.encode()) == b" a b \n c \n d e \n "
