@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import langid, packing
-from gridloom.llm.common import WORD, forget, shared_dir, stored
+from gridloom.llm.common import WORD, forget, release, shared_dir, stored
 from gridloom.llm.exact_dedup import exact_dedup
 from gridloom.llm.minhash_dedup import near_duplicates
 from gridloom.llm.mixing import mix_sources, numbered
@@ -94,4 +94,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:
             forget(spark, before)
         before = f"{path}/stage{k}"
+        release(spark)
     return docs

@@ -26,7 +26,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import checked_broadcast, forget, shared_dir, stored
+from gridloom.llm.common import checked_broadcast, forget, release, shared_dir, stored
 from gridloom.llm.url_filter import BITS_PER_KEY, LANES, all_set, block_of, bloom_blocks, lane_masks
 
 #: Bytes of a filter that are broadcast; beyond it, a filter is joined by block.
@@ -150,12 +150,14 @@ def exact_dedup(
     for k in range(memtables):
         found = index.ingest(digests.where(F.col("memtable") == k).select("digest", rank))
         hits = found if hits is None else hits.unionByName(found)
+        release(spark)
     groups = stored(index.entries(hits.distinct()), f"{path}/groups")
     forget(spark, f"{path}/index")
     blocks = filter_blocks(groups.count())
     bloom = stored(bloom_blocks(groups.select(F.col("digest").alias("key")), blocks), f"{path}/filter")
 
     wrong = _unequal(rows, groups, bloom, blocks, path)
+    release(spark)
     probed = passed(digests.select("doc_id", "digest"), bloom, blocks)
     one = F.lit(1).cast("long")
     alone = probed.where("not may").select("doc_id", F.col("doc_id").alias("keep_id"), one.alias("group_size"), "digest", F.lit(True).alias("kept"))

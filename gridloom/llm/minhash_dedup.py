@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import checked_broadcast, components, forget, mixed, shared_dir, shingle_hashes, stored, text_bytes, unique_ids, word_hashes
+from gridloom.llm.common import checked_broadcast, components, forget, mixed, release, shared_dir, shingle_hashes, stored, text_bytes, unique_ids, word_hashes
 
 BUCKETS = 256
 MANTISSA = 10
@@ -195,7 +195,12 @@ def near_duplicates(
     """
     spark = docs.sparkSession
     path = path or shared_dir(spark)
-    gone = lambda *tables: [forget(spark, f"{path}/{t}") for t in tables]
+
+    def gone(*tables: str) -> None:
+        for t in tables:
+            forget(spark, f"{path}/{t}")
+        release(spark)
+
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = stored(_sets(rows, k, full=False), f"{path}/signed")
     classes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
@@ -219,6 +224,7 @@ def near_duplicates(
     first = bands.where("doc_id <> lead").groupBy("doc_id").agg(F.min("lead").alias("a")).select("a", F.col("doc_id").alias("b"))
     tested = stored(first, f"{path}/tested0")
     links = stored(_verified(tested, sets, reps, threshold), f"{path}/links0")
+    release(spark)
     labels = stored(components(links, f"{path}/components0"), f"{path}/labels0")
     # Second round: in bands that are not yet one component, a leader drawn by hash.
     open_ = stored(_open_bands(bands, labels, f"{path}/parts0"), f"{path}/open0")
@@ -229,6 +235,7 @@ def near_duplicates(
     fresh = stored(pairs.join(tested, ["a", "b"], "left_anti"), f"{path}/tested01")
     tested = tested.unionByName(fresh)
     found = stored(_verified(fresh, sets, reps, threshold), f"{path}/links01")
+    release(spark)
     if not found.isEmpty():
         links = links.unionByName(found)
         labels = stored(components(links, f"{path}/components01"), f"{path}/labels01")
@@ -240,6 +247,7 @@ def near_duplicates(
     fresh = stored(pairs.join(tested, ["a", "b"], "left_anti"), f"{path}/tested1")
     tested = tested.unionByName(fresh)
     found = stored(_verified(fresh, sets, reps, threshold), f"{path}/links1")
+    release(spark)
     if not found.isEmpty():
         links = links.unionByName(found)
         labels = stored(components(links, f"{path}/components1"), f"{path}/labels1")

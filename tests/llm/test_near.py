@@ -1,5 +1,6 @@
 import numpy as np
 from gridloom.llm import embedding_dedup
+from gridloom.llm import exact_dedup as exact_module
 from gridloom.llm import minhash_dedup as near
 from gridloom.llm.embedding_dedup import near_vectors
 from gridloom.llm.exact_dedup import exact_dedup, sha256
@@ -159,3 +160,12 @@ def test_near_vectors_of_a_repeated_id(spark):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
     got = sorted(map(tuple, near_vectors(frame).select("vec_id", "n_links", "component_id", "kept").collect()))
     assert got == [(0, 1, 0, True), (1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 0, False), (4, 0, 4, True)]
+
+
+def test_the_driver_is_cleared_between_jobs(spark, monkeypatch):
+    """Broadcast tables and shuffles of finished jobs do not wait for the driver's heap to fill up: it is told to collect."""
+    for module, find in ((near, near.near_duplicates), (exact_module, exact_dedup)):
+        told = []
+        monkeypatch.setattr(module, "release", lambda s: told.append(s))
+        docs = spark.createDataFrame([(i, f"a text of some words {i // 2}") for i in range(8)], "doc_id long, text string")
+        assert find(docs).where("kept").count() == 4 and len(told) >= 4
