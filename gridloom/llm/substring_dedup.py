@@ -7,16 +7,17 @@ that are smallest in some passage, and the tree is built over them alone. Each w
 hash), the place of that hash, and the first and last passage that it stands for. ``BANDS`` hash functions are used:
 equal passages always share all keys, those of similarity 0.75 at least one with a chance of 0.996.
 
-Windows that share a key are joined: each window of a key meets the key's window of the smallest document. All that two
-documents have met in, whatever the hash function, is verified at once: the places of the shared smallest hash align the
-two, and each passage of the window is compared with the aligned passage of the other document by the Jaccard similarity
-of their full shingle sets. Windows that hold a passage for which no earlier document is found yet meet all others of
-their key: directly where a key has at most ``FEW``, else through lists. Two passages that are similar share one of any
-12 of the first one's 46 shingles (of any 7, if no shingle repeats in either), so a window is listed under its key and the
-rarest shingles of each such passage, and meets the windows of the key that hold one of these: first the smallest document
-of each list, then, for what is left, all the others. Shingles that only one document has list nothing. What is rare is
-read off a sketch of fixed size, and windows are listed only where a bitmap of fixed size tells that they are asked for;
-if these are too small for an input, more windows meet and results stay the same. No pair of windows of a key that holds a
+Windows of one key that hold the same shingles at the same places are one: the smallest document's stands for them, and
+the others are found whole in it. Those that are left are joined: each window of a key meets the key's window of the smallest
+document. All that two documents have met in, whatever the hash function, is verified at once: the places of the shared
+smallest hash align the two, and each passage of the window is compared with the aligned passage of the other document by
+the Jaccard similarity of their full shingle sets. Windows that hold a passage for which no earlier document is found yet
+meet all others of their key: directly where a key has at most ``FEW``, else through lists. Two passages that are similar
+share one of the 12 rarest of their 46 shingles (of the 7 rarest, if no shingle repeats in either), so windows are listed
+under their key and the rarest shingles of each passage. What holds the same in a list is one again; a window that asks
+meets the window that holds the same, else the list's smallest document and what most of the list hold, then, for what is
+left, all the others. Shingles that only one document has list nothing. What is rare is read off a sketch of fixed size; if
+it is too small for an input, more windows meet and results stay the same. No pair of windows of a key that holds a
 similar pair of aligned passages stays untested where that passage has no earlier partner yet, whatever the key's size.
 
 The result has, for each document, the spans of words covered by passages that some document of smaller id holds.
@@ -44,8 +45,8 @@ BANDS = 4
 FEW = 4
 #: log2 of the cells of the sketch and the bits of the bitmap at most; cells in a part that is summed up in one row.
 LG_CELLS, PART = 25, 1 << 16
-#: Documents from which on a shingle counts as frequent.
-FREQUENT = 16
+#: A shingle counts as the rarer the fewer of these numbers of documents have it; fewer than the first: it has one alone.
+LEVELS = (2, 4, 16, 128)
 #: Requests for parts of one document that share a copy of its text.
 PER_SALT = 256
 #: Words that are held, and pairs of equal shingles that are counted, at once (a longer text or passage by itself).
@@ -128,11 +129,54 @@ def _windows(docs: DataFrame, width: int) -> DataFrame:
                 inside = np.arange(len(words)) < np.repeat(first + n - SHINGLE + 1, n)
                 key, at, before, after = windows_of(shingles, inside[: len(shingles)], width)
                 doc = np.searchsorted(first, at, side="right") - 1
-                cols = [pa.array(key), pa.array(ids[lo + doc]), pa.array((at - first[doc]).astype(np.int32))]
-                cols += [pa.array(c.astype(np.int16)) for c in (before, after)]
-                yield pa.RecordBatch.from_arrays(cols, ["key", "doc_id", "at", "before", "after"])
+                held = _content(shingles, at - before, before - after + width, before)
+                place = (at - first[doc]) << 32 | before << 16 | after
+                cols = [pa.array(c) for c in (key, held, ids[lo + doc], place)]
+                yield pa.RecordBatch.from_arrays(cols, ["key", "held", "doc_id", "place"])
 
-    return docs.mapInArrow(run, "key long, doc_id long, at int, before short, after short")
+    return docs.mapInArrow(run, "key long, held long, doc_id long, place long")
+
+
+def _content(shingles: np.ndarray, begin: np.ndarray, n: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """A hash of the ``n`` shingles from each place ``begin`` on, and of the number ``more``."""
+    return mixed(_run_hashes(shingles.astype(np.uint64), begin, n, 1)[0].view(np.uint64) ^ mixed((n << 32 | more).astype(np.uint64))).view(np.int64)
+
+
+def _classes(windows: DataFrame) -> DataFrame:
+    """Windows of keys that several documents have, each with the smallest document's window (``rep``, ``rep_at``) of the same
+    key and shingles; a document that has that window more than once stands for itself each time."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        names = ["key", "held", "doc_id", "place"]
+        none = [np.empty(0, np.int64)] * 4
+        # Rows of a key of which one document is met so far; the last row that went out, with what stands for it.
+        kept, last = none, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, held, doc, place = (np.concatenate([k, batch.column(c).to_numpy()]) for k, c in zip(kept, names))
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(key))))
+            several = np.minimum.reduceat(doc, start) < np.maximum.reduceat(doc, start)
+            if last is not None and last[0] == key[0]:
+                several[0] = True
+            new = np.append(True, (key[1:] != key[:-1]) | (held[1:] != held[:-1]))
+            top = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+            rep, rep_at = doc[top], place[top] >> 32
+            if last is not None and last[:2] == (key[0], held[0]):
+                rep[top == 0], rep_at[top == 0] = last[2:]
+            kept = none if several[-1] else [c[start[-1] :] for c in (key, held, doc, place)]
+            last = (key[-1], held[-1], rep[-1], rep_at[-1]) if several[-1] else None
+            go = several[group]
+            cols = [pa.array(c[go]) for c in (key, doc)] + [pa.array((c[go]).astype(np.int32)) for c in (place >> 32,)]
+            cols += [pa.array(((place[go] >> b) & 0xFFFF).astype(np.int16)) for b in (16, 0)] + [pa.array(rep[go]), pa.array(rep_at[go].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, ["key", "doc_id", "at", "before", "after", "rep", "rep_at"])
+
+    # One shuffle in which each key's windows lie together; only the last key's rows of one document are held.
+    dealt = windows.repartition("key").sortWithinPartitions("key", "held", "doc_id", "place")
+    return dealt.mapInArrow(run, "key long, doc_id long, at int, before short, after short, rep long, rep_at int")
 
 
 def _merged(group: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -373,10 +417,10 @@ def _verified(parts: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     return rows.mapInArrow(run, "doc_id long, lo int, hi int, lead long, lead_at int, key long")
 
 
-def _run_hashes(words: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
-    """Two hashes of the ``n`` words from each place ``at`` on."""
+def _run_hashes(words: np.ndarray, at: np.ndarray, n, hashes: int = 2) -> list[np.ndarray]:
+    """So many hashes of the ``n`` words from each place ``at`` on."""
     out = []
-    for base in (_SEEDS[0], _SEEDS[1]):
+    for base in _SEEDS[:hashes]:
         power, inverse = _powers(base, len(words) + 1), _powers(np.uint64(pow(int(base), -1, 1 << 64)), len(words) + 1)
         total = np.append(np.uint64(0), np.cumsum(mixed(words ^ base) * power[:-1], dtype=np.uint64))
         out.append(mixed((total[at + n] - total[at]) * inverse[at]).view(np.int64))
@@ -384,28 +428,11 @@ def _run_hashes(words: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
 
 
 def _with_windows(windows: DataFrame, docs: DataFrame) -> DataFrame:
-    """``(doc_id, text, r)``: texts with their windows (key, at, before, after)."""
-    own = windows.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "before", "after")).alias("r"))  # a document's own
+    """``(doc_id, text, r)``: texts with their windows (key, at, before, after, ask_from, ask_to)."""
+    own = windows.groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "before", "after", "ask_from", "ask_to")).alias("r"))  # a document's own
     return docs.join(own, "doc_id").select("doc_id", "text", "r")
 
 
-def _opened(batch, width: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Of some texts at a time: their numbers, shingles, and for each window its text, key, place, first and last passage (as
-    far as the text goes) and the text's first shingle; places count in the shingles."""
-    import pyarrow.compute as pc
-
-    data, off = text_bytes(batch.column(1))
-    ids = batch.column(0).to_numpy()
-    number = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
-    for lo, hi in _parts(off, number * width):
-        words, first = document_words(data, off, lo, hi)
-        r = batch.column(2).slice(lo, hi - lo).flatten()
-        row = np.repeat(np.arange(hi - lo), number[lo:hi])
-        key, at, before, after = (r.field(c).to_numpy().astype(np.int64) for c in ("key", "at", "before", "after"))
-        at, end = at + first[row], np.append(first[1:], len(words))[row] - SHINGLE + 1
-        yield ids[lo:hi], _short(words), row, key.view(np.uint64), at, np.maximum(at - before, first[row]), np.minimum(at - after, end - width), first[row]
-
-
 def _bits(rows: DataFrame, values, lg: int, levels: tuple[int, ...]) -> list[np.ndarray]:
     """For each level a bitmap of the 2 ** ``lg`` cells that so many of the hashes fall into that ``values`` tells of each
     Arrow batch of ``rows``; cells are counted in tasks, up to the highest level, and summed up by parts.
@@ -457,17 +484,7 @@ def _set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def _lists(key: np.ndarray, shingle: np.ndarray, odd) -> np.ndarray:
     """Numbers of the lists of a key and a shingle; ``odd`` ones are for passages in which a shingle repeats."""
-    return mixed(key ^ mixed(shingle.astype(np.uint64) + (np.uint64(odd) << np.uint64(33))))
-
-
-def _grouped(window: np.ndarray, of: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Each pair of window and list once, with the first and the last passage."""
-    order = np.lexsort((of, window))
-    window, of, first, last = window[order], of[order], first[order], last[order]
-    new = np.flatnonzero(np.append(True, (np.diff(window) != 0) | (of[1:] != of[:-1]))) if len(of) else np.empty(0, np.int64)
-    if not len(new):
-        return window, of, first, last
-    return window[new], of[new], np.minimum.reduceat(first, new), np.maximum.reduceat(last, new)
+    return mixed(key ^ mixed(shingle.astype(np.uint64) + (odd.astype(np.uint64) << np.uint64(33))))
 
 
 def rare_shingles(sh: np.ndarray, at: np.ndarray, lone: np.ndarray, often: np.ndarray, width: int, percent: int) -> tuple[np.ndarray, ...]:
@@ -475,9 +492,9 @@ def rare_shingles(sh: np.ndarray, at: np.ndarray, lone: np.ndarray, often: np.nd
 
     Of n different shingles a passage of that similarity shares ``percent`` of a hundred at least, so one of the rarest
     n - ceil(percent * n / 100) + 1; and where neither repeats a shingle, fewer do: those beyond are ``odd``.
-    Shingles that are ``lone`` come first and are left out, those that are ``often`` met come last.
+    Shingles that are ``lone`` come first and are left out, the more ``often`` others are met the later they come.
     """
-    order = (np.where(lone, np.uint64(0), np.where(often, np.uint64(2), np.uint64(1))) << np.uint64(32)) | sh.astype(np.uint64)
+    order = (np.where(lone, np.uint64(0), often.astype(np.uint64) + np.uint64(1)) << np.uint64(32)) | sh.astype(np.uint64)
     apart = width - -(-2 * percent * width // (100 + percent)) + 1
     out: list[tuple] = []
     for lo in range(0, len(at), AT_ONCE // width):
@@ -492,96 +509,119 @@ def rare_shingles(sh: np.ndarray, at: np.ndarray, lone: np.ndarray, often: np.nd
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool))
 
 
-def _listed(windows: DataFrame, docs: DataFrame, bits: list[np.ndarray], width: int, percent: int) -> DataFrame:
-    """``(list, key, x, at, lo, hi)``: windows under their key and the rarest shingles of each passage."""
-    known = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        shared, often = known.value
-        for batch in batches:
-            for ids, sh, row, key, at, lo, hi, base in _opened(batch, width):
-                hashes = mixed(sh.astype(np.uint64))
-                lone = ~_set(shared, hashes)
-                window, passage = np.repeat(np.arange(len(row)), hi - lo + 1), places(lo, hi - lo + 1)
-                # Most passages have too many shingles of their own.
-                alone = np.append(0, np.cumsum(lone))
-                some = (alone[passage + width] - alone[passage] <= width - -(-percent * width // 100)) | (_distinct(sh, width)[passage] < width)
-                window, passage = window[some], passage[some]
-                p, shingle, odd = rare_shingles(sh, passage, lone, _set(often, hashes), width, percent)
-                window, of, first, last = _grouped(window[p], _lists(key[window[p]], shingle, odd), passage[p], passage[p])
-                cols = [of.view(np.int64), key[window].view(np.int64), ids[row[window]], *((c - base[window]).astype(np.int32) for c in (at[window], first, last))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["list", "key", "x", "at", "lo", "hi"])
-
-    return _with_windows(windows, docs).mapInArrow(run, "list long, key long, x long, at int, lo int, hi int")
-
-
 def _cuts(windows: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """The shingles that windows hold, in place of texts: ``(doc_id, cut, key, at, begin, n)``, where ``begin`` is the place
-    of a window's first passage in the cut and ``n`` its passages."""
+    """The shingles that windows hold, in place of texts: ``(doc_id, cut, key, at, before, begin, n, ask, asks)``, where
+    ``begin`` is the place of a window's first passage in the cut, ``n`` its passages, and ``asks`` passages from ``ask`` on
+    are those without a partner."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
-            for ids, sh, row, key, at, lo, hi, base in _opened(batch, width):
+            data, off = text_bytes(batch.column(1))
+            number = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            for lo_, hi_ in _parts(off, number * width):
+                words, first = document_words(data, off, lo_, hi_)
+                sh, r = _short(words), batch.column(2).slice(lo_, hi_ - lo_).flatten()
+                row = np.repeat(np.arange(hi_ - lo_), number[lo_:hi_])
+                key, at, before, after, ask, to = (r.field(c).to_numpy().astype(np.int64) for c in ("key", "at", "before", "after", "ask_from", "ask_to"))
+                lo, hi = first[row] + at - before, first[row] + at - after
                 group, begin, stop = _merged(row, lo, hi + width)
                 size = stop - begin
                 cut, start = sh[places(begin, size)], np.cumsum(size) - size
                 of = np.searchsorted(begin, lo, side="right") - 1
-                long = np.bincount(group, size, minlength=len(ids)).astype(np.int64)
+                long = np.bincount(group, size, minlength=hi_ - lo_).astype(np.int64)
                 own = (np.cumsum(long) - long)[row]
                 ends = pa.py_buffer(np.append(0, 4 * np.cumsum(long)).astype(np.int32))
-                lists = pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=len(ids)))).astype(np.int32))
-                cols = [pa.array(ids), pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, ends, pa.py_buffer(np.ascontiguousarray(cut))])]
-                for c, kind in ((key.view(np.int64), np.int64), (at - base, np.int32), (start[of] + lo - begin[of] - own, np.int32), (hi - lo + 1, np.int16)):
+                lists = pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=hi_ - lo_))).astype(np.int32))
+                cols = [batch.column(0).slice(lo_, hi_ - lo_), pa.BinaryArray.from_buffers(pa.binary(), hi_ - lo_, [None, ends, pa.py_buffer(np.ascontiguousarray(cut))])]
+                place = start[of] + lo - begin[of] - own
+                for c, kind in ((key, np.int64), (at, np.int32), (before, np.int16), (place, np.int32), (hi - lo + 1, np.int16), (before - ask, np.int16), (ask - to + 1, np.int16)):
                     cols.append(pa.ListArray.from_arrays(lists, pa.array(c.astype(kind))))
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "cut", "key", "at", "begin", "n"])
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "cut", "key", "at", "before", "begin", "n", "ask", "asks"])
 
-    schema = "doc_id long, cut binary, key array<long>, at array<int>, begin array<int>, n array<short>"
+    schema = "doc_id long, cut binary, key array<long>, at array<int>, before array<short>, begin array<int>, n array<short>, ask array<short>, asks array<short>"
     return _with_windows(windows, docs).mapInArrow(run, schema)
 
 
 def _cut(batch, width: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """As ``_opened``, of cuts; in place of the text's first shingle the place of the window in its text."""
+    """Of some cuts at a time: their numbers, shingles, and for each window its cut, key, place, passages before that, first
+    and last passage, and first and last that asks; passages count in the shingles."""
     data, off = text_bytes(batch.column(1))
     ids = batch.column(0).to_numpy()
     count = _numbers(batch.column(2))[1]
     for lo, hi in _parts(off, count * width):
         sh = data[off[lo] : off[hi]].view("<u4")
         row = np.repeat(np.arange(hi - lo), count[lo:hi])
-        key, at, begin, n = (_numbers(batch.column(c).slice(lo, hi - lo))[0].astype(np.int64) for c in (2, 3, 4, 5))
+        key, at, before, begin, n, ask, asks = (_numbers(batch.column(c).slice(lo, hi - lo))[0].astype(np.int64) for c in range(2, 9))
         first = begin + ((off[lo:hi] - off[lo]) // 4)[row]
-        yield ids[lo:hi], sh, row, key.view(np.uint64), first, first, first + n - 1, at
+        yield ids[lo:hi], sh, row, key.view(np.uint64), at, before, first, first + n - 1, first + ask, first + ask + asks - 1
+
 
+def _repeating(sh: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int) -> np.ndarray:
+    """Whether windows hold a passage in which a shingle repeats."""
+    repeats = np.append(0, np.cumsum(_distinct(sh, width) < width))
+    return repeats[hi + 1] > repeats[lo]
 
-def _holders(cuts: DataFrame, asked: np.ndarray, width: int) -> DataFrame:
-    """``(list, y, y_at)``: windows under their key and each of their shingles, as far as ``asked`` for."""
-    known = cuts.sparkSession.sparkContext.broadcast(asked)
+
+def _listed(cuts: DataFrame, bits: list[np.ndarray], odd: np.ndarray, width: int, percent: int) -> DataFrame:
+    """``(list, key, x, at, held, holds, lo, hi)``: windows under their key and the rarest shingles of each passage.
+
+    Rows that hold have a hash of what their passages in the list hold; rows with ``lo`` and ``hi`` ask. Two passages without
+    repeats meet by few shingles (list 0); one that repeats a shingle holds list 1 and asks list 2 for more ones of others.
+    """
+    known = cuts.sparkSession.sparkContext.broadcast((bits, odd))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        levels, odd = known.value
         for batch in batches:
-            for ids, sh, row, key, at, lo, hi, place in _cut(batch, width):
-                repeats = np.append(0, np.cumsum(_distinct(sh, width) < width))
-                repeats = repeats[hi + 1] > repeats[lo]
-                found: list[tuple] = []
-                for odd, some in ((0, np.arange(len(row))), (1, np.flatnonzero(repeats))):
-                    for j in range(0, len(some), AT_ONCE // width):
-                        own = some[j : j + AT_ONCE // width]
-                        span = hi[own] - lo[own] + width
-                        window = np.repeat(own, span)
-                        of = _lists(key[window], sh[places(lo[own], span)], odd)
-                        hit = _set(known.value, of)
-                        found.append((window[hit], of[hit]))
-                window, of = (np.concatenate(c) for c in zip(*found))
-                window, of, *_ = _grouped(window, of, window, window)
-                cols = [of.view(np.int64), ids[row[window]], place[window].astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["list", "y", "y_at"])
-
-    return cuts.mapInArrow(run, "list long, y long, y_at int")
+            for ids, sh, row, key, at, before, lo, hi, ask, to in _cut(batch, width):
+                hashes = mixed(sh.astype(np.uint64))
+                level = sum(_set(b, hashes).astype(np.int64) for b in levels)
+                lone, different = level == 0, _distinct(sh, width)
+                window, passage = np.repeat(np.arange(len(row)), hi - lo + 1), places(lo, hi - lo + 1)
+                # Most passages have too many shingles of their own.
+                alone = np.append(0, np.cumsum(lone))
+                mixed_key = _set(odd, mixed(key))[window]  # a window of the key repeats a shingle
+                most = np.where(mixed_key, width - -(-percent * width // 100), width - -(-2 * percent * width // (100 + percent)))
+                some = (alone[passage + width] - alone[passage] <= most) | (different[passage] < width)
+                window, passage, mixed_key = window[some], passage[some], mixed_key[some]
+                each, of = np.unique(passage, return_inverse=True)  # a passage of several windows is sorted once
+                p, shingle, far = rare_shingles(sh, each, lone, np.maximum(level - 1, 0), width, percent)
+                count, start = np.bincount(p, minlength=len(each)), np.searchsorted(p, np.arange(len(each)))
+                spot = places(start[of], count[of])
+                window, passage, mixed_key = (np.repeat(c, count[of]) for c in (window, passage, mixed_key))
+                shingle, far = shingle[spot], far[spot]
+                again = different[passage] < width
+                near, more = np.flatnonzero(~far), np.flatnonzero(mixed_key & (far | again))
+                parts = [(near, 0, True, True)]
+                parts += [(more[far[more]], 1, True, False), (more[far[more]], 2, False, True), (more[again[more]], 1, False, True), (more[again[more]], 2, True, False)]
+                window, passage, lists, asks, holds = (
+                    np.concatenate(c) for c in zip(*((window[i], passage[i], _lists(key[window[i]], shingle[i], np.full(len(i), k)), np.full(len(i), a), np.full(len(i), h)) for i, k, a, h in parts))
+                )
+                asks &= (passage >= ask[window]) & (passage <= to[window])
+                order = np.lexsort((lists, window))
+                window, passage, lists, asks, holds = (c[order] for c in (window, passage, lists, asks, holds))
+                if not len(window):
+                    continue
+                new = np.flatnonzero(np.append(True, (window[1:] != window[:-1]) | (lists[1:] != lists[:-1])))
+                far_off = len(sh)
+                h_lo, a_lo = (np.minimum.reduceat(np.where(c, passage, far_off), new) for c in (holds, asks))
+                h_hi, a_hi = (np.maximum.reduceat(np.where(c, passage, -1), new) for c in (holds, asks))
+                w, holding, asking = window[new], h_hi >= 0, a_hi >= 0
+                held = np.zeros(len(w), np.int64)
+                key_place = lo[w] + before[w]
+                held[holding] = _content(sh, h_lo[holding], h_hi[holding] - h_lo[holding] + width, (key_place - h_lo)[holding])
+                shift = at[w] - key_place
+                used = holding | asking
+                cols = [pa.array(c[used]) for c in (lists[new].view(np.int64), key[w].view(np.int64), ids[row[w]], at[w].astype(np.int32), held, holding)]
+                cols += [pa.array((c + shift)[used].astype(np.int32), mask=~asking[used]) for c in (a_lo, a_hi)]
+                yield pa.RecordBatch.from_arrays(cols, ["list", "key", "x", "at", "held", "holds", "lo", "hi"])
+
+    return cuts.mapInArrow(run, "list long, key long, x long, at int, held long, holds boolean, lo int, hi int")
 
 
 def repeated_passages(
@@ -602,13 +642,16 @@ def repeated_passages(
     width, percent = words - SHINGLE + 1, round(threshold * 100)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = unique_ids(rows.where("doc_id is not null and text is not null"))
-    windows = stored(_windows(rows, width), f"{path}/windows")
-    place = F.struct("doc_id", "at")
-    keys = windows.groupBy("key").agg(F.min(place).alias("lead"), F.max("doc_id").alias("high")).where("lead.doc_id < high").select("key", "lead")
-    shared = stored(windows.join(keys, "key").select(*windows.columns, "lead"), f"{path}/shared")
-    forget(spark, f"{path}/windows")
+    shared = stored(_classes(_windows(rows, width)), f"{path}/shared")
     release(spark)
-    anchors = shared.where("doc_id > lead.doc_id").select(
+    # Equal windows are found whole in the one of the smallest document, which stands for them from here on.
+    lo, hi = F.col("at") - F.col("before"), F.col("at") - F.col("after")
+    equal = shared.where("doc_id <> rep").select("doc_id", lo.alias("lo"), hi.alias("hi"), F.col("rep").alias("lead"), (F.col("rep_at") - F.col("before")).alias("lead_at"))
+    own = shared.where("doc_id = rep").select("key", "doc_id", "at", "before", "after")
+    place = F.struct("doc_id", "at")
+    keys = own.groupBy("key").agg(F.min(place).alias("lead"), F.max("doc_id").alias("high")).where("lead.doc_id < high").select("key", "lead")
+    reps = stored(own.join(keys, "key").select(*own.columns, "lead"), f"{path}/reps")
+    anchors = reps.where("doc_id > lead.doc_id").select(
         "key", F.col("doc_id").alias("x"), F.col("lead.doc_id").alias("y"), "at", F.col("lead.at").alias("y_at"), "before", "after"
     )
     first = stored(_verified(_with_parts(anchors, rows, width), rows, width, percent), f"{path}/first")
@@ -617,40 +660,51 @@ def repeated_passages(
     left = first.where("lead is null").select("key", F.col("doc_id").alias("x"), F.col("lead_at").alias("at"), "lo", "hi").distinct()
     left = stored(left, f"{path}/left")
     # Written, so that a key with many windows is split while they are joined and summed up in part before they meet.
-    members = shared.join(left.select("key").distinct(), "key", "left_semi").where("doc_id > lead.doc_id or at > lead.at").select("key", "doc_id", "at")
-    members = stored(members, f"{path}/members")
-    forget(spark, f"{path}/shared")
+    members = reps.join(left.select("key").distinct(), "key", "left_semi").where("doc_id > lead.doc_id or at > lead.at").drop("lead")
+    members = stored(members.join(left.withColumnRenamed("x", "doc_id"), ["key", "doc_id", "at"], "left"), f"{path}/members")
+    forget(spark, f"{path}/reps")
     release(spark)
     counts = stored(members.groupBy("key").agg(F.count("*").alias("n")), f"{path}/counts")
     few = members.join(counts.where(F.col("n") <= FEW).select("key"), "key").select("key", F.col("doc_id").alias("y"), F.col("at").alias("y_at"))
     few = stored(few, f"{path}/few")
     direct = left.join(few, "key").where("y < x").select("key", "x", "y", "at", "y_at", "lo", "hi")
-    # Larger keys, by lists of the rarest shingles. A window is met at all passages that hold the place of its hash.
+    # Larger keys, by lists of the rarest shingles.
     large = members.join(counts.where(F.col("n") > FEW).select("key"), "key")
-    large = stored(large.select("key", "doc_id", "at", F.lit(width - 1).cast("short").alias("before"), F.lit(0).cast("short").alias("after")), f"{path}/large")
+    ask = [F.coalesce(F.col("at") - F.col(c), F.lit(v)).cast("short").alias(n) for c, v, n in (("lo", -1, "ask_from"), ("hi", 0, "ask_to"))]
+    large = stored(large.select("key", "doc_id", "at", "before", "after", *ask), f"{path}/large")
     forget(spark, f"{path}/members")
     lg = max(16, min(LG_CELLS, (large.count() * 2 * width).bit_length()))
     cuts = stored(_cuts(large, rows, width), f"{path}/cuts")
     release(spark)
 
     def shingles(batch) -> Iterator[np.ndarray]:
-        for _, sh, row, _, _, lo, hi, _ in _cut(batch, width):
+        for _, sh, row, _, _, _, lo, hi, _, _ in _cut(batch, width):
             own, begin, stop = _merged(row, lo, hi + width)
             own = np.unique(np.repeat(own, stop - begin).astype(np.uint64) << np.uint64(32) | sh[places(begin, stop - begin)])
             yield mixed(own & np.uint64(0xFFFFFFFF))  # each document counts once
 
-    bits = _bits(cuts, shingles, lg, (2, FREQUENT))
-    offsets = [(F.col("at") - F.col(c)).cast("short").alias(n) for c, n in (("lo", "before"), ("hi", "after"))]
-    open_ = left.join(counts.where(F.col("n") > FEW).select("key"), "key").select("key", F.col("x").alias("doc_id"), "at", *offsets)
-    asks = stored(_listed(open_, rows, bits, width, percent), f"{path}/asks")
-    release(spark)
-    asked = _bits(asks.select("list"), lambda batch: [batch.column(0).to_numpy().view(np.uint64)], lg, (1,))[0]
-    holders = stored(_holders(cuts, asked, width), f"{path}/holders")
+    def repeating(batch) -> Iterator[np.ndarray]:
+        for _, sh, _, key, _, _, lo, hi, _, _ in _cut(batch, width):
+            yield mixed(key[_repeating(sh, lo, hi, width)])
+
+    bits = _bits(cuts, shingles, lg, LEVELS)
+    odd = _bits(cuts, repeating, min(lg, 22), (1,))[0]
+    listed = stored(_listed(cuts, bits, odd, width, percent), f"{path}/listed")
     for table in ("large", "cuts"):
         forget(spark, f"{path}/{table}")
     release(spark)
-    smallest = stored(holders.groupBy("list").agg(F.min(F.struct("y", "y_at")).alias("s")), f"{path}/smallest")
-    met = asks.join(smallest, "list").where("s.y < x").select("key", "x", F.col("s.y").alias("y"), "at", F.col("s.y_at").alias("y_at"), "lo", "hi")
+    # Windows that hold the same in a list are one; asks meet the one that holds the same, else the list's smallest
+    # document and the smallest one of what most windows of the list hold.
+    held = listed.where("holds").groupBy("list", "held").agg(F.min(F.struct(F.col("x").alias("y"), F.col("at").alias("y_at"))).alias("m"), F.count("*").alias("n"))
+    held = stored(held, f"{path}/held")
+    lists = stored(held.groupBy("list").agg(F.min("m").alias("s"), F.max(F.struct("n", "m")).alias("top")).select("list", "s", F.col("top.m").alias("top")), f"{path}/lists")
+    asks = listed.where("lo is not null").join(lists, "list").where("s.y < x")
+    asks = asks.join(held.select("list", "held", "m"), ["list", "held"], "left").select("list", "key", "x", "at", "lo", "hi", "s", "top", "m")
+    asks = stored(asks, f"{path}/asks")
+    forget(spark, f"{path}/listed")
+    partners = F.when(F.col("m.y") < F.col("x"), F.array("m")).otherwise(F.array_distinct(F.array("s", "top")))
+    met = asks.withColumn("o", F.explode(partners)).where("o.y < x").select("key", "x", F.col("o.y").alias("y"), "at", F.col("o.y_at").alias("y_at"), "lo", "hi")
+    offsets = [(F.col("at") - F.col(c)).cast("short").alias(n) for c, n in (("lo", "before"), ("hi", "after"))]
 
     def tested(pairs: DataFrame, name: str) -> DataFrame:
         once = pairs.groupBy("key", "x", "y", "at", "y_at").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
@@ -660,16 +714,17 @@ def repeated_passages(
         return out
 
     second = tested(direct.unionByName(met), "second")
-    # What the smallest documents of the lists do not have, against all others of the lists.
+    # What these do not have, against all others of the lists.
     still = second.where("lead is null").select("key", F.col("doc_id").alias("x"), F.col("lead_at").alias("at"), F.col("lo").alias("from"), F.col("hi").alias("to"))
     still = still.groupBy("key", "x", "at").agg(F.min("from").alias("from"), F.max("to").alias("to"))
     asks = asks.join(still, ["key", "x", "at"]).where(F.col("lo") <= F.col("to")).where(F.col("hi") >= F.col("from"))
-    asks = stored(asks.join(smallest, "list").where("s.y < x").drop("from", "to"), f"{path}/still")
-    third = tested(asks.join(holders, "list").where("y < x and y > s.y").select("key", "x", "y", "at", "y_at", "lo", "hi"), "third")
+    asks = stored(asks.drop("from", "to", "m"), f"{path}/still")
+    others = asks.join(held.select("list", "m"), "list").where("m.y < x and m <> s and m <> top")
+    third = tested(others.select("key", "x", F.col("m.y").alias("y"), "at", F.col("m.y_at").alias("y_at"), "lo", "hi"), "third")
     columns = ["doc_id", "lo", "hi", "lead", "lead_at"]
     found = first.unionByName(second).unionByName(third).where("lead is not null").select(columns)
-    found = stored(found, f"{path}/found")
-    for table in ("left", "few", "counts", "asks", "holders", "smallest", "still", "first", "second", "third", "second_pairs", "third_pairs"):
+    found = stored(found.unionByName(equal), f"{path}/found")
+    for table in ("left", "few", "counts", "asks", "held", "lists", "still", "shared", "first", "second", "third", "second_pairs", "third_pairs"):
         forget(spark, f"{path}/{table}")
     return _spans(found, words)
 

@@ -235,3 +235,21 @@ def test_places_further_on_in_the_smallest_document(spark):
         passage[-3] = "other"
         texts[2 * k + 1] = " ".join([*words(rng, 25), *passage, *words(rng, 30)])
     assert {(d, o) for d, _, _, _, o in spans_of(spark, texts)} == {(2 * k + 1, 2 * k) for k in range(60)}
+
+
+def test_equal_windows_are_joined_once(spark):
+    """Windows that hold the same go on as one; windows of one document, and of keys that one document has, do not stand for others."""
+    from gridloom.llm.substring_dedup import _classes
+
+    rows = [(1, 7, d, 5 << 32 | 3 << 16 | 1) for d in range(10, 60)] + [(1, 8, 10, 90 << 32), (1, 8, 10, 95 << 32), (1, 8, 33, 4 << 32)]
+    rows += [(2, 7, 10, 1 << 32), (2, 7, 10, 2 << 32), (3, 9, 40, 0)]
+    windows = spark.createDataFrame(rows, "key long, held long, doc_id long, place long").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("10000", "7", "1"):  # groups that go on from batch to batch
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = {tuple(r) for r in _classes(windows).collect()}
+            want = {(1, d, 5, 3, 1, 10, 5) for d in range(10, 60)} | {(1, 10, 90, 0, 0, 10, 90), (1, 10, 95, 0, 0, 10, 90), (1, 33, 4, 0, 0, 10, 90)}
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
