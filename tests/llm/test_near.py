@@ -169,3 +169,19 @@ def test_the_driver_is_cleared_between_jobs(spark, monkeypatch):
         monkeypatch.setattr(module, "release", lambda s: told.append(s))
         docs = spark.createDataFrame([(i, f"a text of some words {i // 2}") for i in range(8)], "doc_id long, text string")
         assert find(docs).where("kept").count() == 4 and len(told) >= 4
+
+
+def test_few_edges_need_no_rounds(spark, tmp_path, monkeypatch):
+    """Edges that fit in one task are joined up there; more of them give the same labels in rounds."""
+    from gridloom.llm import common
+
+    rng = np.random.default_rng(59)
+    ids = rng.permutation(400).tolist()
+    edges = [(a, b) for k in range(0, 400, 80) for a, b in zip(ids[k : k + 80], ids[k + 1 : k + 80])]
+    want = {a: min(ids[k : k + 80]) for k in range(0, 400, 80) for a in ids[k : k + 80]}
+    frame = spark.createDataFrame([*edges, *edges[:9], (7, 7), (None, 5)], "u long, v long").repartition(3)
+    assert dict(map(tuple, common.components(frame, f"{tmp_path}/one", rounds=1).collect())) == want
+    monkeypatch.setattr(common, "EDGES", 1)
+    assert dict(map(tuple, common.components(frame.limit(0), f"{tmp_path}/none").collect())) == {}
+    monkeypatch.setattr(common, "EDGES", 90)
+    assert dict(map(tuple, common.components(frame, f"{tmp_path}/more").collect())) == want
