@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WORD, shared_dir, stored
+from gridloom.llm.common import WORD, release, shared_dir, stored
 
 #: Bits of a van der Corput point: slot numbers below 2 ** POINT_BITS.
 POINT_BITS = 40
@@ -155,7 +155,9 @@ def mix_sources(
         f"{path}/sizes",
     )
     targets = stored(source_targets(rows, weights, most), f"{path}/targets")
+    release(docs.sparkSession)
     slots = schedule(targets, block, path)
+    release(docs.sparkSession)
     named = rows.where("size > 0").join(targets, rows["source"].eqNullSafe(targets["source"])).select(
         "doc_id", "copy", "size", "key", "bucket", "place", "source_size", "quota"
     )

@@ -1,3 +1,6 @@
+import re
+from pathlib import Path
+
 import numpy as np
 from gridloom.llm import embedding_dedup
 from gridloom.llm import exact_dedup as exact_module
@@ -185,3 +188,26 @@ def test_few_edges_need_no_rounds(spark, tmp_path, monkeypatch):
     assert dict(map(tuple, common.components(frame.limit(0), f"{tmp_path}/none").collect())) == {}
     monkeypatch.setattr(common, "EDGES", 90)
     assert dict(map(tuple, common.components(frame, f"{tmp_path}/more").collect())) == want
+
+
+def test_what_the_driver_frees_outside_its_heap_goes_back(spark):
+    """Memory that lies free below what is still in use is given back to the system as well."""
+    from gridloom.llm.common import release
+
+    jvm = spark._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+    held = lambda: int(re.search(r"VmRSS:\s+(\d+)", Path(f"/proc/{pid}/status").read_text())[1]) / 1024
+    data, out = bytearray(np.random.default_rng(3).bytes(60_000)), bytearray(60_000)
+    jvm.System.gc()
+    made = []
+    for _ in range(300):
+        made.append(one := jvm.java.util.zip.Deflater())
+        one.setInput(data)
+        one.deflate(out)
+    for one in made[:-1]:
+        one.end()
+    jvm.System.gc()
+    before = held()
+    release(spark)
+    assert held() < before - 20
+    made[-1].end()
