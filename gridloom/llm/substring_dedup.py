@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import _powers, chunks, document_words, forget, mixed, places, release, shared_dir, shingle_hashes, stored, text_bytes, unique_ids
+from gridloom.llm.common import _powers, checked_broadcast, chunks, document_words, forget, mixed, places, release, shared_dir, shingle_hashes, stored, text_bytes, unique_ids
 
 SHINGLE = 5
 #: Words of the shortest passage.
@@ -49,6 +49,8 @@ LG_CELLS, PART = 25, 1 << 16
 LEVELS = (2, 4, 16, 128)
 #: Requests for parts of one document that share a copy of its text.
 PER_SALT = 256
+#: Words of 64 bits that mark what a window holds.
+MARKS = 16
 #: Words that are held, and pairs of equal shingles that are counted, at once (a longer text or passage by itself).
 AT_ONCE = 200_000
 
@@ -70,26 +72,30 @@ def _sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(down[: n - width + 1], up[width - 1 : n]) & low_bits).astype(np.int64)
 
 
-def compact_windows(h: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """``(left, place, right)``: nodes of the Cartesian tree of ``h`` that span at least ``width`` places, in order.
+def _smaller_before(v: np.ndarray, equal: bool) -> np.ndarray:
+    """For each value the place of the last one before it that is smaller (or ``equal``), -1 if there is none."""
+    at, todo = np.arange(-1, len(v) - 1), np.arange(len(v))
+    while True:
+        todo = todo[at[todo] >= 0]
+        todo = todo[v[at[todo]] > v[todo] if equal else v[at[todo]] >= v[todo]]
+        if not len(todo):
+            return at
+        at[todo] = at[at[todo]]  # what lies between is larger still
+
+
+def compact_windows(h: np.ndarray, width: int) -> np.ndarray:
+    """Rows ``(left, place, right)``: nodes of the Cartesian tree of ``h`` that span at least ``width`` places, in order.
 
     All runs from left <= i <= place to place <= j <= right have their (first) minimum at ``place``.
     """
     if len(h) < width:
-        return []
+        return np.empty((0, 3), np.int64)
     at = _sliding_argmin(h, width)
     places = at[np.flatnonzero(np.diff(at, prepend=-1))]
-    left, right = [0] * len(places), [len(h) - 1] * len(places)
-    stack: list[int] = []
-    values = h[places].tolist()
-    where = places.tolist()
-    for k, v in enumerate(values):
-        while stack and values[stack[-1]] > v:
-            right[stack.pop()] = where[k] - 1
-        if stack:
-            left[k] = where[stack[-1]] + 1
-        stack.append(k)
-    return list(zip(left, where, right))
+    values = h[places]
+    left = np.append(places, -1)[_smaller_before(values, True)] + 1
+    right = np.append(places[::-1], len(h))[_smaller_before(values[::-1], False)][::-1] - 1
+    return np.stack((left, places, right), axis=1)
 
 
 def windows_of(shingles: np.ndarray, inside: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
@@ -104,7 +110,7 @@ def windows_of(shingles: np.ndarray, inside: np.ndarray, width: int) -> tuple[np
     for b in range(BANDS):
         # A place between documents is the minimum of all runs that hold it.
         h = np.where(inside, mixed(shingles ^ _SEEDS[b]) | np.uint64(1 << 63), np.uint64(0))
-        left, place, right = np.asarray(compact_windows(h, width)).T
+        left, place, right = compact_windows(h, width).T
         whole = inside[place]
         left, place, right = left[whole], place[whole], right[whole]
         keys.append(mixed(h[place] + np.uint64(b)))
@@ -120,7 +126,7 @@ def _windows(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             data, off = text_bytes(batch.column(1))
             ids = batch.column(0).to_numpy()
-            for lo, hi in chunks(off):
+            for lo, hi in chunks(off, 1 << 18):
                 words, first = document_words(data, off, lo, hi)
                 if len(words) < width + SHINGLE - 1:
                     continue
@@ -341,9 +347,9 @@ def _shared(place, value, of, begin, many, sorted_y, lo, n, shift, width) -> np.
     return np.cumsum(np.bincount(a, minlength=total + 1) - np.bincount(b, minlength=total + 1))[places(base, n)]
 
 
-def _verified(parts: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``(doc_id, lo, hi, lead, lead_at, key)``: runs of passages that another document holds; and, without ``lead``,
-    the windows of ``key`` that hold a passage for which none was found, with their place as ``lead_at``.
+def _verified(parts: DataFrame, docs: DataFrame, width: int, percent: int, again: bool = True) -> DataFrame:
+    """``(doc_id, lo, hi, lead, lead_at, key)``: runs of passages that another document holds; and, if ``again``, without
+    ``lead`` the windows of ``key`` that hold a passage for which none was found, with their place as ``lead_at``.
     """
     names = ["y", "at", "y_at", "before", "after", "key", "cut_at", "cut_n", "cut"]
     own = parts.groupBy("x").agg(F.collect_list(F.struct(*names)).alias("r"))  # a document's own windows
@@ -398,7 +404,7 @@ def _verified(parts: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                 covered[1 + spots[hit]] = 1
                 covered = np.cumsum(covered)
                 begin, stop = first[row[pair]] + at - before, first[row[pair]] + at - after + 1
-                rest = np.flatnonzero(covered[stop] - covered[begin] < stop - begin)
+                rest = np.flatnonzero(covered[stop] - covered[begin] < stop - begin) if again else np.empty(0, np.int64)
                 # From the first to the last passage for which none was found.
                 bare = np.flatnonzero(np.diff(covered) == 0)
                 begin[rest], stop[rest] = bare[np.searchsorted(bare, begin[rest])], bare[np.searchsorted(bare, stop[rest]) - 1] + 1
@@ -624,6 +630,72 @@ def _listed(cuts: DataFrame, bits: list[np.ndarray], odd: np.ndarray, width: int
     return cuts.mapInArrow(run, "list long, key long, x long, at int, held long, holds boolean, lo int, hi int")
 
 
+def _of(rows: DataFrame, ids: DataFrame, path: str) -> DataFrame:
+    """The ``rows`` of the documents in ``ids``, which are written."""
+    ids = stored(ids.distinct(), path)
+    return rows.join(checked_broadcast(ids, ids.count(), 16), "doc_id", "left_semi").select(rows.columns)
+
+
+def _marks(sh: np.ndarray, of: np.ndarray, place: np.ndarray, n: int):
+    """For each of ``n`` sets a bit for each shingle at the places ``place``, which are those of set ``of``."""
+    import pyarrow as pa
+
+    out = np.zeros((n, 64 * MARKS), bool)
+    out[of, (mixed(sh[place].astype(np.uint64)) % np.uint64(64 * MARKS)).astype(np.int64)] = True
+    return pa.FixedSizeListArray.from_arrays(pa.array(np.packbits(out, axis=1).view(np.int64).ravel()), MARKS).cast(pa.list_(pa.int64()))
+
+
+def _window_marks(windows: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``(y, y_at, holds, n_y)``: marks of all shingles of the passages that hold a place, all of which may be compared with
+    others; the fewest different shingles that one of them has."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            data, off = text_bytes(batch.column(1))
+            ids, number = batch.column(0).to_numpy(), _numbers(batch.column(2))[1]
+            for lo_, hi_ in _parts(off, number * width):
+                words, first = document_words(data, off, lo_, hi_)
+                sh, row = _short(words), np.repeat(np.arange(hi_ - lo_), number[lo_:hi_])
+                different, end = _distinct(sh, width), np.append(first[1:], len(words)) - SHINGLE + 1 - width
+                at = _numbers(batch.column(2).slice(lo_, hi_ - lo_))[0]
+                lo, hi = np.maximum(first[row], first[row] + at - width + 1), np.minimum(first[row] + at, end[row])
+                n = hi - lo + 1
+                fewest = np.minimum.reduceat(different[places(lo, n)], np.cumsum(n) - n).astype(np.int32)
+                for i in range(0, len(row), AT_ONCE // width):
+                    k = slice(i, i + AT_ONCE // width)
+                    span = n[k] + width - 1
+                    marks = _marks(sh, np.repeat(np.arange(len(span)), span), places(lo[k], span), len(span))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo_:hi_][row[k]]), pa.array(at[k].astype(np.int32)), marks, pa.array(fewest[k])], ["y", "y_at", "holds", "n_y"])
+
+    own = windows.groupBy("y").agg(F.collect_set("y_at").alias("r"))  # a document's own
+    rows = docs.join(own.withColumnRenamed("y", "doc_id"), "doc_id").select("doc_id", "text", "r")
+    return rows.mapInArrow(run, "y long, y_at int, holds array<long>, n_y int")
+
+
+def _passage_marks(cuts: DataFrame, width: int) -> DataFrame:
+    """``(x, p, own, n_x)``: marks of the shingles of each passage that asked, and how many different ones it has."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for ids, sh, row, _, at, before, lo, _, ask, to in _cut(batch, width):
+                n = np.maximum(0, to - ask + 1)
+                passage, one = np.unique(places(ask, n), return_index=True)
+                window = np.repeat(np.arange(len(row)), n)[one]
+                doc, place = ids[row[window]], passage + (at - lo - before)[window]
+                different = _distinct(sh, width)[passage].astype(np.int32)
+                for i in range(0, len(passage), AT_ONCE // width):
+                    k = slice(i, i + AT_ONCE // width)
+                    n = len(passage[k])
+                    marks = _marks(sh, np.repeat(np.arange(n), width), places(passage[k], np.full(n, width)), n)
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[k]), pa.array(place[k].astype(np.int32)), marks, pa.array(different[k])], ["x", "p", "own", "n_x"])
+
+    return cuts.mapInArrow(run, "x long, p int, own array<long>, n_x int")
+
+
 def repeated_passages(
     docs: DataFrame,
     threshold: float = 0.75,
@@ -690,8 +762,7 @@ def repeated_passages(
     bits = _bits(cuts, shingles, lg, LEVELS)
     odd = _bits(cuts, repeating, min(lg, 22), (1,))[0]
     listed = stored(_listed(cuts, bits, odd, width, percent), f"{path}/listed")
-    for table in ("large", "cuts"):
-        forget(spark, f"{path}/{table}")
+    forget(spark, f"{path}/large")
     release(spark)
     # Windows that hold the same in a list are one; asks meet the one that holds the same, else the list's smallest
     # document and the smallest one of what most windows of the list hold.
@@ -706,25 +777,43 @@ def repeated_passages(
     met = asks.withColumn("o", F.explode(partners)).where("o.y < x").select("key", "x", F.col("o.y").alias("y"), "at", F.col("o.y_at").alias("y_at"), "lo", "hi")
     offsets = [(F.col("at") - F.col(c)).cast("short").alias(n) for c, n in (("lo", "before"), ("hi", "after"))]
 
-    def tested(pairs: DataFrame, name: str) -> DataFrame:
+    def tested(pairs: DataFrame, name: str, again: bool) -> DataFrame:
         once = pairs.groupBy("key", "x", "y", "at", "y_at").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         once = stored(once.select("key", "x", "y", "at", "y_at", *offsets), f"{path}/{name}_pairs")
-        out = stored(_verified(_with_parts(once, rows, width), rows, width, percent), f"{path}/{name}")
+        # Only the texts of documents that are in a pair move.
+        texts = _of(rows, once.select(F.col("x").alias("doc_id")).union(once.select("y")), f"{path}/{name}_docs")
+        out = stored(_verified(_with_parts(once, texts, width), texts, width, percent, again), f"{path}/{name}")
         release(spark)
         return out
 
-    second = tested(direct.unionByName(met), "second")
+    second = tested(direct.unionByName(met), "second", True)
     # What these do not have, against all others of the lists.
     still = second.where("lead is null").select("key", F.col("doc_id").alias("x"), F.col("lead_at").alias("at"), F.col("lo").alias("from"), F.col("hi").alias("to"))
     still = still.groupBy("key", "x", "at").agg(F.min("from").alias("from"), F.max("to").alias("to"))
     asks = asks.join(still, ["key", "x", "at"]).where(F.col("lo") <= F.col("to")).where(F.col("hi") >= F.col("from"))
     asks = stored(asks.drop("from", "to", "m"), f"{path}/still")
-    others = asks.join(held.select("list", "m"), "list").where("m.y < x and m <> s and m <> top")
-    third = tested(others.select("key", "x", F.col("m.y").alias("y"), "at", F.col("m.y_at").alias("y_at"), "lo", "hi"), "third")
+    # Passages that have no partner so far; marks of what they and the windows hold tell most pairs that cannot be similar.
+    gone = _of(first.unionByName(second).where("lead is not null"), asks.select(F.col("x").alias("doc_id")), f"{path}/asking")
+    gone = gone.select(F.col("doc_id").alias("x"), F.explode(F.sequence("lo", "hi")).alias("p")).distinct()
+    bare = _passage_marks(_of(cuts, asks.select(F.col("x").alias("doc_id")), f"{path}/asking2"), width).join(gone, ["x", "p"], "left_anti")
+    left = asks.withColumn("p", F.explode(F.sequence("lo", "hi"))).join(bare, ["x", "p"])
+    others = held.join(asks.select("list").distinct(), "list").select("list", F.col("m.y").alias("y"), F.col("m.y_at").alias("y_at"))
+    others = stored(others, f"{path}/others")
+    texts = _of(rows, others.select(F.col("y").alias("doc_id")), f"{path}/holding")
+    right = others.join(_window_marks(others, texts, width), ["y", "y_at"])
+    left, right = stored(left, f"{path}/bare"), stored(right, f"{path}/marked")
+    apart = sum((F.bit_count(F.col("own")[i].bitwiseAND(F.bitwise_not(F.col("holds")[i]))) for i in range(MARKS)), F.lit(0))
+    o = F.struct("y", "y_at")
+    alike = (left["list"] == right["list"]) & (F.col("y") < F.col("x")) & (o != F.col("s")) & (o != F.col("top"))
+    # Of n_x different shingles at least ``apart`` are not shared.
+    alike &= (100 + percent) * (F.col("n_x") - apart) >= percent * (F.col("n_x") + F.col("n_y"))
+    pairs = left.join(right, alike).select("key", "x", "y", "at", "y_at", "lo", "hi")
+    third = tested(pairs, "third", False)
     columns = ["doc_id", "lo", "hi", "lead", "lead_at"]
     found = first.unionByName(second).unionByName(third).where("lead is not null").select(columns)
     found = stored(found.unionByName(equal), f"{path}/found")
-    for table in ("left", "few", "counts", "asks", "held", "lists", "still", "shared", "first", "second", "third", "second_pairs", "third_pairs"):
+    done = ["left", "few", "counts", "cuts", "asks", "held", "lists", "still", "asking", "asking2", "others", "holding", "bare", "marked", "shared"]
+    for table in (*done, "first", "second", "third", "second_pairs", "third_pairs", "second_docs", "third_docs"):
         forget(spark, f"{path}/{table}")
     return _spans(found, words)
 
