@@ -647,7 +647,7 @@ def _marks(sh: np.ndarray, of: np.ndarray, place: np.ndarray, n: int):
 
 def _window_marks(windows: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """``(y, y_at, holds, n_y)``: marks of all shingles of the passages that hold a place, all of which may be compared with
-    others; the fewest different shingles that one of them has."""
+    others; how many different shingles each of these has, by how far the place lies behind its start."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -662,16 +662,20 @@ def _window_marks(windows: DataFrame, docs: DataFrame, width: int) -> DataFrame:
                 at = _numbers(batch.column(2).slice(lo_, hi_ - lo_))[0]
                 lo, hi = np.maximum(first[row], first[row] + at - width + 1), np.minimum(first[row] + at, end[row])
                 n = hi - lo + 1
-                fewest = np.minimum.reduceat(different[places(lo, n)], np.cumsum(n) - n).astype(np.int32)
+                # By how far the place lies behind the passage; a passage that is not there is like none.
+                back = first[row] + at - np.arange(width)[:, None]
+                there = (back >= lo) & (back <= hi)
+                many = np.where(there, different[np.where(there, back, 0)], 2 * width).T.astype(np.int32)
                 for i in range(0, len(row), AT_ONCE // width):
                     k = slice(i, i + AT_ONCE // width)
                     span = n[k] + width - 1
                     marks = _marks(sh, np.repeat(np.arange(len(span)), span), places(lo[k], span), len(span))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo_:hi_][row[k]]), pa.array(at[k].astype(np.int32)), marks, pa.array(fewest[k])], ["y", "y_at", "holds", "n_y"])
+                    n_y = pa.FixedSizeListArray.from_arrays(pa.array(many[k].ravel()), width).cast(pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo_:hi_][row[k]]), pa.array(at[k].astype(np.int32)), marks, n_y], ["y", "y_at", "holds", "n_y"])
 
     own = windows.groupBy("y").agg(F.collect_set("y_at").alias("r"))  # a document's own
     rows = docs.join(own.withColumnRenamed("y", "doc_id"), "doc_id").select("doc_id", "text", "r")
-    return rows.mapInArrow(run, "y long, y_at int, holds array<long>, n_y int")
+    return rows.mapInArrow(run, "y long, y_at int, holds array<long>, n_y array<int>")
 
 
 def _passage_marks(cuts: DataFrame, width: int) -> DataFrame:
@@ -806,7 +810,7 @@ def repeated_passages(
     o = F.struct("y", "y_at")
     alike = (left["list"] == right["list"]) & (F.col("y") < F.col("x")) & (o != F.col("s")) & (o != F.col("top"))
     # Of n_x different shingles at least ``apart`` are not shared.
-    alike &= (100 + percent) * (F.col("n_x") - apart) >= percent * (F.col("n_x") + F.col("n_y"))
+    alike &= (100 + percent) * (F.col("n_x") - apart) >= percent * (F.col("n_x") + F.col("n_y")[F.col("at") - F.col("p")])
     pairs = left.join(right, alike).select("key", "x", "y", "at", "y_at", "lo", "hi")
     third = tested(pairs, "third", False)
     columns = ["doc_id", "lo", "hi", "lead", "lead_at"]
